@@ -162,3 +162,208 @@ def q_sales_by_period(spark, sf_dir):
     s = shop(spark, sf_dir)
     return sales.sales_by_period(s.orders, s.order_items, s.restaurants, AS_OF).withColumn(
         "total_sales", F.col("total_sales").cast("double"))
+
+
+# ---------------------------------------------------------------- ingest
+from tavolo.operators import ingest  # noqa: E402
+
+
+@query("parse_order_requests", """
+select order_id, restaurant_id, menu_item_id, name_snapshot as name, cast(price_snapshot as double) as price, qty
+from s_requests_flat where menu_item_id is not null""")
+def q_parse_order_requests(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    df = ingest.parse_order_requests(s.requests, s.restaurants, s.menu_items)
+    return df.select("order_id", "restaurant_id", "menu_item_id", "name",
+                     F.col("price").cast("double").alias("price"), "qty")
+
+
+@query("order_items_snapshot", """
+select order_id, menu_item_id, name_snapshot, cast(price_snapshot as double) as price_snapshot, qty,
+       cast(cast(price_snapshot * qty as decimal(18,4)) as double) as line_total
+from s_requests_flat where menu_item_id is not null""")
+def q_order_items_snapshot(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    lines = ingest.parse_order_requests(s.requests, s.restaurants, s.menu_items)
+    return ingest.order_items_snapshot(lines).select(
+        "order_id", "menu_item_id", "name_snapshot", *dbl("price_snapshot"), "qty", *dbl("line_total"))
+
+
+@query("order_totals", """
+with t as (
+  select order_id, restaurant_id, cast(sum(price_snapshot * qty) as decimal(18,4)) as subtotal
+  from s_requests_flat group by order_id, restaurant_id),
+x as (select t.*, cast(round(t.subtotal * r.tax_rate, 0) as decimal(18,4)) as tax
+      from t left join s_restaurants r on r.restaurant_id = t.restaurant_id)
+select order_id, restaurant_id, cast(subtotal as double) as subtotal, cast(tax as double) as tax,
+       cast(cast(subtotal + tax as decimal(18,4)) as double) as total from x""")
+def q_order_totals(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    accepted, _ = ingest.parse_requests(s.requests, s.restaurants, s.menu_items)
+    return ingest.order_totals(accepted, s.restaurants).select(
+        "order_id", "restaurant_id", *dbl("subtotal", "tax", "total"))
+
+
+_REQ_HEADERS = """(select distinct order_id, restaurant_id, phone, opt_in, created_at from s_requests_flat)"""
+
+_CUSTOMERS_SQL = f"""
+select sha256(concat_ws('|', cast(restaurant_id as varchar), phone)) as customer_id, restaurant_id, phone,
+       min(created_at) as created_at,
+       arg_max(opt_in, created_at::varchar || lpad(cast(order_id as varchar), 20, '0')) as marketing_opt_in,
+       count(*) as n_requests
+from {_REQ_HEADERS} h where length(trim(phone)) > 0 group by restaurant_id, phone"""
+
+
+@query("customer_upsert", _CUSTOMERS_SQL)
+def q_customer_upsert(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return ingest.customer_upsert(s.request_headers)
+
+
+@query("order_customer_link", f"""
+select order_id, case when length(trim(phone)) > 0
+  then sha256(concat_ws('|', cast(restaurant_id as varchar), phone)) end as customer_id
+from {_REQ_HEADERS} h""")
+def q_order_customer_link(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return ingest.order_customer_link(s.request_headers, ingest.customer_upsert(s.request_headers))
+
+
+@query("derive_order_type", """
+select order_id, table_id, coalesce(given_order_type, case when table_id is null then 'takeaway' else 'dine-in' end) as order_type
+from s_orders""")
+def q_derive_order_type(spark, sf_dir):
+    return ingest.derive_order_type(shop(spark, sf_dir).orders)
+
+
+@query("backfill_order_type", """
+select order_id, table_id, coalesce(given_order_type, 'dine-in') as order_type_before,
+  case when table_id is null and coalesce(given_order_type, 'dine-in') = 'dine-in' then 'takeaway'
+       else coalesce(given_order_type, 'dine-in') end as order_type
+from s_orders""")
+def q_backfill_order_type(spark, sf_dir):
+    return ingest.backfill_order_type(shop(spark, sf_dir).orders)
+
+
+# ---------------------------------------------------------------- order folds
+from tavolo.operators import orders as folds  # noqa: E402
+
+_FOLD = """
+with e as (
+  select *, case when kind = 'create' then 'open' when kind = 'status' then status_arg when kind = 'void' then 'void' end as effect
+  from s_order_events),
+a as (
+  select *, last_value(effect ignore nulls) over (partition by order_id order by seq
+            rows between unbounded preceding and 1 preceding) as prior from e),
+b as (
+  select *, case when kind = 'create' then true
+                 when kind in ('add', 'replace') then coalesce(prior in ('open', 'preparing', 'ready'), false)
+                 else prior is not null end as valid from a),
+c as (
+  select *, case when kind = 'add' and valid then 'open' when kind in ('add', 'replace') then null
+                 when valid then effect end as status_after,
+         max(case when kind = 'create' or (kind = 'replace' and valid) then seq end) over (partition by order_id) as base_seq
+  from b),
+d as (select *, kind in ('create', 'replace', 'add') and valid and seq >= base_seq as is_line from c),
+f as (
+  select order_id,
+    arg_max(status_after, seq) filter (where status_after is not null) as status,
+    arg_max(payment, seq) filter (where valid and payment is not null) as payment_method,
+    arg_max(ts, seq) filter (where valid and (kind = 'void' or (kind = 'status' and status_arg = 'closed'))) as closed_at,
+    min(ts) filter (where kind = 'create') as created_at,
+    cast(sum(price * qty) filter (where is_line) as decimal(18,4)) as sub0,
+    count(*) filter (where is_line) as n_lines,
+    arg_max(kind, seq) filter (where seq = base_seq) as base_kind,
+    max(base_seq) as base_seq,
+    count(*) filter (where kind = 'add' and valid) as n_adds,
+    count(*) filter (where kind = 'replace' and valid) as n_replaces,
+    max(seq) as last_seq
+  from d group by order_id),
+g as (select *, case when base_kind = 'replace' then coalesce(sub0, 0) else sub0 end as subtotal from f
+      where created_at is not null),
+fold as (
+  select *, cast(round(cast(subtotal as decimal(18,4)) * cast(0.05 as decimal(9,6)), 0) as decimal(18,4)) as tax
+  from g)
+"""
+
+
+def _fold_sql(select: str) -> str:
+    return _FOLD + select
+
+
+def _money_out(df, *names):
+    return df.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+@query("order_state", _fold_sql("""
+select order_id, status, payment_method, created_at, closed_at, cast(subtotal as double) as subtotal,
+       cast(tax as double) as tax, cast(cast(subtotal + tax as decimal(18,4)) as double) as total, n_lines, last_seq
+from fold"""))
+def q_order_state(spark, sf_dir):
+    return _money_out(folds.order_state(shop(spark, sf_dir).order_events), "subtotal", "tax", "total")
+
+
+@query("order_status_fold", _fold_sql("select order_id, status, payment_method, closed_at from fold"))
+def q_order_status_fold(spark, sf_dir):
+    return folds.order_status_fold(shop(spark, sf_dir).order_events)
+
+
+@query("void_fold", _fold_sql("""
+select order_id, closed_at, cast(subtotal as double) as subtotal,
+       cast(cast(subtotal + tax as decimal(18,4)) as double) as total, n_lines
+from fold where status = 'void'"""))
+def q_void_fold(spark, sf_dir):
+    return _money_out(folds.void_fold(shop(spark, sf_dir).order_events), "subtotal", "total")
+
+
+@query("addon_fold", _fold_sql("""
+select order_id, n_adds, status, n_lines, cast(subtotal as double) as subtotal, cast(tax as double) as tax,
+       cast(cast(subtotal + tax as decimal(18,4)) as double) as total
+from fold where n_adds > 0"""))
+def q_addon_fold(spark, sf_dir):
+    return _money_out(folds.addon_fold(shop(spark, sf_dir).order_events), "subtotal", "tax", "total")
+
+
+@query("replace_items_fold", _fold_sql("""
+select order_id, n_replaces, base_seq, n_lines, cast(subtotal as double) as subtotal, cast(tax as double) as tax,
+       cast(cast(subtotal + tax as decimal(18,4)) as double) as total
+from fold where n_replaces > 0"""))
+def q_replace_items_fold(spark, sf_dir):
+    return _money_out(folds.replace_items_fold(shop(spark, sf_dir).order_events), "subtotal", "tax", "total")
+
+
+@query("rejected_order_events", """
+with e as (
+  select *, case when kind = 'create' then 'open' when kind = 'status' then status_arg when kind = 'void' then 'void' end as effect
+  from s_order_events),
+a as (
+  select *, last_value(effect ignore nulls) over (partition by order_id order by seq
+            rows between unbounded preceding and 1 preceding) as prior from e)
+select order_id, seq, kind, prior as status_before,
+  case when kind = 'add' then 'This order is no longer open for additions' else 'This order is no longer open for editing' end as reason
+from a where kind in ('add', 'replace') and not coalesce(prior in ('open', 'preparing', 'ready'), false)""")
+def q_rejected_order_events(spark, sf_dir):
+    return folds.rejected_order_events(shop(spark, sf_dir).order_events)
+
+
+@query("availability_state", """
+with l as (select menu_item_id, arg_max(is_available, seq) as toggled from s_avail_events group by menu_item_id)
+select m.menu_item_id, m.restaurant_id, m.name, coalesce(l.toggled, m.is_available) as is_available,
+       l.toggled is not null as toggled
+from s_menu_items m left join l on l.menu_item_id = m.menu_item_id""")
+def q_availability_state(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return folds.availability_state(s.menu_items, s.avail_events)
+
+
+@query("settings_state", """
+with l as (
+  select restaurant_id, nullif(trim(whatsapp_number), '') as n,
+         row_number() over (partition by restaurant_id order by seq desc) as rk
+  from s_setting_events)
+select r.restaurant_id, case when exists (select 1 from l where l.restaurant_id = r.restaurant_id)
+         then (select n from l where l.restaurant_id = r.restaurant_id and rk = 1) else r.whatsapp_number end as whatsapp_number
+from s_restaurants r""")
+def q_settings_state(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return folds.settings_state(s.restaurants, s.setting_events)
