@@ -367,3 +367,183 @@ from s_restaurants r""")
 def q_settings_state(spark, sf_dir):
     s = shop(spark, sf_dir)
     return folds.settings_state(s.restaurants, s.setting_events)
+
+
+# ---------------------------------------------------------------- operational reads
+from tavolo.operators import reads  # noqa: E402
+
+BASE_URL = "https://menu.example.org/"
+
+_LINES_SQL = """
+select order_id, string_agg(cast(qty as varchar) || 'x ' || name_snapshot || ' @ ' || cast(price_snapshot as varchar), ', '
+         order by line_no, menu_item_id, name_snapshot, price_snapshot, qty) as items
+from s_order_items group by order_id"""
+
+
+def _customers(s):
+    heads = s.request_headers
+    cust = ingest.customer_upsert(heads)
+    link = ingest.order_customer_link(heads, cust)
+    orders = s.orders.drop("customer_id").join(link, "order_id", "left")
+    return orders, cust
+
+
+@query("open_orders", f"""
+with lines as ({_LINES_SQL}),
+ph as (select distinct order_id, case when length(trim(phone)) > 0 then phone end as customer_phone from s_requests_flat)
+select o.restaurant_id, o.order_id, t.label as table_label, o.source, o.status, cast(o.total as double) as total,
+       o.created_at, l.items, ph.customer_phone,
+       row_number() over (partition by o.restaurant_id order by o.created_at, o.order_id) as position
+from s_orders o left join s_tables t on t.table_id = o.table_id left join lines l on l.order_id = o.order_id
+left join ph on ph.order_id = o.order_id
+where o.status in ('open', 'preparing', 'ready')""")
+def q_open_orders(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    orders, cust = _customers(s)
+    df = reads.open_orders(orders, s.tables, s.order_items, cust)
+    return df.withColumn("total", F.col("total").cast("double")).withColumn(
+        "items", items_text(F.col("items"), with_price=True))
+
+
+@query("live_orders_digest", """
+with lines as (
+  select order_id, string_agg(cast(qty as varchar) || 'x ' || name_snapshot, ', '
+           order by line_no, menu_item_id, name_snapshot, price_snapshot, qty) as items
+  from s_order_items group by order_id)
+select o.restaurant_id, o.order_id, o.created_at,
+       concat_ws(' · ', coalesce(t.label, 'Takeaway'), case when o.source = 'qr' then 'QR order' else 'POS' end, o.status) as heading,
+       coalesce(l.items, '') as items_text,
+       r.currency || ' ' || format('{:,}', cast(floor(coalesce(cast(o.total as double), 0.0) + 0.5) as bigint)) as amount_text
+from s_orders o left join s_tables t on t.table_id = o.table_id left join lines l on l.order_id = o.order_id
+left join s_restaurants r on r.restaurant_id = o.restaurant_id
+where o.status in ('open', 'preparing', 'ready')""")
+def q_live_orders_digest(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return reads.live_orders_digest(s.orders, s.tables, s.order_items, s.restaurants)
+
+
+@query("role_queue", """
+with m(role, status) as (values ('kitchen', 'open'), ('kitchen', 'preparing'), ('cashier', 'ready'),
+  ('headwaiter', 'open'), ('headwaiter', 'preparing'), ('headwaiter', 'ready'),
+  ('manager', 'open'), ('manager', 'preparing'), ('manager', 'ready'),
+  ('owner', 'open'), ('owner', 'preparing'), ('owner', 'ready'))
+select m.role, o.restaurant_id, o.order_id, o.status, o.created_at from s_orders o join m on m.status = o.status""")
+def q_role_queue(spark, sf_dir):
+    return reads.role_queue(spark, shop(spark, sf_dir).orders)
+
+
+@query("order_tracker", """
+select o.order_id, o.status, t.label as table_label,
+       case o.status when 'preparing' then 1 when 'ready' then 2 when 'closed' then 3 else 0 end as step
+from s_orders o left join s_tables t on t.table_id = o.table_id""")
+def q_order_tracker(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return reads.order_tracker(s.orders, s.tables)
+
+
+_ACTIVE_PER_TABLE = """
+select table_id, order_id, status, total, created_at from (
+  select table_id, order_id, status, total, created_at,
+         row_number() over (partition by table_id order by created_at desc, order_id desc) as rn
+  from s_orders where status in ('open', 'preparing', 'ready') and table_id is not null) x where rn = 1"""
+
+
+@query("active_order_per_table", f"""
+with a as ({_ACTIVE_PER_TABLE}), lines as ({_LINES_SQL})
+select a.table_id, a.order_id, a.status, cast(a.total as double) as total, a.created_at, l.items
+from a left join lines l on l.order_id = a.order_id""")
+def q_active_order_per_table(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    df = reads.active_order_per_table(s.orders, s.order_items)
+    return df.select("table_id", "order_id", "status", F.col("total").cast("double").alias("total"),
+                     "created_at", items_text(F.col("items"), with_price=True).alias("items"))
+
+
+@query("table_by_token", """
+select s.scan_id, s.restaurant_id, s.qr_token, t.table_id, t.label,
+       case when t.table_id is null then 'takeaway' else 'dine-in' end as order_type
+from s_scans s left join s_tables t on t.restaurant_id = s.restaurant_id and t.qr_token = s.qr_token""")
+def q_table_by_token(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return reads.table_by_token(s.scans, s.tables)
+
+
+@query("rescan_route", f"""
+with a as ({_ACTIVE_PER_TABLE})
+select s.scan_id, s.restaurant_id, t.table_id,
+       case when t.table_id is null then 'takeaway' else 'dine-in' end as order_type,
+       a.order_id as active_order_id, case when a.order_id is not null then 'resume' else 'menu' end as route
+from s_scans s left join s_tables t on t.restaurant_id = s.restaurant_id and t.qr_token = s.qr_token
+left join a on a.table_id = t.table_id""")
+def q_rescan_route(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return reads.rescan_route(s.scans, s.tables, s.orders, s.order_items)
+
+
+_MENU_SQL = """
+with mi as (select * from s_menu_items where category is not null {filt}),
+per as (
+  select restaurant_id, category, count(*) as n_items,
+         string_agg(name, ', ' order by sort_order, name, menu_item_id, price) as items_text
+  from mi group by restaurant_id, category)
+select c.restaurant_id, c.name as category, c.sort_order,
+       row_number() over (partition by c.restaurant_id order by c.sort_order, c.name) as position,
+       coalesce(p.n_items, 0) as n_items, coalesce(p.items_text, '') as items_text
+from s_categories c left join per p on p.restaurant_id = c.restaurant_id and p.category = c.name"""
+
+
+def _menu_out(df):
+    return df.select("restaurant_id", "category", "sort_order", "position",
+                     F.size("items").cast("bigint").alias("n_items"),
+                     reads.menu_text(F.col("items")).alias("items_text"))
+
+
+@query("menu_tree", _MENU_SQL.format(filt="and is_available"))
+def q_menu_tree(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return _menu_out(reads.menu_tree(s.categories, s.menu_items, available_only=True))
+
+
+@query("full_menu_tree", _MENU_SQL.format(filt=""))
+def q_full_menu_tree(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return _menu_out(reads.menu_tree(s.categories, s.menu_items, available_only=False))
+
+
+@query("table_list", """
+select restaurant_id, table_id, label, qr_token,
+       row_number() over (partition by restaurant_id order by label, table_id) as position
+from s_tables""")
+def q_table_list(spark, sf_dir):
+    return reads.table_list(shop(spark, sf_dir).tables)
+
+
+@query("table_links", f"""
+select restaurant_id, table_id, regexp_replace(trim('{BASE_URL}'), '/$', '') || '/menu.html?t=' || qr_token as url
+from s_tables""")
+def q_table_links(spark, sf_dir):
+    return reads.table_links(shop(spark, sf_dir).tables, BASE_URL)
+
+
+@query("mint_table_tokens", """
+select restaurant_id, table_id, label,
+       substr(lower(regexp_replace(cast(restaurant_id as varchar), '-.*', '')) || '-' ||
+              substr(sha256(concat_ws('|', 'table-token', cast(restaurant_id as varchar), cast(table_id as varchar))), 1, 32), 1, 20) as qr_token
+from s_tables""")
+def q_mint_table_tokens(spark, sf_dir):
+    return reads.mint_table_tokens(shop(spark, sf_dir).tables)
+
+
+@query("staff_directory", """
+select restaurant_id, staff_id, name, role,
+       row_number() over (partition by restaurant_id order by staff_id) as position
+from s_staff""")
+def q_staff_directory(spark, sf_dir):
+    return reads.staff_directory(shop(spark, sf_dir).staff)
+
+
+@query("order_feedback", """
+select f.order_id, f.rating, f.comment from s_feedback f where f.order_id in (select order_id from s_orders)""")
+def q_order_feedback(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return reads.order_feedback(s.orders, s.feedback)

@@ -121,7 +121,7 @@ def menu_tree(categories, menu_items, available_only: bool = True) -> DataFrame:
     per_cat = (mi.groupBy("restaurant_id", "category")
                .agg(F.sort_array(F.collect_list(F.struct("sort_order", "name", "menu_item_id", "price")))
                     .alias("items")))
-    pos = Window.partitionBy("restaurant_id").orderBy("sort_order", "name")
+    pos = Window.partitionBy("restaurant_id").orderBy("sort_order", "category")
     c = categories.select("restaurant_id", F.col("name").alias("category"), "sort_order")
     return (c.join(per_cat, ["restaurant_id", "category"], "left")
             .select("restaurant_id", "category", "sort_order",
