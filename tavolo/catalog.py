@@ -547,3 +547,321 @@ select f.order_id, f.rating, f.comment from s_feedback f where f.order_id in (se
 def q_order_feedback(spark, sf_dir):
     s = shop(spark, sf_dir)
     return reads.order_feedback(s.orders, s.feedback)
+
+
+# ---------------------------------------------------------------- calls
+from tavolo.operators import calls as calls_ops  # noqa: E402
+
+_OPEN_COUNTS = """
+e0 as (select *, sum(case when kind = 'ring' then 1 else 0 end) over (partition by table_id order by seq
+          rows between unbounded preceding and current row) as r from s_ring_log),
+e1 as (select *, last_value(case when kind = 'ack' then r end ignore nulls) over (partition by table_id order by seq
+          rows between unbounded preceding and current row) as ra from e0),
+ev as (select seq, table_id, kind, staff_id, ts, cast(r - coalesce(ra, 0) as bigint) as open_count from e1)"""
+
+
+@query("ring_counts", f"with {_OPEN_COUNTS} select seq, table_id, ts, open_count from ev where kind = 'ring'")
+def q_ring_counts(spark, sf_dir):
+    return calls_ops.ring_counts(shop(spark, sf_dir).ring_log)
+
+
+@query("acknowledge_fold", """
+with n as (
+  select *, first_value(case when kind = 'ack' then seq end ignore nulls) over (partition by table_id order by seq
+           rows between 1 following and unbounded following) as ack_seq from s_ring_log)
+select n.seq, n.table_id, n.ack_seq is not null as acknowledged, a.staff_id as acknowledged_by, n.ack_seq,
+       a.ts as acknowledged_at
+from n left join s_ring_log a on a.seq = n.ack_seq where n.kind = 'ring'""")
+def q_acknowledge_fold(spark, sf_dir):
+    return calls_ops.acknowledge_fold(shop(spark, sf_dir).ring_log)
+
+
+_ACTIVE_CALLS = """
+select c.restaurant_id, c.table_id, t.label as table_label, count(*) as call_count, min(c.created_at) as first_called_at,
+       count(*) > 5 as urgent{pos}
+from s_calls c left join s_tables t on t.table_id = c.table_id
+where not c.acknowledged group by c.restaurant_id, c.table_id, t.label"""
+
+
+@query("active_calls", _ACTIVE_CALLS.format(
+    pos=", row_number() over (partition by c.restaurant_id order by min(c.created_at), c.table_id) as position"))
+def q_active_calls(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return calls_ops.active_calls(s.calls, s.tables)
+
+
+@query("urgent_escalations", _ACTIVE_CALLS.format(pos="") + " having count(*) > 5")
+def q_urgent_escalations(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return calls_ops.urgent_escalations(s.calls, s.tables)
+
+
+@query("newly_ringing", f"""
+with {_OPEN_COUNTS},
+p as (select *, make_timestamp(cast((floor(epoch_us(ts) / 3600000000) + 1) * 3600000000 as bigint)) as poll_at from ev),
+q as (select table_id, poll_at, open_count as call_count from (
+        select *, row_number() over (partition by table_id, poll_at order by ts desc, seq desc) as rk from p) x
+      where rk = 1),
+l as (select *, lag(call_count, 1, 0) over (partition by table_id order by poll_at) as prev_count from q)
+select table_id, poll_at, call_count, prev_count, prev_count = 0 as is_new from l where call_count > prev_count""")
+def q_newly_ringing(spark, sf_dir):
+    return calls_ops.newly_ringing(shop(spark, sf_dir).ring_log)
+
+
+@query("ring_debounce", """
+with recursive r as (
+  select seq, table_id, ts, epoch_us(ts) as us, row_number() over (partition by table_id order by ts, seq) as rn
+  from s_ring_log where kind = 'ring'),
+walk(table_id, rn, seq, ts, last_us, accepted) as (
+  select table_id, rn, seq, ts, us, true from r where rn = 1
+  union all
+  select r.table_id, r.rn, r.seq, r.ts,
+         case when r.us - w.last_us >= 15000000 then r.us else w.last_us end, r.us - w.last_us >= 15000000
+  from walk w join r on r.table_id = w.table_id and r.rn = w.rn + 1)
+select seq, table_id, ts, accepted from walk""")
+def q_ring_debounce(spark, sf_dir):
+    return calls_ops.ring_debounce(shop(spark, sf_dir).ring_log)
+
+
+# ---------------------------------------------------------------- feedback
+from tavolo.operators import feedback as fb_ops  # noqa: E402
+
+
+@query("feedback_upsert", """
+with ok as (select f.*, o.restaurant_id from s_feedback_events f join s_orders o on o.order_id = f.order_id
+            where f.rating between 1 and 5),
+x as (select ok.*, row_number() over (partition by order_id order by seq desc) as rk,
+             min(seq) over (partition by order_id) as first_seq, count(*) over (partition by order_id) as n_submissions
+      from ok)
+select order_id, restaurant_id, rating, comment, first_seq, n_submissions from x where rk = 1""")
+def q_feedback_upsert(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return fb_ops.feedback_upsert(s.feedback_events, s.orders)
+
+
+@query("rejected_feedback", """
+select * from (
+  select f.order_id, f.seq, f.rating,
+         case when o.order_id is null then 'Order not found'
+              when f.rating < 1 or f.rating > 5 then 'Rating must be between 1 and 5'
+              when f.rating is null then 'null value in column "rating" violates not-null constraint' end as reason
+  from s_feedback_events f left join s_orders o on o.order_id = f.order_id) x
+where reason is not null""")
+def q_rejected_feedback(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return fb_ops.rejected_feedback(s.feedback_events, s.orders)
+
+
+# ---------------------------------------------------------------- carts
+from tavolo.operators import carts as cart_ops  # noqa: E402
+
+_CART_LINES = """
+c0 as (select *, max(case when delta = 0 then seq end) over (partition by cart_id, item_id) as reset from s_cart_events),
+c1 as (select *, reset is null or seq > reset as live from c0),
+c2 as (select *, sum(case when live then delta else 0 end) over (partition by cart_id, item_id order by seq
+          rows between unbounded preceding and current row) as s from c1),
+c3 as (select *, min(case when live then s end) over (partition by cart_id, item_id order by seq
+          rows between unbounded preceding and current row) as m from c2),
+c4 as (select *, case when live then s - least(0, m) else 0 end as q from c3),
+c5 as (select cart_id, item_id, cast(arg_max(q, seq) as bigint) as qty,
+              max(case when q = 1 and delta = 1 then seq end) as line_since from c4 group by cart_id, item_id),
+cart as (select c5.cart_id, c5.item_id, c5.qty, c5.line_since, m.name, m.price
+         from c5 left join s_menu_items m on m.menu_item_id = c5.item_id where c5.qty > 0)"""
+
+
+def _cart_lines(s):
+    return cart_ops.cart_fold(s.cart_events, s.menu_items)
+
+
+@query("cart_fold", f"with {_CART_LINES} select cart_id, item_id, qty, line_since, name, cast(price as double) as price from cart")
+def q_cart_fold(spark, sf_dir):
+    return _money_out(_cart_lines(shop(spark, sf_dir)), "price")
+
+
+@query("cart_summary", f"""
+with {_CART_LINES}
+select cart_id, cast(sum(qty) as bigint) as item_count, cast(cast(sum(price * qty) as decimal(18,4)) as double) as cart_value
+from cart group by cart_id""")
+def q_cart_summary(spark, sf_dir):
+    return _money_out(cart_ops.cart_summary(_cart_lines(shop(spark, sf_dir))), "cart_value")
+
+
+@query("cart_availability_prune", f"""
+with {_CART_LINES},
+j as (select c.*, coalesce(not m.is_available, true) as gone from cart c
+      left join s_menu_items m on m.menu_item_id = c.item_id)
+select cart_id, count(*) filter (where not gone) as kept_lines, count(*) filter (where gone) as removed_lines,
+       coalesce(string_agg(name, ', ' order by line_since, name) filter (where gone), '') as removed_names
+from j group by cart_id""")
+def q_cart_availability_prune(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return cart_ops.cart_availability_prune(_cart_lines(s), s.menu_items)
+
+
+# ---------------------------------------------------------------- receipts
+from tavolo.operators import receipts as rc_ops  # noqa: E402
+
+_RECEIPT = """
+j as (select o.order_id, o.total, r.name as r_name, r.currency, r.whatsapp_number
+      from s_orders o left join s_restaurants r on r.restaurant_id = o.restaurant_id),
+li as (select i.order_id,
+         string_agg(cast(i.qty as varchar) || 'x ' || i.name_snapshot || ' - ' || j.currency || ' ' ||
+                    cast(cast(floor(coalesce(i.price_snapshot, 0) * coalesce(i.qty, 0) + 0.5) as bigint) as varchar), chr(10)
+                    order by i.line_no, i.menu_item_id, i.name_snapshot, i.price_snapshot, i.qty) as body
+       from s_order_items i join j on j.order_id = i.order_id group by i.order_id),
+t as (select j.order_id, j.whatsapp_number,
+        concat_ws(chr(10), 'Order receipt - ' || j.r_name, '', li.body, '',
+                  'Total: ' || j.currency || ' ' || cast(cast(floor(coalesce(j.total, 0) + 0.5) as bigint) as varchar)) as receipt
+      from j left join li on li.order_id = j.order_id)"""
+
+_ENCODE = ("replace(replace(replace(replace(replace(url_encode({x}), '%21', '!'), '%27', ''''), "
+           "'%28', '('), '%29', ')'), '%2A', '*')")
+
+
+@query("receipt_text", f"with {_RECEIPT} select order_id, receipt from t")
+def q_receipt_text(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return rc_ops.receipt_text(s.orders, s.order_items, s.restaurants)
+
+
+@query("receipt_link_restaurant", f"""
+with {_RECEIPT}
+select order_id, case when whatsapp_number is not null and whatsapp_number <> ''
+  then 'https://wa.me/' || regexp_replace(whatsapp_number, '[^0-9]', '', 'g') || '?text=' || {_ENCODE.format(x='receipt')}
+  end as link from t""")
+def q_receipt_link_restaurant(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return rc_ops.receipt_link_restaurant(s.orders, s.order_items, s.restaurants)
+
+
+@query("receipt_link_customer", f"""
+with {_RECEIPT},
+ph as (select distinct order_id, case when length(trim(phone)) > 0 then phone end as phone from s_requests_flat),
+u as (select t.order_id, ph.phone, t.receipt || chr(10) || chr(10) || 'Thank you for dining with us!' as txt
+      from t left join ph on ph.order_id = t.order_id)
+select order_id, case when phone is not null and phone <> ''
+  then 'https://wa.me/' || regexp_replace(phone, '[^0-9]', '', 'g') || '?text=' || {_ENCODE.format(x='txt')}
+  end as link from u""")
+def q_receipt_link_customer(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    orders, cust = _customers(s)
+    return rc_ops.receipt_link_customer(orders, s.order_items, s.restaurants, cust)
+
+
+# ---------------------------------------------------------------- integrity
+from tavolo.operators import integrity as ig  # noqa: E402
+
+
+def _frames(s, orders=None):
+    return ig.ShopFrames(s.restaurants, s.tables, s.categories, s.menu_items, s.staff,
+                         orders if orders is not None else s.orders, s.order_items, s.calls, s.feedback)
+
+
+def _deletes(s):
+    r = s.restaurants.where(F.col("restaurant_id") % 10 == 0).select("restaurant_id")
+    t = s.tables.where(F.col("table_id") % 7 == 0).select("table_id")
+    st = s.staff.where(F.col("staff_id") == 3).select("staff_id")
+    return r, t, st
+
+
+_KEPT = """
+kr as (select * from s_restaurants where restaurant_id % 10 <> 0),
+kt as (select * from s_tables where restaurant_id in (select restaurant_id from kr) and table_id % 7 <> 0),
+ks as (select * from s_staff where restaurant_id in (select restaurant_id from kr) and staff_id <> 3),
+ko as (select * from s_orders where restaurant_id in (select restaurant_id from kr))"""
+
+
+@query("cascade_delete", f"""
+with {_KEPT}
+select 'restaurants' as table_name, (select count(*) from s_restaurants) as rows_before, (select count(*) from kr) as rows_after
+union all select 'tables', (select count(*) from s_tables), (select count(*) from kt)
+union all select 'categories', (select count(*) from s_categories),
+  (select count(*) from s_categories where restaurant_id in (select restaurant_id from kr))
+union all select 'menu_items', (select count(*) from s_menu_items),
+  (select count(*) from s_menu_items where restaurant_id in (select restaurant_id from kr))
+union all select 'staff', (select count(*) from s_staff), (select count(*) from ks)
+union all select 'orders', (select count(*) from s_orders), (select count(*) from ko)
+union all select 'order_items', (select count(*) from s_order_items),
+  (select count(*) from s_order_items where order_id in (select order_id from ko))
+union all select 'calls', (select count(*) from s_calls),
+  (select count(*) from s_calls where restaurant_id in (select restaurant_id from kr) and table_id in (select table_id from kt))
+union all select 'feedback', (select count(*) from s_feedback),
+  (select count(*) from s_feedback where order_id in (select order_id from ko))""")
+def q_cascade_delete(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    before = _frames(s)
+    after = ig.cascade_delete(before, *_deletes(s))
+    return ig.row_counts(before, after)
+
+
+@query("null_dangling_refs", f"""
+with {_KEPT}
+select o.order_id, o.restaurant_id,
+       case when o.table_id in (select table_id from kt) then o.table_id end as table_id,
+       case when o.staff_id in (select staff_id from ks) then o.staff_id end as staff_id
+from ko o""")
+def q_null_dangling_refs(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    after = ig.cascade_delete(_frames(s), *_deletes(s))
+    return after.orders.select("order_id", "restaurant_id", "table_id", "staff_id")
+
+
+def _summary(pairs):
+    out = None
+    for name, df, ref in pairs:
+        part = df.agg(F.count(F.lit(1)).alias("rows"),
+                      (F.count(F.lit(1)) - F.count(ref) if ref else F.lit(0).cast("bigint")).alias("null_refs"))
+        part = part.select(F.lit(name).alias("table_name"), "rows", "null_refs")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("remove_staff", """
+select 'orders' as table_name, count(*) as rows, count(*) filter (where staff_id is null or staff_id = 3) as null_refs from s_orders
+union all select 'calls', count(*), count(*) filter (where acknowledged_by is null or acknowledged_by = 3) from s_calls
+union all select 'staff', count(*) filter (where staff_id <> 3), 0 from s_staff""")
+def q_remove_staff(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    gone = s.staff.where(F.col("staff_id") == 3).select("staff_id")
+    o, c, st = ig.remove_staff(s.orders, s.calls, s.staff, gone)
+    return _summary([("orders", o, "staff_id"), ("calls", c, "acknowledged_by"), ("staff", st, None)])
+
+
+@query("remove_table", """
+select 'orders' as table_name, count(*) as rows, count(*) filter (where table_id is null or table_id % 7 = 0) as null_refs from s_orders
+union all select 'calls', count(*) filter (where table_id % 7 <> 0), 0 from s_calls
+union all select 'tables', count(*) filter (where table_id % 7 <> 0), 0 from s_tables""")
+def q_remove_table(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    gone = s.tables.where(F.col("table_id") % 7 == 0).select("table_id")
+    o, c, t = ig.remove_table(s.orders, s.calls, s.tables, gone)
+    return _summary([("orders", o, "table_id"), ("calls", c, None), ("tables", t, None)])
+
+
+@query("constraint_audit", f"""
+with cust as ({_CUSTOMERS_SQL})
+select 'restaurants.slug unique' as rule,
+  cast(coalesce((select sum(n) from (select count(*) as n from s_restaurants group by slug having count(*) > 1)), 0) as bigint) as violations
+union all select 'restaurant_tables.qr_token unique',
+  cast(coalesce((select sum(n) from (select count(*) as n from s_tables group by qr_token having count(*) > 1)), 0) as bigint)
+union all select 'customers (restaurant_id, phone) unique',
+  cast(coalesce((select sum(n) from (select count(*) as n from cust group by restaurant_id, phone having count(*) > 1)), 0) as bigint)
+union all select 'order_items not null',
+  (select count(*) from s_order_items where name_snapshot is null or price_snapshot is null or qty is null)
+union all select 'menu_items not null', (select count(*) from s_menu_items where name is null or price is null)
+union all select 'feedback.rating between 1 and 5',
+  (select count(*) from s_feedback where rating is null or rating < 1 or rating > 5)
+union all select 'feedback.order_id unique',
+  cast(coalesce((select sum(n) from (select count(*) as n from s_feedback group by order_id having count(*) > 1)), 0) as bigint)""")
+def q_constraint_audit(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    cust = ingest.customer_upsert(s.request_headers)
+    return ig.constraint_audit(s.restaurants, s.tables, cust, s.order_items, s.feedback, s.menu_items)
+
+
+@query("staff_role_audit", """
+select staff_id, restaurant_id, role as role_before, case when role = 'waiter' then 'headwaiter' else role end as role,
+       (case when role = 'waiter' then 'headwaiter' else role end) in ('owner', 'manager', 'cashier', 'headwaiter', 'kitchen') as role_valid
+from s_staff""")
+def q_staff_role_audit(spark, sf_dir):
+    return ig.staff_role_audit(shop(spark, sf_dir).staff)
