@@ -388,6 +388,16 @@ def _customers(s):
     return orders, cust
 
 
+TENANT_SLUG = "nation_7"
+
+
+@query("tenant_scan", f"""
+select restaurant_id, name, slug, currency, cast(tax_rate as double) as tax_rate, whatsapp_number
+from s_restaurants where slug = '{TENANT_SLUG}'""")
+def q_tenant_scan(spark, sf_dir):
+    return _money_out(reads.tenant_scan(shop(spark, sf_dir).restaurants, TENANT_SLUG), "tax_rate")
+
+
 @query("open_orders", f"""
 with lines as ({_LINES_SQL}),
 ph as (select distinct order_id, case when length(trim(phone)) > 0 then phone end as customer_phone from s_requests_flat)

@@ -26,6 +26,15 @@ ROLE_QUEUES = {
 }
 
 
+def tenant_scan(restaurants: DataFrame, slug: str) -> DataFrame:
+    """The tenant row(s) for a slug -- a filter pushed into the scan.
+
+    Exactly one row is expected; duplicates are reported by
+    ``constraint_audit`` ("restaurants.slug unique").
+    """
+    return restaurants.where(F.col("slug") == F.lit(slug))
+
+
 def _labels(tables: DataFrame) -> DataFrame:
     return tables.select("table_id", F.col("label").alias("table_label"))
 
