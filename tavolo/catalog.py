@@ -199,8 +199,8 @@ select order_id, restaurant_id, cast(subtotal as double) as subtotal, cast(tax a
        cast(cast(subtotal + tax as decimal(18,4)) as double) as total from x""")
 def q_order_totals(spark, sf_dir):
     s = shop(spark, sf_dir)
-    accepted, _ = ingest.parse_requests(s.requests, s.restaurants, s.menu_items)
-    return ingest.order_totals(accepted, s.restaurants).select(
+    lines = ingest.parse_request_lines(s.requests, s.restaurants, s.menu_items)
+    return ingest.order_totals(lines, s.restaurants).select(
         "order_id", "restaurant_id", *dbl("subtotal", "tax", "total"))
 
 

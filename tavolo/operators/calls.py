@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tavolo.operators.common import RING_COOLDOWN_SECONDS, URGENT_ABOVE
 
-_BY_TABLE = Window.partitionBy("table_id").orderBy("seq")
-_RUNNING = _BY_TABLE.rowsBetween(Window.unboundedPreceding, 0)
+
+def _running_by_table():
+    return Window.partitionBy("table_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def with_open_counts(ring_log: DataFrame) -> DataFrame:
     """Per event: unacknowledged rings of the table right after it."""
+    run = _running_by_table()
     ring = (F.col("kind") == "ring").cast("long")
-    rings_so_far = F.sum(ring).over(_RUNNING)
-    at_last_ack = F.last(F.when(F.col("kind") == "ack", rings_so_far), ignorenulls=True).over(_RUNNING)
+    rings_so_far = F.sum(ring).over(run)
+    at_last_ack = F.last(F.when(F.col("kind") == "ack", rings_so_far), ignorenulls=True).over(run)
     return ring_log.withColumn("open_count", rings_so_far - F.coalesce(at_last_ack, F.lit(0)))
 
 

@@ -12,7 +12,7 @@ shuffle; only the foreign-key checks join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tavolo.functions.money import MONEY, tax_on
@@ -43,54 +43,57 @@ def _line_error(x):
             .when(x["qty"].isNull(), F.lit("missing qty")))
 
 
-def parse_requests(requests: DataFrame, restaurants: DataFrame, menu_items: DataFrame):
-    """-> (accepted requests with typed ``lines`` array, rejected requests).
+def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items: DataFrame) -> DataFrame:
+    """One row per (request, item) with the request's verdict.
+
+    Columns: the request header, ``line_idx`` / typed item fields (NULL
+    for a request with an empty list, which is kept as one row), and
+    ``reason`` -- NULL when the whole request is accepted.
 
     Row-local checks (JSON shape, casts, not-null fields) are array
-    expressions on the request row.  Tenant and menu-item existence are
-    joins: the tenant side is a dimension; item ids are exploded, checked
-    against the menu with a left anti join, and the offending request ids
-    are removed with another anti join.
+    expressions on the request row; the tenant and menu-item checks are
+    left joins against the dimensions.  The per-request verdict is a
+    window over ``order_id``: when the input is already partitioned by
+    order (as a log keyed by order is) this adds a sort but no shuffle,
+    and the request subtree is evaluated once.
     """
     parsed = requests.withColumn("raw_items", F.from_json(F.col("items"), RAW_ITEMS))
-    parsed = parsed.withColumn("lines", F.transform("raw_items", lambda x: _typed(x)))
-    errs = F.filter(F.transform("lines", _line_error), lambda e: e.isNotNull())
-    parsed = parsed.withColumn(
-        "reason",
-        F.when(F.col("items").isNull() | F.col("raw_items").isNull(), F.lit("items is not a JSON array"))
-        .when(F.size(errs) > 0, F.element_at(errs, 1)))
+    parsed = parsed.withColumn("typed", F.transform("raw_items", lambda x: _typed(x)))
+    errs = F.filter(F.transform("typed", _line_error), lambda e: e.isNotNull())
     known_tenant = restaurants.select("restaurant_id", F.lit(True).alias("tenant_ok"))
     parsed = (parsed.join(known_tenant, "restaurant_id", "left")
-              .withColumn("reason", F.coalesce(
-                  F.col("reason"),
-                  F.when(F.col("tenant_ok").isNull(), F.lit("unknown restaurant")))))
-    row_ok = parsed.where(F.col("reason").isNull())
-    ids = (row_ok.select("order_id", F.explode("lines").alias("l"))
-           .select("order_id", F.col("l.menu_item_id").alias("menu_item_id"))
-           .where(F.col("menu_item_id").isNotNull()))
-    unknown = (ids.join(menu_items.select("menu_item_id"), "menu_item_id", "left_anti")
-               .select("order_id").distinct())
-    accepted = row_ok.join(unknown, "order_id", "left_anti").drop("raw_items", "reason", "tenant_ok")
-    rejected = (parsed.where(F.col("reason").isNotNull()).select("order_id", "restaurant_id", "reason")
-                .unionByName(row_ok.join(unknown, "order_id", "left_semi")
-                             .select("order_id", "restaurant_id", F.lit("unknown menu item").alias("reason"))))
-    accepted = accepted.withColumn(
-        "lines", F.transform("lines", lambda x: x.dropFields("raw")))
-    return accepted, rejected
+              .withColumn("row_reason",
+                          F.when(F.col("items").isNull() | F.col("raw_items").isNull(),
+                                 F.lit("items is not a JSON array"))
+                          .when(F.size(errs) > 0, F.element_at(errs, 1))
+                          .when(F.col("tenant_ok").isNull(), F.lit("unknown restaurant"))))
+    heads = [c for c in requests.columns if c != "items"]
+    lines = parsed.select(*heads, "row_reason",
+                          F.posexplode_outer(F.coalesce("typed", F.array().cast(parsed.schema["typed"].dataType)))
+                          .alias("line_idx", "l"))
+    lines = lines.select(*heads, "row_reason", "line_idx",
+                         F.col("l.menu_item_id").alias("menu_item_id"), F.col("l.name").alias("name"),
+                         F.col("l.price").alias("price"), F.col("l.qty").alias("qty"))
+    known_item = menu_items.select("menu_item_id", F.lit(True).alias("item_ok"))
+    lines = lines.join(known_item, "menu_item_id", "left")
+    unknown = F.max((F.col("menu_item_id").isNotNull() & F.col("item_ok").isNull()).cast("int")) \
+        .over(Window.partitionBy("order_id"))
+    reason = F.coalesce(F.col("row_reason"), F.when(unknown == 1, F.lit("unknown menu item")))
+    return lines.withColumn("reason", reason).drop("row_reason", "item_ok")
 
 
 def parse_order_requests(requests, restaurants, menu_items) -> DataFrame:
     """Typed lines of the accepted requests (one row per item)."""
-    accepted, _ = parse_requests(requests, restaurants, menu_items)
-    return (accepted.select("order_id", "restaurant_id", F.posexplode("lines").alias("line_idx", "l"))
-            .select("order_id", "restaurant_id", "line_idx",
-                    F.col("l.menu_item_id").alias("menu_item_id"), F.col("l.name").alias("name"),
-                    F.col("l.price").alias("price"), F.col("l.qty").alias("qty")))
+    lines = parse_request_lines(requests, restaurants, menu_items)
+    return (lines.where(F.col("reason").isNull() & F.col("line_idx").isNotNull())
+            .select("order_id", "restaurant_id", "line_idx", "menu_item_id", "name", "price", "qty"))
 
 
 def rejected_requests(requests, restaurants, menu_items) -> DataFrame:
-    _, rejected = parse_requests(requests, restaurants, menu_items)
-    return rejected
+    """Quarantine: one row per rejected request with the first reason found."""
+    lines = parse_request_lines(requests, restaurants, menu_items)
+    return (lines.where(F.col("reason").isNotNull())
+            .groupBy("order_id", "restaurant_id").agg(F.min("reason").alias("reason")))
 
 
 def order_items_snapshot(lines: DataFrame) -> DataFrame:
@@ -100,18 +103,20 @@ def order_items_snapshot(lines: DataFrame) -> DataFrame:
                         "qty", (F.col("price") * F.col("qty")).cast(MONEY).alias("line_total"))
 
 
-def order_totals(accepted: DataFrame, restaurants: DataFrame) -> DataFrame:
-    """subtotal = sum(price * qty) of the request's lines (NULL for an empty list),
-    tax = round(subtotal * rate) in whole units, total = subtotal + tax."""
-    zero = F.lit(0).cast("decimal(38,4)")
-    summed = F.aggregate("lines", zero, lambda acc, x: acc + x["price"] * x["qty"])
-    sub = F.when(F.size("lines") > 0, summed.cast(MONEY))
+def order_totals(request_lines: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """subtotal = sum(price * qty) of an accepted request (NULL for an empty list),
+    tax = round(subtotal * rate) in whole units, total = subtotal + tax.
+
+    Grouping by order reuses the order partitioning of the parsed lines.
+    """
+    ok = request_lines.where(F.col("reason").isNull())
+    sub = (ok.groupBy("order_id", "restaurant_id")
+           .agg(F.sum(F.col("price") * F.col("qty")).cast(MONEY).alias("subtotal")))
     rates = restaurants.select("restaurant_id", "tax_rate")
-    return (accepted.join(rates, "restaurant_id", "left")
-            .select("order_id", "restaurant_id", sub.alias("subtotal"), "tax_rate")
+    return (sub.join(rates, "restaurant_id", "left")
             .withColumn("tax", tax_on(F.col("subtotal"), F.col("tax_rate")))
             .withColumn("total", (F.col("subtotal") + F.col("tax")).cast(MONEY))
-            .drop("tax_rate"))
+            .select("order_id", "restaurant_id", "subtotal", "tax", "total"))
 
 
 def customer_key(restaurant_id, phone):
