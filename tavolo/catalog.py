@@ -226,7 +226,7 @@ select order_id, case when length(trim(phone)) > 0
 from {_REQ_HEADERS} h""")
 def q_order_customer_link(spark, sf_dir):
     s = shop(spark, sf_dir)
-    return ingest.order_customer_link(s.request_headers, ingest.customer_upsert(s.request_headers))
+    return ingest.order_customer_link(s.request_headers)
 
 
 @query("derive_order_type", """
@@ -381,11 +381,10 @@ from s_order_items group by order_id"""
 
 
 def _customers(s):
-    heads = s.request_headers
-    cust = ingest.customer_upsert(heads)
-    link = ingest.order_customer_link(heads, cust)
-    orders = s.orders.drop("customer_id").join(link, "order_id", "left")
-    return orders, cust
+    """Orders carrying the minted customer id, and the id -> phone dimension."""
+    o = s.orders_with_phone
+    minted = F.when(F.length(F.trim("phone")) > 0, ingest.customer_key(F.col("restaurant_id"), F.col("phone")))
+    return o.withColumn("customer_id", minted).drop("phone", "opt_in"), ingest.customer_phones(o)
 
 
 TENANT_SLUG = "nation_7"

@@ -151,12 +151,28 @@ def customer_upsert(requests: DataFrame, existing: DataFrame | None = None) -> D
                     "restaurant_id", "phone", "created_at", "marketing_opt_in", "n_requests")
 
 
-def order_customer_link(requests: DataFrame, customers: DataFrame) -> DataFrame:
-    """order -> customer id; NULL when the phone is blank."""
-    c = customers.select("restaurant_id", "phone", "customer_id")
+def order_customer_link(requests: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """order -> customer id; NULL when the phone is blank.
+
+    Ids minted here are the key hash, so without a stored snapshot of
+    externally assigned ids no join is needed; with one, a left join on
+    (tenant, phone) picks the stored id.
+    """
     r = requests.select("order_id", "restaurant_id", "phone")
+    blank = is_blank(F.col("phone"))
+    if customers is None:
+        return r.select("order_id", F.when(~blank, customer_key(F.col("restaurant_id"), F.col("phone")))
+                        .alias("customer_id"))
+    c = customers.select("restaurant_id", "phone", "customer_id")
     return (r.join(c, ["restaurant_id", "phone"], "left")
-            .select("order_id", F.when(~is_blank(F.col("phone")), F.col("customer_id")).alias("customer_id")))
+            .select("order_id", F.when(~blank, F.col("customer_id")).alias("customer_id")))
+
+
+def customer_phones(requests: DataFrame) -> DataFrame:
+    """customer_id -> phone for the ids minted by ``customer_key``."""
+    return (requests.where(~is_blank(F.col("phone")))
+            .select(customer_key(F.col("restaurant_id"), F.col("phone")).alias("customer_id"), "phone")
+            .distinct())
 
 
 def derive_order_type(orders: DataFrame) -> DataFrame:

@@ -228,16 +228,19 @@ class Shop:
             F.col("ts"),
         )
 
+    @cached_property
+    def orders_with_phone(self) -> DataFrame:
+        """Orders plus the phone / opt-in their create_order call carried."""
+        return self.orders.withColumns({
+            "phone": F.when(F.col("customer_id") % 10 == 0, "  ")
+                      .otherwise((F.lit(5550000) + F.col("customer_id")).cast("string")),
+            "opt_in": F.col("order_id") % 2 == 0,
+        })
+
     @cached_property
     def request_headers(self) -> DataFrame:
         """One create_order call per order, without its items."""
-        return self.orders.select(
-            "order_id", "restaurant_id",
-            F.when(F.col("customer_id") % 10 == 0, "  ")
-             .otherwise((F.lit(5550000) + F.col("customer_id")).cast("string")).alias("phone"),
-            (F.col("order_id") % 2 == 0).alias("opt_in"),
-            "created_at",
-        )
+        return self.orders_with_phone.select("order_id", "restaurant_id", "phone", "opt_in", "created_at")
 
     @cached_property
     def requests_flat(self) -> DataFrame:
