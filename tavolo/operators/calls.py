@@ -11,41 +11,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tavolo.operators.common import RING_COOLDOWN_SECONDS, URGENT_ABOVE
+from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
 
 
-def _running_by_table():
-    return Window.partitionBy("table_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
 
+def with_open_counts(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Per event: unacknowledged rings of the table right after it.
 
-def with_open_counts(ring_log: DataFrame) -> DataFrame:
-    """Per event: unacknowledged rings of the table right after it."""
-    run = _running_by_table()
+    open = R - R_at_last_ack, with R the running count of rings: a prefix
+    sum and a prefix last-non-null, both split into chunks of seq so a
+    busy table is spread over tasks.
+    """
     ring = (F.col("kind") == "ring").cast("long")
-    rings_so_far = F.sum(ring).over(run)
-    at_last_ack = F.last(F.when(F.col("kind") == "ack", rings_so_far), ignorenulls=True).over(run)
-    return ring_log.withColumn("open_count", rings_so_far - F.coalesce(at_last_ack, F.lit(0)))
+    e = prefix_by_key(ring_log, ["table_id"], "seq",
+                      [[Prefix("r", "sum", ring)],
+                       [Prefix("r_ack", "last", F.when(F.col("kind") == "ack", F.col("r")))]], chunk_size)
+    return e.withColumn("open_count", F.col("r") - F.coalesce("r_ack", F.lit(0))).drop("r", "r_ack")
 
 
-def ring_counts(ring_log: DataFrame) -> DataFrame:
+def ring_counts(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """What ring_bell returns: the table's open rings after each ring."""
-    return (with_open_counts(ring_log).where(F.col("kind") == "ring")
+    return (with_open_counts(ring_log, chunk_size).where(F.col("kind") == "ring")
             .select("seq", "table_id", "ts", "open_count"))
 
 
-def acknowledge_fold(ring_log: DataFrame) -> DataFrame:
+def acknowledge_fold(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Each ring with the first later ack of its table (who, when), if any.
 
-    "Nearest later ack" is a last-non-null over the *descending* order,
-    a growing frame that Spark evaluates incrementally (a frame running
-    to unbounded following would be re-evaluated per row).
+    "Nearest later ack" is a last-non-null scan in descending seq order,
+    chunked like every other running aggregate here.
     """
-    later = Window.partitionBy("table_id").orderBy(F.col("seq").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
     ack = F.when(F.col("kind") == "ack", F.struct(F.col("seq").alias("ack_seq"),
                                                    F.col("staff_id").alias("by"),
                                                    F.col("ts").alias("at")))
-    nxt = F.last(ack, ignorenulls=True).over(later)
-    return (ring_log.withColumn("nxt", nxt).where(F.col("kind") == "ring")
+    e = prefix_by_key(ring_log, ["table_id"], "seq", [Prefix("nxt", "last", ack, inclusive=False)],
+                      chunk_size, descending=True)
+    return (e.where(F.col("kind") == "ring")
             .select("seq", "table_id", F.col("nxt").isNotNull().alias("acknowledged"),
                     F.col("nxt.by").alias("acknowledged_by"), F.col("nxt.ack_seq").alias("ack_seq"),
                     F.col("nxt.at").alias("acknowledged_at")))
@@ -68,7 +69,7 @@ def urgent_escalations(calls: DataFrame, tables: DataFrame, urgent_above: int =
     return active_calls(calls, tables, urgent_above).where(F.col("urgent")).drop("position")
 
 
-def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600) -> DataFrame:
+def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Alerts a poller on a fixed grid would raise.
 
     A poll at instant P sees the events before P.  A table alerts when its
@@ -80,7 +81,7 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600) -> DataFrame:
     """
     step = poll_seconds * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    ev = with_open_counts(ring_log).withColumn(
+    ev = with_open_counts(ring_log, chunk_size).withColumn(
         "poll_at", F.timestamp_micros((F.floor(us / step) + 1) * step).cast("timestamp_ntz"))
     per_poll = (ev.groupBy("table_id", "poll_at")
                 .agg(F.max_by("open_count", F.struct("ts", "seq")).alias("call_count")))
@@ -91,20 +92,24 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600) -> DataFrame:
                     (F.col("prev_count") == 0).alias("is_new")))
 
 
-def ring_debounce(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS) -> DataFrame:
+def ring_debounce(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS,
+                  chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Drop rings within ``cooldown_s`` of the last *accepted* ring of the table.
 
     A ring at least ``cooldown_s`` after the previous ring is always
-    accepted, so rings are first cut into bursts at such gaps (``lag``);
+    accepted, so rings are first cut into bursts at such gaps (previous
+    ring = a chunked last-value scan, burst id = a chunked running sum);
     only inside a burst is the greedy rule sequential, and there it is an
     ``aggregate()`` over the burst's sorted timestamps.
     """
     gap = cooldown_s * 1_000_000
     r = (ring_log.where(F.col("kind") == "ring")
          .select("seq", "table_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
-    w = Window.partitionBy("table_id").orderBy("us", "seq")
-    r = r.withColumn("cut", F.coalesce(F.col("us") - F.lag("us").over(w) >= gap, F.lit(True)))
-    r = r.withColumn("burst", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    span = chunk_size * gap  # chunks of time, each many cooldowns wide
+    cut = F.coalesce(F.col("us") - F.col("prev_us") >= gap, F.lit(True)).cast("long")
+    r = prefix_by_key(r, ["table_id"], "us",
+                      [[Prefix("prev_us", "last", F.col("us"), inclusive=False)],
+                       [Prefix("burst", "sum", cut)]], span, tiebreak="seq")
     bursts = (r.groupBy("table_id", "burst")
               .agg(F.sort_array(F.collect_list(F.struct("us", "seq", "ts"))).alias("rs")))
     init = F.struct(F.lit(None).cast("long").alias("last"),

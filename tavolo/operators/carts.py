@@ -6,36 +6,43 @@ line is ignored, a line at 0 disappears) and a remove clears the line.
 That floored walk has a closed form: over the events after the last
 remove, with S the running sum of deltas (S0 = 0),
 ``qty = S - min(0, min S)`` -- so running windows replace a sequential
-fold and no per-cart list is ever gathered.
+fold and no per-cart list is ever gathered.  The running aggregates are
+chunked (``tavolo.plans.scan``), so a hot cart line is split over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tavolo.functions.money import MONEY
+from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
 
 
-def cart_line_states(cart_events: DataFrame) -> DataFrame:
-    """Per event: the line's quantity right after it."""
-    key = Window.partitionBy("cart_id", "item_id")
-    run = key.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last_remove = F.max(F.when(F.col("delta") == 0, F.col("seq"))).over(key)
-    e = cart_events.withColumn("reset", last_remove)
-    live = F.col("reset").isNull() | (F.col("seq") > F.col("reset"))
-    e = e.withColumn("live", live)
-    e = e.withColumn("s", F.sum(F.when(live, F.col("delta")).otherwise(0)).over(run))
-    e = e.withColumn("m", F.min(F.when(live, F.col("s"))).over(run))
-    return e.withColumn("q", F.when(live, F.col("s") - F.least(F.lit(0), F.col("m"))).otherwise(0))
+def cart_line_states(cart_events: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Per event: the line's quantity right after it (for the events after the
+    line's last remove; earlier events get 0 -- they no longer matter).
+
+    Three chunked scans per (cart, item), one shuffle: removes at or after
+    the event (a suffix sum), the running sum S of live deltas, and its
+    running minimum.
+    """
+    live = F.col("removes_after") == 0
+    e = prefix_by_key(cart_events, ["cart_id", "item_id"], "seq", [
+        [Prefix("removes_after", "sum", (F.col("delta") == 0).cast("long"), reverse=True)],
+        [Prefix("s", "sum", F.when(live, F.col("delta")).otherwise(F.lit(0)).cast("long"))],
+        [Prefix("m", "min", F.when(live, F.col("s")))],
+    ], chunk_size)
+    return e.withColumn("live", live).withColumn(
+        "q", F.when(live, F.col("s") - F.least(F.lit(0), F.col("m"))).otherwise(F.lit(0)))
 
 
-def cart_fold(cart_events: DataFrame, menu_items: DataFrame) -> DataFrame:
+def cart_fold(cart_events: DataFrame, menu_items: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Current cart lines (qty > 0) with the item's name and price.
 
     ``line_since`` is the event that (re)created the line, which is the
     line's position in the cart.
     """
-    st = cart_line_states(cart_events)
+    st = cart_line_states(cart_events, chunk_size)
     g = st.groupBy("cart_id", "item_id").agg(
         F.max_by("q", "seq").alias("qty"),
         F.max(F.when((F.col("q") == 1) & (F.col("delta") == 1), F.col("seq"))).alias("line_since"))

@@ -19,53 +19,64 @@ everything else is an aggregate:
 5. closed_at = time of the last void or 'closed' event, payment = the
    last non-null payment.
 
-One shuffle (by order_id) feeds the window; the aggregate reuses its
-partitioning and sort order.
+The log is shuffled once (by order and chunk of seq) for the running
+scans; the per-order aggregate then combines map-side.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tavolo.functions.money import DEFAULT_TAX_RATE, MONEY, RATE, tax_on
 from tavolo.functions.text import ACTIVE_STATUSES
+from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
 
 ADD_REJECTED = "This order is no longer open for additions"
 EDIT_REJECTED = "This order is no longer open for editing"
 
 
-def annotate_events(events: DataFrame) -> DataFrame:
-    """Per event: the order's status before it, and whether it is valid."""
+def annotate_events(events: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Per event: the order's status before it, and whether it is valid.
+
+    Both scans are chunked running aggregates (``tavolo.plans.scan``): the
+    log is shuffled once by (order, chunk of seq), so even an order with a
+    huge log is spread over tasks.
+    """
     kind = F.col("kind")
     effect = (F.when(kind == "create", F.lit("open"))
               .when(kind == "status", F.col("status_arg"))
               .when(kind == "void", F.lit("void")))
-    before = Window.partitionBy("order_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("order_id")
-    e = events.withColumn("effect", effect)
-    e = e.withColumn("prior", F.last("effect", ignorenulls=True).over(before))
     edit = kind.isin("add", "replace")
     # create always applies; add / replace need an active order; status
     # and void need an existing one (else a silent no-op).
-    e = e.withColumn("valid", F.when(kind == "create", F.lit(True))
-                     .when(edit, F.coalesce(F.col("prior").isin(*ACTIVE_STATUSES), F.lit(False)))
-                     .otherwise(F.col("prior").isNotNull()))
+    valid = (F.when(kind == "create", F.lit(True))
+             .when(edit, F.coalesce(F.col("prior").isin(*ACTIVE_STATUSES), F.lit(False)))
+             .otherwise(F.col("prior").isNotNull()))
+    base_candidate = F.when((kind == "create") | ((kind == "replace") & valid), F.col("seq"))
+    e = prefix_by_key(events, ["order_id"], "seq", [
+        [Prefix("prior", "last", effect, inclusive=False)],
+        # the whole-order max = max(running max, running max from the end)
+        [Prefix("base_fwd", "max", base_candidate), Prefix("base_rev", "max", base_candidate, reverse=True)],
+    ], chunk_size)
+    e = (e.withColumn("effect", effect).withColumn("valid", valid)
+         .withColumn("base_seq", F.greatest("base_fwd", "base_rev")).drop("base_fwd", "base_rev"))
     e = e.withColumn("status_after", F.when((kind == "add") & F.col("valid"), F.lit("open"))
                      .when(edit, F.lit(None).cast("string"))
                      .when(F.col("valid"), F.col("effect")))
-    base = F.max(F.when((kind == "create") | ((kind == "replace") & F.col("valid")), F.col("seq"))).over(whole)
-    e = e.withColumn("base_seq", base)
-    e = e.withColumn("is_line", (kind.isin("create", "replace", "add")) & F.col("valid")
-                     & (F.col("seq") >= F.col("base_seq")))
-    return e
+    return e.withColumn("is_line", kind.isin("create", "replace", "add") & F.col("valid")
+                        & (F.col("seq") >= F.col("base_seq")))
+
 
+def fold_orders(events: DataFrame, tax_rate=None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """One row per order: status, payment, closed_at, lines and totals.
 
-def fold_orders(events: DataFrame, tax_rate=None) -> DataFrame:
-    """One row per order: status, payment, closed_at, lines and totals."""
+    The aggregate combines map-side (partial max_by / sum / count), so a
+    hot order is pre-aggregated per chunk before the final shuffle.
+    """
     rate = F.lit(Decimal(tax_rate or DEFAULT_TAX_RATE)).cast(RATE)
-    e = annotate_events(events)
+    e = annotate_events(events, chunk_size)
     kind = F.col("kind")
     amount = F.when(F.col("is_line"), F.col("price").cast(MONEY) * F.col("qty"))
     closing = F.col("valid") & ((kind == "void") | ((kind == "status") & (F.col("status_arg") == "closed")))
@@ -94,8 +105,8 @@ def fold_orders(events: DataFrame, tax_rate=None) -> DataFrame:
     return agg.where(F.col("created_at").isNotNull()).drop("base_kind")
 
 
-def order_state(events: DataFrame, tax_rate=None) -> DataFrame:
-    return fold_orders(events, tax_rate).select(
+def order_state(events: DataFrame, tax_rate=None, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    return fold_orders(events, tax_rate, chunk_size).select(
         "order_id", "status", "payment_method", "created_at", "closed_at", "subtotal", "tax", "total",
         "n_lines", "last_seq")
 
@@ -120,9 +131,9 @@ def replace_items_fold(events: DataFrame, tax_rate=None) -> DataFrame:
             .select("order_id", "n_replaces", "base_seq", "n_lines", "subtotal", "tax", "total"))
 
 
-def rejected_order_events(events: DataFrame) -> DataFrame:
+def rejected_order_events(events: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Add / replace events on an order that was not active (or missing)."""
-    e = annotate_events(events)
+    e = annotate_events(events, chunk_size)
     return (e.where(F.col("kind").isin("add", "replace") & ~F.col("valid"))
             .select("order_id", "seq", "kind", F.col("prior").alias("status_before"),
                     F.when(F.col("kind") == "add", F.lit(ADD_REJECTED))

@@ -33,29 +33,29 @@ def order_logs(draw):
     return rows
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(order_logs())
-def test_order_fold_equals_replay(spark, rows):
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(order_logs(), st.sampled_from([1, 2, 3, 1 << 16]))
+def test_order_fold_equals_replay(spark, rows, chunk):
     df = spark.createDataFrame(rows, EV_SCHEMA)
     got = {r.order_id: (r.status, r.payment_method, r.closed_at, float(r.subtotal), float(r.tax),
                         float(r.total), r.n_lines)
-           for r in orders.order_state(df).collect()}
+           for r in orders.order_state(df, chunk_size=chunk).collect()}
     keys = ["order_id", "seq", "kind", "status_arg", "payment", "qty", "price", "ts"]
     want, rejected = replay_orders([dict(zip(keys, r)) for r in rows])
     assert got == want
-    rej = sorted((r.order_id, r.seq, r.kind) for r in orders.rejected_order_events(df).collect())
+    rej = sorted((r.order_id, r.seq, r.kind) for r in orders.rejected_order_events(df, chunk).collect())
     assert rej == rejected
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.sampled_from([1, 1, -1, -1, 0])),
-                min_size=1, max_size=40))
-def test_cart_fold_equals_replay(spark, evs):
+                min_size=1, max_size=40), st.sampled_from([1, 3, 7, 1 << 16]))
+def test_cart_fold_equals_replay(spark, evs, chunk):
     rows = [(c, i, seq, d) for seq, (c, i, d) in enumerate(evs)]
     df = spark.createDataFrame(rows, "cart_id bigint, item_id bigint, seq bigint, delta int")
     menu = spark.createDataFrame([(i, f"item{i}", Decimal("1.5")) for i in range(3)],
                                  "menu_item_id bigint, name string, price decimal(18,4)")
-    got = {(r.cart_id, r.item_id): (r.qty, r.line_since) for r in carts.cart_fold(df, menu).collect()}
+    got = {(r.cart_id, r.item_id): (r.qty, r.line_since) for r in carts.cart_fold(df, menu, chunk).collect()}
     want = {}
     for key in {(c, i) for c, i, _, _ in rows}:
         q, since = replay_cart([(s, d) for c, i, s, d in rows if (c, i) == key])
@@ -64,22 +64,26 @@ def test_cart_fold_equals_replay(spark, evs):
     assert got == want
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.sampled_from(["ring", "ring", "ack"])),
-                min_size=1, max_size=40))
-def test_rings_equal_replay(spark, evs):
+                min_size=1, max_size=40), st.sampled_from([1, 3, 1 << 16]))
+def test_rings_equal_replay(spark, evs, chunk):
     t = T0
     rows = []
     for seq, (table, gap, kind) in enumerate(evs):
         t = t + dt.timedelta(seconds=gap)
         rows.append((seq, table, kind, 1, t))
     df = spark.createDataFrame(rows, "seq bigint, table_id bigint, kind string, staff_id bigint, ts timestamp_ntz")
-    got_counts = {r.seq: r.open_count for r in calls.ring_counts(df).collect()}
+    got_counts = {r.seq: r.open_count for r in calls.ring_counts(df, chunk).collect()}
     want_counts = {}
     for table in {r[1] for r in rows}:
         want_counts.update(replay_rings([(s, k) for s, tb, k, _, _ in rows if tb == table]))
     assert got_counts == want_counts
-    got_acc = {r.seq: r.accepted for r in calls.ring_debounce(df, 15).collect()}
+    got_acc = {r.seq: r.accepted for r in calls.ring_debounce(df, 15, chunk).collect()}
+    got_ack = {r.seq: r.ack_seq for r in calls.acknowledge_fold(df, chunk).collect()}
+    want_ack = {s: next((s2 for s2, tb2, k2, _, _ in rows if tb2 == tb and k2 == "ack" and s2 > s), None)
+                for s, tb, k, _, _ in rows if k == "ring"}
+    assert got_ack == want_ack
     want_acc = {}
     for table in {r[1] for r in rows}:
         rings = [(s, ts) for s, tb, k, _, ts in rows if tb == table and k == "ring"]
@@ -95,3 +99,28 @@ def test_no_python_in_fold_plans(spark):
         text = plan_df._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in text and "PythonUDF" not in text
     assert F is not None
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=30),
+       st.sampled_from([1, 2, 5]))
+def test_chunked_scan_equals_plain_window(spark, vals, chunk):
+    from pyspark.sql import Window
+    from tavolo.plans.scan import Prefix, prefix_by_key
+    rows = [(k, i, v) for i, (k, v) in enumerate(vals)]
+    df = spark.createDataFrame(rows, "k bigint, o bigint, v int")
+    specs = [Prefix("s", "sum", F.col("v")), Prefix("mx", "max", F.col("v"), inclusive=False),
+             Prefix("mn", "min", F.col("v")), Prefix("l", "last", F.col("v"), inclusive=False),
+             Prefix("rs", "sum", F.col("v"), reverse=True), Prefix("rl", "last", F.col("v"), reverse=True)]
+    got = {r.o: (r.s, r.mx, r.mn, r.l, r.rs, r.rl) for r in prefix_by_key(df, ["k"], "o", specs, chunk).collect()}
+    fw = Window.partitionBy("k").orderBy("o")
+    bw = Window.partitionBy("k").orderBy(F.col("o").desc())
+    upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    plain = df.select("o", F.sum("v").over(fw.rowsBetween(*upto)).alias("s"),
+                      F.max("v").over(fw.rowsBetween(*before)).alias("mx"),
+                      F.min("v").over(fw.rowsBetween(*upto)).alias("mn"),
+                      F.last("v", ignorenulls=True).over(fw.rowsBetween(*before)).alias("l"),
+                      F.sum("v").over(bw.rowsBetween(*upto)).alias("rs"),
+                      F.last("v", ignorenulls=True).over(bw.rowsBetween(*upto)).alias("rl"))
+    want = {r.o: (r.s, r.mx, r.mn, r.l, r.rs, r.rl) for r in plain.collect()}
+    assert got == want
