@@ -5,7 +5,7 @@ The page keeps ``qty = max(0, qty + delta)`` (a decrement on an absent
 line is ignored, a line at 0 disappears) and a remove clears the line.
 That floored walk has a closed form: over the events after the last
 remove, with S the running sum of deltas (S0 = 0),
-``qty = S - min(0, min S)`` -- so running windows replace a sequential
+``qty = S - min(0, min S)`` -- so running aggregates replace a sequential
 fold and no per-cart list is ever gathered.  The running aggregates are
 chunked (``tavolo.plans.scan``), so a hot cart line is split over tasks.
 """
@@ -22,18 +22,24 @@ def cart_line_states(cart_events: DataFrame, chunk_size: int = DEFAULT_CHUNK) ->
     """Per event: the line's quantity right after it (for the events after the
     line's last remove; earlier events get 0 -- they no longer matter).
 
-    Three chunked scans per (cart, item), one shuffle: removes at or after
-    the event (a suffix sum), the running sum S of live deltas, and its
-    running minimum.
+    With S the running sum of all deltas (a remove adds 0), the quantity
+    after a live event is ``S - min(S over the rows from the last remove
+    on)``, or ``S - min(0, min S)`` when the line was never removed.  Two
+    chunked stages, one shuffle: (S, removes before, removes after), then
+    the running minimum.
     """
-    live = F.col("removes_after") == 0
+    rem = (F.col("delta") == 0).cast("long")
+    tail = (F.col("removes_after") == 0) | ((F.col("delta") == 0) & (F.col("removes_after") == 1))
     e = prefix_by_key(cart_events, ["cart_id", "item_id"], "seq", [
-        [Prefix("removes_after", "sum", (F.col("delta") == 0).cast("long"), reverse=True)],
-        [Prefix("s", "sum", F.when(live, F.col("delta")).otherwise(F.lit(0)).cast("long"))],
-        [Prefix("m", "min", F.when(live, F.col("s")))],
+        [Prefix("s", "sum", F.col("delta").cast("long")),
+         Prefix("removes_before", "sum", rem),
+         Prefix("removes_after", "sum", rem, reverse=True)],
+        [Prefix("m", "min", F.when(tail, F.col("s")))],
     ], chunk_size)
+    live = F.col("removes_after") == 0
+    floor = F.least(F.col("m"), F.when(F.col("removes_before") == 0, F.lit(0)))
     return e.withColumn("live", live).withColumn(
-        "q", F.when(live, F.col("s") - F.least(F.lit(0), F.col("m"))).otherwise(F.lit(0)))
+        "q", F.when(live, F.col("s") - floor).otherwise(F.lit(0)))
 
 
 def cart_fold(cart_events: DataFrame, menu_items: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
