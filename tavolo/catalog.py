@@ -45,7 +45,7 @@ def dbl(*names):
 # ---------------------------------------------------------------- sales
 @query("top_items", """
 select restaurant_id, name, qty, rank from (
-  select restaurant_id, name, qty, row_number() over (partition by restaurant_id order by qty desc, name) as rank
+  select restaurant_id, name, qty, cast(row_number() over (partition by restaurant_id order by qty desc, name) as int) as rank
   from (select o.restaurant_id, i.name_snapshot as name, cast(sum(i.qty) as bigint) as qty
         from s_order_items i join s_orders o on o.order_id = i.order_id
         where o.status = 'closed' and o.created_at >= timestamp '2000-01-01'
@@ -118,7 +118,7 @@ def q_source_split_filled(spark, sf_dir):
 with ranked as (
   select * from (
     select order_id, restaurant_id, table_id, source, total, created_at,
-           row_number() over (partition by restaurant_id order by created_at desc, order_id desc) as rank
+           cast(row_number() over (partition by restaurant_id order by created_at desc, order_id desc) as int) as rank
     from s_orders where status = 'closed' and created_at >= timestamp '2000-01-01') x where rank <= 8),
 lines as (
   select i.order_id, string_agg(cast(i.qty as varchar) || 'x ' || i.name_snapshot, ', '
@@ -402,7 +402,7 @@ with lines as ({_LINES_SQL}),
 ph as (select distinct order_id, case when length(trim(phone)) > 0 then phone end as customer_phone from s_requests_flat)
 select o.restaurant_id, o.order_id, t.label as table_label, o.source, o.status, cast(o.total as double) as total,
        o.created_at, l.items, ph.customer_phone,
-       row_number() over (partition by o.restaurant_id order by o.created_at, o.order_id) as position
+       cast(row_number() over (partition by o.restaurant_id order by o.created_at, o.order_id) as int) as position
 from s_orders o left join s_tables t on t.table_id = o.table_id left join lines l on l.order_id = o.order_id
 left join ph on ph.order_id = o.order_id
 where o.status in ('open', 'preparing', 'ready')""")
@@ -495,8 +495,8 @@ per as (
   select restaurant_id, category, count(*) as n_items,
          string_agg(name, ', ' order by sort_order, name, menu_item_id, price) as items_text
   from mi group by restaurant_id, category)
-select c.restaurant_id, c.name as category, c.sort_order,
-       row_number() over (partition by c.restaurant_id order by c.sort_order, c.name) as position,
+select c.restaurant_id, c.name as category, cast(c.sort_order as int) as sort_order,
+       cast(row_number() over (partition by c.restaurant_id order by c.sort_order, c.name) as int) as position,
        coalesce(p.n_items, 0) as n_items, coalesce(p.items_text, '') as items_text
 from s_categories c left join per p on p.restaurant_id = c.restaurant_id and p.category = c.name"""
 
@@ -521,7 +521,7 @@ def q_full_menu_tree(spark, sf_dir):
 
 @query("table_list", """
 select restaurant_id, table_id, label, qr_token,
-       row_number() over (partition by restaurant_id order by label, table_id) as position
+       cast(row_number() over (partition by restaurant_id order by label, table_id) as int) as position
 from s_tables""")
 def q_table_list(spark, sf_dir):
     return reads.table_list(shop(spark, sf_dir).tables)
@@ -545,7 +545,7 @@ def q_mint_table_tokens(spark, sf_dir):
 
 @query("staff_directory", """
 select restaurant_id, staff_id, name, role,
-       row_number() over (partition by restaurant_id order by staff_id) as position
+       cast(row_number() over (partition by restaurant_id order by staff_id) as int) as position
 from s_staff""")
 def q_staff_directory(spark, sf_dir):
     return reads.staff_directory(shop(spark, sf_dir).staff)
@@ -593,7 +593,7 @@ where not c.acknowledged group by c.restaurant_id, c.table_id, t.label"""
 
 
 @query("active_calls", _ACTIVE_CALLS.format(
-    pos=", row_number() over (partition by c.restaurant_id order by min(c.created_at), c.table_id) as position"))
+    pos=", cast(row_number() over (partition by c.restaurant_id order by min(c.created_at), c.table_id) as int) as position"))
 def q_active_calls(spark, sf_dir):
     s = shop(spark, sf_dir)
     return calls_ops.active_calls(s.calls, s.tables)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tavolo.functions.money import js_round
 from tavolo.functions.text import ACTIVE_STATUSES, is_active, strip_one_trailing_slash
 from tavolo.operators.common import TRACKER_STEPS, items_text, literal_table, order_lines
+from tavolo.plans.scan import Prefix, prefix_by_key
 
 # Which active statuses each role's queue shows.
 ROLE_QUEUES = {
@@ -45,13 +46,26 @@ def open_orders(orders, tables, order_items, customers) -> DataFrame:
     lines = order_lines(order_items.join(act.select("order_id"), "order_id", "left_semi"),
                         "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     phones = customers.select("customer_id", F.col("phone").alias("customer_phone"))
-    pos = Window.partitionBy("restaurant_id").orderBy("created_at", "order_id")
-    return (act.join(_labels(tables), "table_id", "left")
-            .join(lines, "order_id", "left")
-            .join(phones, "customer_id", "left")
-            .select("restaurant_id", "order_id", "table_label", "source", "status", "total",
-                    "created_at", "items", "customer_phone")
-            .withColumn("position", F.row_number().over(pos)))
+    out = (act.join(_labels(tables), "table_id", "left")
+           .join(lines, "order_id", "left")
+           .join(phones, "customer_id", "left")
+           .select("restaurant_id", "order_id", "table_label", "source", "status", "total",
+                   "created_at", "items", "customer_phone"))
+    return with_position(out, "restaurant_id", "created_at", "order_id")
+
+
+def with_position(df: DataFrame, key: str, ts: str, tiebreak: str, chunk_days: int = 1) -> DataFrame:
+    """1-based position within ``key`` by (ts, tiebreak), as a running count.
+
+    A running count is a chunked prefix sum (chunks of ``chunk_days`` of
+    time), so a tenant with a huge share of the rows is spread over tasks
+    instead of sorted in one (as ``row_number`` over the tenant would be).
+    """
+    us = "__pos_us"
+    d = df.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
+    d = prefix_by_key(d, [key], us, [Prefix("position", "sum", F.lit(1).cast("long"))],
+                      chunk_days * 86_400_000_000, tiebreak=tiebreak)
+    return d.drop(us).withColumn("position", F.col("position").cast("int"))
 
 
 def live_orders_digest(orders, tables, order_items, restaurants) -> DataFrame:
