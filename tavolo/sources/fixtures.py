@@ -257,9 +257,13 @@ class Shop:
 
     @cached_property
     def requests(self) -> DataFrame:
-        """One JSON order request per order (the create_order payload)."""
+        """One JSON order request per order (the create_order payload).
+
+        Grouped by order_id alone: the header columns depend on it, so
+        ``first`` picks the one value and the hash key stays a long.
+        """
         item = F.struct(F.col("menu_item_id"), F.col("name_snapshot").alias("name"),
                         F.col("price_snapshot").alias("price"), F.col("qty"))
-        g = self.requests_flat.groupBy("order_id", "restaurant_id", "phone", "opt_in", "created_at")
-        return g.agg(F.to_json(F.collect_list(F.when(F.col("menu_item_id").isNotNull(), item)))
-                     .alias("items"))
+        return self.requests_flat.groupBy("order_id").agg(
+            *[F.first(c).alias(c) for c in ("restaurant_id", "phone", "opt_in", "created_at")],
+            F.to_json(F.collect_list(F.when(F.col("menu_item_id").isNotNull(), item))).alias("items"))
