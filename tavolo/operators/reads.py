@@ -41,17 +41,20 @@ def _labels(tables: DataFrame) -> DataFrame:
 
 
 def open_orders(orders, tables, order_items, customers) -> DataFrame:
-    """Active orders, oldest first per tenant, with label, lines and phone."""
-    act = orders.where(is_active(F.col("status")))
+    """Active orders, oldest first per tenant, with label, lines and phone.
+
+    The position is computed on the narrow order rows first, so its
+    chunk summary re-reads only those, then labels, lines and phones join.
+    """
+    act = with_position(orders.where(is_active(F.col("status"))), "restaurant_id", "created_at", "order_id")
     lines = order_lines(order_items.join(act.select("order_id"), "order_id", "left_semi"),
                         "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     phones = customers.select("customer_id", F.col("phone").alias("customer_phone"))
-    out = (act.join(_labels(tables), "table_id", "left")
-           .join(lines, "order_id", "left")
-           .join(phones, "customer_id", "left")
-           .select("restaurant_id", "order_id", "table_label", "source", "status", "total",
-                   "created_at", "items", "customer_phone"))
-    return with_position(out, "restaurant_id", "created_at", "order_id")
+    return (act.join(_labels(tables), "table_id", "left")
+            .join(lines, "order_id", "left")
+            .join(phones, "customer_id", "left")
+            .select("restaurant_id", "order_id", "table_label", "source", "status", "total",
+                    "created_at", "items", "customer_phone", "position"))
 
 
 def with_position(df: DataFrame, key: str, ts: str, tiebreak: str, chunk_days: int = 1) -> DataFrame:

@@ -99,9 +99,11 @@ def sales_by_period(orders, order_items, restaurants, as_of, days=REPORT_PERIOD_
     """Summary, source split and best seller for each rolling period in one pass.
 
     Periods nest (1 day within 7 within 30), so each order is tagged with
-    the smallest period that holds it, aggregated once per (tenant, tag),
-    and the per-period figures are running sums over the tags: no row is
-    repeated per period and no cross join is needed.
+    the smallest period that holds it and aggregated once per (tenant,
+    tag).  Only the *aggregated* rows are then expanded into the periods
+    that contain their tag (at most ``len(days)`` copies of a small
+    table) and summed: raw rows are never repeated and no cross join is
+    needed.
     """
     days = sorted(days)
     asof = ts_lit(as_of)
@@ -111,43 +113,37 @@ def sales_by_period(orders, order_items, restaurants, as_of, days=REPORT_PERIOD_
         tag = F.when(cond, F.lit(d)) if tag is None else F.when(cond, F.lit(d)).otherwise(tag)
     oldest = asof - F.expr(f"INTERVAL {int(days[-1])} DAYS")
     closed = (orders.where((F.col("status") == "closed") & (F.col("created_at") >= oldest))
-              .withColumn("days", tag))
-    cum = Window.partitionBy("restaurant_id").orderBy("days").rowsBetween(Window.unboundedPreceding, 0)
-    per_tag = (closed.groupBy("restaurant_id", "days")
-               .agg(F.sum("total").cast(MONEY).alias("s"), F.count(F.lit(1)).alias("n"),
+              .withColumn("tag", tag))
+    periods = F.array(*[F.lit(d) for d in days])
+
+    def spread(df):  # a row tagged t counts in every period d >= t
+        return df.withColumn("days", F.explode(F.filter(periods, lambda d: d >= F.col("tag"))))
+
+    per_tag = (closed.groupBy("restaurant_id", "tag")
+               .agg(F.sum("total").alias("s"), F.count(F.lit(1)).alias("n"),
                     F.count("total").alias("n_total"),
                     F.count(F.when(F.col("source") == "pos", 1)).alias("pos"),
                     F.count(F.when(F.col("source") == "qr", 1)).alias("qr")))
-    # every (tenant, period) row exists even when a tag is empty
-    grid = restaurants.select("restaurant_id", F.explode(F.array(*[F.lit(d) for d in days])).alias("days"))
-    summ = (grid.join(per_tag, ["restaurant_id", "days"], "left")
-            .select("restaurant_id", "days",
-                    F.sum(F.coalesce("s", F.lit(0).cast(MONEY))).over(cum).cast(MONEY).alias("s"),
-                    F.sum(F.coalesce("n", F.lit(0))).over(cum).alias("n"),
-                    F.sum(F.coalesce("n_total", F.lit(0))).over(cum).alias("n_total"),
-                    F.sum(F.coalesce("pos", F.lit(0))).over(cum).alias("pos"),
-                    F.sum(F.coalesce("qr", F.lit(0))).over(cum).alias("qr")))
-    # best seller per period: item qty per (tenant, tag, name), then running sum over tags
+    summ = (spread(per_tag).groupBy("restaurant_id", "days")
+            .agg(F.sum("s").cast(MONEY).alias("s"), F.sum("n").alias("n"), F.sum("n_total").alias("n_total"),
+                 F.sum("pos").alias("pos"), F.sum("qr").alias("qr")))
     li = order_items.select("order_id", "name_snapshot", "qty")
-    items = (li.join(closed.select("order_id", "restaurant_id", "days"), "order_id")
-             .groupBy("restaurant_id", "name_snapshot", "days").agg(F.sum("qty").alias("q")))
-    name_cum = Window.partitionBy("restaurant_id", "name_snapshot").orderBy("days")
-    name_grid = (items.select("restaurant_id", "name_snapshot").distinct()
-                 .select("restaurant_id", "name_snapshot",
-                         F.explode(F.array(*[F.lit(d) for d in days])).alias("days")))
-    running = (name_grid.join(items, ["restaurant_id", "name_snapshot", "days"], "left")
-               .withColumn("qty", F.sum(F.coalesce("q", F.lit(0))).over(
-                   name_cum.rowsBetween(Window.unboundedPreceding, 0)))
-               .where(F.col("qty") > 0))
+    items = (li.join(closed.select("order_id", "restaurant_id", "tag"), "order_id")
+             .groupBy("restaurant_id", "name_snapshot", "tag").agg(F.sum("qty").alias("q")))
+    per_name = spread(items).groupBy("restaurant_id", "days", "name_snapshot").agg(F.sum("q").alias("qty"))
     best_w = Window.partitionBy("restaurant_id", "days").orderBy(F.col("qty").desc(), F.col("name_snapshot"))
-    best = (running.withColumn("r", F.row_number().over(best_w)).where(F.col("r") == 1)
+    best = (per_name.withColumn("r", F.row_number().over(best_w)).where(F.col("r") == 1)
             .select("restaurant_id", "days", F.col("name_snapshot").alias("best_seller")))
-    return (summ.join(best, ["restaurant_id", "days"], "left")
+    # every (tenant, period) row exists even when the period is empty
+    grid = restaurants.select("restaurant_id", F.explode(periods).alias("days"))
+    zero = F.lit(0)
+    return (grid.join(summ, ["restaurant_id", "days"], "left").join(best, ["restaurant_id", "days"], "left")
             .select("restaurant_id", "days",
-                    F.col("s").alias("total_sales"), F.col("n").cast("int").alias("order_count"),
+                    F.coalesce("s", zero.cast(MONEY)).alias("total_sales"),
+                    F.coalesce("n", zero).cast("int").alias("order_count"),
                     F.coalesce(_avg(F.col("s"), F.col("n_total")), F.lit(0.0)).alias("avg_order"),
-                    F.col("pos").cast("bigint").alias("pos_orders"),
-                    F.col("qr").cast("bigint").alias("qr_orders"),
+                    F.coalesce("pos", zero).cast("bigint").alias("pos_orders"),
+                    F.coalesce("qr", zero).cast("bigint").alias("qr_orders"),
                     F.coalesce("best_seller", F.lit(EMPTY_MARK)).alias("best_seller")))
 
 
