@@ -92,24 +92,22 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int
                     (F.col("prev_count") == 0).alias("is_new")))
 
 
-def ring_debounce(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS,
-                  chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
-    """Drop rings within ``cooldown_s`` of the last *accepted* ring of the table.
+HOT_BURST = 100_000  # rings in one burst above which the pointer-doubling path runs
 
-    A ring at least ``cooldown_s`` after the previous ring is always
-    accepted, so rings are first cut into bursts at such gaps (previous
-    ring = a chunked last-value scan, burst id = a chunked running sum);
-    only inside a burst is the greedy rule sequential, and there it is an
-    ``aggregate()`` over the burst's sorted timestamps.
-    """
-    gap = cooldown_s * 1_000_000
+
+def _bursts(ring_log: DataFrame, gap: int, chunk_size: int) -> DataFrame:
+    """Rings with ``us`` and a burst id: a new burst starts after a gap >= cooldown."""
     r = (ring_log.where(F.col("kind") == "ring")
          .select("seq", "table_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
     span = chunk_size * gap  # chunks of time, each many cooldowns wide
     cut = F.coalesce(F.col("us") - F.col("prev_us") >= gap, F.lit(True)).cast("long")
-    r = prefix_by_key(r, ["table_id"], "us",
-                      [[Prefix("prev_us", "last", F.col("us"), inclusive=False)],
-                       [Prefix("burst", "sum", cut)]], span, tiebreak="seq")
+    return prefix_by_key(r, ["table_id"], "us",
+                         [[Prefix("prev_us", "last", F.col("us"), inclusive=False)],
+                          [Prefix("burst", "sum", cut)]], span, tiebreak="seq").drop("prev_us")
+
+
+def _fold_small_bursts(r: DataFrame, gap: int) -> DataFrame:
+    """Greedy rule inside each (bounded) burst: ``aggregate()`` over its sorted rings."""
     bursts = (r.groupBy("table_id", "burst")
               .agg(F.sort_array(F.collect_list(F.struct("us", "seq", "ts"))).alias("rs")))
     init = F.struct(F.lit(None).cast("long").alias("last"),
@@ -125,3 +123,70 @@ def ring_debounce(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS,
     return (folded.select("table_id", F.explode("out").alias("r"))
             .select(F.col("r.seq").alias("seq"), "table_id", F.col("r.ts").alias("ts"),
                     F.col("r.accepted").alias("accepted")))
+
+
+def _fold_hot_bursts(r: DataFrame, gap: int, chunk_size: int) -> DataFrame:
+    """Greedy rule for huge bursts without gathering them: pointer doubling.
+
+    After accepting ring i the next accepted ring is next(i) = the first
+    ring at or after ``us_i + cooldown``, so the accepted rings are the
+    orbit of the burst's first ring under ``next``.  ``next`` comes from a
+    chunked reverse scan over the rings merged with one probe per ring;
+    the orbit is found in log2(length) rounds of joins (round k adds
+    next^(2^k) of everything found so far and squares the pointers).
+    Each round is checkpointed into the shared checkpoint folder, which
+    cuts the lineage and survives executor loss.
+    """
+    from tavolo.plans.session import cut_lineage
+    keys = ["table_id", "burst"]
+    rings = r.select(*keys, "us", F.struct(F.lit(1), F.col("seq")).alias("tb"),
+                     F.col("seq").alias("rid"), F.lit(None).cast("long").alias("src"))
+    probes = r.select(*keys, (F.col("us") + gap).alias("us"), F.struct(F.lit(0), F.col("seq")).alias("tb"),
+                      F.lit(None).cast("long").alias("rid"), F.col("seq").alias("src"))
+    nxt = prefix_by_key(rings.unionByName(probes), keys, "us",
+                        [Prefix("nxt", "last", F.col("rid"), reverse=True)],
+                        chunk_size * gap, tiebreak="tb")
+    jump = cut_lineage(nxt.where(F.col("src").isNotNull()).select(F.col("src").alias("seq"), "nxt"))
+    found = cut_lineage(r.groupBy(*keys).agg(F.min_by("seq", F.struct("us", "seq")).alias("seq"))
+                        .select("seq"))
+    n = found.count()
+    while True:
+        step = found.join(jump, "seq").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("seq"))
+        grown = cut_lineage(found.unionByName(step).distinct())
+        m = grown.count()
+        if m == n:
+            break
+        found, n = grown, m
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut_lineage(a.join(b, F.col("a.nxt") == F.col("b.seq"), "left")
+                           .select(F.col("a.seq").alias("seq"), F.col("b.nxt").alias("nxt")))
+    flag = found.select("seq", F.lit(True).alias("accepted"))
+    return (r.join(flag, "seq", "left")
+            .select("seq", "table_id", "ts", F.coalesce("accepted", F.lit(False)).alias("accepted")))
+
+
+def ring_debounce(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS,
+                  chunk_size: int = DEFAULT_CHUNK, hot_burst: int = HOT_BURST) -> DataFrame:
+    """Drop rings within ``cooldown_s`` of the last *accepted* ring of the table.
+
+    A ring at least ``cooldown_s`` after the previous ring is always
+    accepted, so rings are first cut into bursts at such gaps (previous
+    ring = a chunked last-value scan, burst id = a chunked running sum).
+    Only inside a burst is the greedy rule sequential: a burst of at most
+    ``hot_burst`` rings is folded with ``aggregate()`` over its sorted
+    rings; larger bursts go to the pointer-doubling path, so no group
+    larger than ``hot_burst`` is ever gathered.  Both paths are exact.
+
+    The burst table is checkpointed first (it feeds the size check and
+    both paths); this runs one job when the frame is built.
+    """
+    from tavolo.plans.session import cut_lineage
+    gap = cooldown_s * 1_000_000
+    r = cut_lineage(_bursts(ring_log, gap, chunk_size))
+    sizes = r.groupBy("table_id", "burst").agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.where(F.col("n") > hot_burst).select("table_id", "burst")
+    small = _fold_small_bursts(r.join(hot, ["table_id", "burst"], "left_anti"), gap)
+    if hot.isEmpty():
+        return small
+    big = _fold_hot_bursts(r.join(hot, ["table_id", "burst"], "left_semi"), gap, chunk_size)
+    return small.unionByName(big)

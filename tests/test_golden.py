@@ -171,6 +171,8 @@ def test_debounce_compares_with_last_accepted_ring(spark):
     got = [r.accepted for r in calls.ring_debounce(log).orderBy("seq").collect()]
     # 10 is within 15 s of 0; 16 is accepted (16 s after 0) though only 6 s after 10
     assert got == [True, False, True, False, True, False]
+    hot = [r.accepted for r in calls.ring_debounce(log, hot_burst=2).orderBy("seq").collect()]
+    assert hot == got
 
 
 def test_feedback_order_check_comes_first(spark):
