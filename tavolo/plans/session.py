@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  UTC keeps event-time arithmetic
 # independent of the machine; AQE re-plans joins and coalesces / splits
-# shuffle partitions at runtime (skew join handling included).
+# shuffle partitions at runtime (skew join handling included).  The only
+# object aggregate used is collect_list, whose groups arrive sorted after a
+# sort-merge join; the hash variant falls back to sorting past 128 keys per
+# task anyway, so the sort aggregate is used directly (it spills cleanly).
 BASE_CONF = {
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
