@@ -34,6 +34,25 @@ def order_lines(order_items: DataFrame, *fields: str) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("items")))
 
 
+def attach_lines(orders: DataFrame, order_items: DataFrame, *fields: str) -> DataFrame:
+    """``orders`` plus ``items`` (line structs sorted by line; NULL without lines).
+
+    For a large share of the orders (all active ones, say): join first and
+    aggregate once, so the order side is shuffled once by order_id (a
+    semi-join, aggregate and join back shuffles it twice), and the
+    collect_list runs as a sort aggregate over the join's sorted output.
+    The header columns are functions of order_id and ride along as first().
+    """
+    cols = ("line_no",) + fields
+    heads = [c for c in orders.columns if c != "order_id"]
+    li = order_items.select("order_id", *cols, F.lit(True).alias("__hit"))
+    line = F.when(F.col("__hit"), F.struct(*[F.col(c) for c in cols]))
+    g = (orders.join(li, "order_id", "left").groupBy("order_id")
+         .agg(*[F.first(c).alias(c) for c in heads],
+              F.sort_array(F.collect_list(line)).alias("items")))
+    return g.withColumn("items", F.when(F.size("items") > 0, F.col("items")))
+
+
 def items_text(items: Column, with_price: bool = False) -> Column:
     """"2x A, 1x B" (optionally "2x A @ 12.5000") from a line array."""
     def one(x):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tavolo.functions.money import js_round
 from tavolo.functions.text import ACTIVE_STATUSES, is_active, strip_one_trailing_slash
-from tavolo.operators.common import TRACKER_STEPS, items_text, literal_table, order_lines
+from tavolo.operators.common import TRACKER_STEPS, attach_lines, items_text, literal_table, order_lines
 from tavolo.plans.scan import Prefix, prefix_by_key
 
 # Which active statuses each role's queue shows.
@@ -44,14 +44,14 @@ def open_orders(orders, tables, order_items, customers) -> DataFrame:
     """Active orders, oldest first per tenant, with label, lines and phone.
 
     The position is computed on the narrow order rows first, so its
-    chunk summary re-reads only those, then labels, lines and phones join.
+    chunk summary re-reads only those, then lines, labels and phones join.
     """
     act = with_position(orders.where(is_active(F.col("status"))), "restaurant_id", "created_at", "order_id")
-    lines = order_lines(order_items.join(act.select("order_id"), "order_id", "left_semi"),
-                        "menu_item_id", "name_snapshot", "price_snapshot", "qty")
+    act = attach_lines(act.select("order_id", "restaurant_id", "table_id", "customer_id", "source", "status",
+                                  "total", "created_at", "position"),
+                       order_items, "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     phones = customers.select("customer_id", F.col("phone").alias("customer_phone"))
     return (act.join(_labels(tables), "table_id", "left")
-            .join(lines, "order_id", "left")
             .join(phones, "customer_id", "left")
             .select("restaurant_id", "order_id", "table_label", "source", "status", "total",
                     "created_at", "items", "customer_phone", "position"))
@@ -73,15 +73,15 @@ def with_position(df: DataFrame, key: str, ts: str, tiebreak: str, chunk_days: i
 
 def live_orders_digest(orders, tables, order_items, restaurants) -> DataFrame:
     """The live panel text: "Table 3 · QR order · open", "2x A, 1x B", "PKR 1,234"."""
-    act = orders.where(is_active(F.col("status")))
-    lines = order_lines(order_items.join(act.select("order_id"), "order_id", "left_semi"),
-                        "menu_item_id", "name_snapshot", "price_snapshot", "qty")
+    act = attach_lines(orders.where(is_active(F.col("status")))
+                       .select("order_id", "restaurant_id", "table_id", "source", "status", "total", "created_at"),
+                       order_items, "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     cur = restaurants.select("restaurant_id", "currency")
     src = F.when(F.col("source") == "qr", F.lit("QR order")).otherwise(F.lit("POS"))
     head = F.concat_ws(" · ", F.coalesce("table_label", F.lit("Takeaway")), src, F.col("status"))
     amount = F.concat(F.col("currency"), F.lit(" "),
                       F.format_number(js_round(F.coalesce(F.col("total").cast("double"), F.lit(0.0))), 0))
-    return (act.join(_labels(tables), "table_id", "left").join(lines, "order_id", "left")
+    return (act.join(_labels(tables), "table_id", "left")
             .join(cur, "restaurant_id", "left")
             .select("restaurant_id", "order_id", "created_at", head.alias("heading"),
                     F.coalesce(items_text(F.col("items")), F.lit("")).alias("items_text"),
