@@ -13,10 +13,19 @@ sum / max / min / last-non-null is associative, so it splits:
    (key, chunk) that keeps the big side's partitioning).
 
 The big side is shuffled once, exactly as with a plain window; the chunk
-summaries are small (at most the number of rows, and for a hot key its
-ordering range / chunk_size).  A later stage whose input depends on an
-earlier stage re-derives that stage for its totals over the pruned
-columns only.  Keys must not be NULL.
+summaries are small for a hot key (its ordering range / chunk_size).  A
+later stage whose input depends on an earlier stage re-derives that stage
+for its totals over the pruned columns only.  Keys must not be NULL.
+
+Chunks are cut on the ordering value, so a small key whose few rows are
+far apart (an order's events over a day of a global sequence) would get
+one chunk per row, and its summary would be as long as its rows.  Hence
+only *hot* keys are chunked: a first pass counts rows per key (a partial
+aggregate), keys above ``hotKeyRows`` form the hot list, whose length is
+counted before it is broadcast (a shuffle join beyond the limit); the
+other keys take a plain window, where a task holds at most ``hotKeyRows``
+rows of one key.  Without hot keys the scan is one plain window, i.e.
+one shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +35,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_CHUNK = 1 << 16
+HOT_KEY_ROWS = 1 << 20          # rows of one key above which its scan is chunked
+BROADCAST_HOT_KEYS = 100_000    # hot-key lists up to this many keys are broadcast
+CONF_HOT_KEY_ROWS = "tavolo.scan.hotKeyRows"
+
+
+def hot_key_rows(spark) -> int:
+    """The session's hot-key threshold (``tavolo.scan.hotKeyRows``)."""
+    return int(spark.conf.get(CONF_HOT_KEY_ROWS, str(HOT_KEY_ROWS)))
+
+
+def split_hot_keys(df: DataFrame, keys: list[str], threshold: int):
+    """``(hot rows or None, other rows)``: a key is hot above ``threshold`` rows.
+
+    The count per key combines map-side.  The hot list holds at most
+    rows / threshold keys; its length is counted before a broadcast, and a
+    longer list is joined by a shuffle instead.
+    """
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+           .where(F.col("__n") > F.lit(threshold)).select(*keys))
+    n = hot.count()
+    if n == 0:
+        return None, df
+    flag = F.broadcast(hot) if n <= BROADCAST_HOT_KEYS else hot
+    return df.join(flag, keys, "left_semi"), df.join(flag, keys, "left_anti")
 
 
 @dataclass
@@ -83,31 +116,68 @@ def _combine(kind, local, carry):
     return F.coalesce(local, carry)
 
 
+def _stages(specs):
+    return specs if specs and isinstance(specs[0], (list, tuple)) else [specs]
+
+
+def _sort(order: str, tiebreak: str | None, rev: bool):
+    o = F.col(order)
+    sort = [o.desc() if rev else o.asc()]
+    if tiebreak:
+        sort.append(F.col(tiebreak).desc() if rev else F.col(tiebreak).asc())
+    return sort
+
+
+def plain_prefix(df: DataFrame, keys: list[str], order: str, specs, descending: bool = False,
+                 tiebreak: str | None = None) -> DataFrame:
+    """The same columns as ``prefix_by_key`` with one window per key (no split)."""
+    for stage in _stages(specs):
+        cols = {}
+        for sp in stage:
+            w = (Window.partitionBy(*keys).orderBy(*_sort(order, tiebreak, descending != sp.reverse))
+                 .rowsBetween(Window.unboundedPreceding, 0 if sp.inclusive else -1))
+            cols[sp.name] = _local(sp.kind, sp.expr, w)
+        df = df.withColumns(cols)
+    return df
+
+
 def prefix_by_key(df: DataFrame, keys: list[str], order: str, specs,
                   chunk_size: int = DEFAULT_CHUNK, descending: bool = False,
-                  tiebreak: str | None = None) -> DataFrame:
+                  tiebreak: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add one column per spec: the running aggregate within ``keys`` by ``order``.
 
     ``specs`` is a list of ``Prefix`` or a list of such lists (stages); a
-    later stage may use the columns of an earlier one.  All stages share
-    one chunk column, so the big side is shuffled once by (keys, chunk);
-    later windows only re-sort.  ``descending`` flips the scan direction
-    of every spec, ``Prefix.reverse`` that of one spec.
+    later stage may use the columns of an earlier one.  Keys with more than
+    ``hot_rows`` rows (default: the session's ``tavolo.scan.hotKeyRows``)
+    are chunked; all stages share one chunk column, so their rows are
+    shuffled once by (keys, chunk) and later windows only re-sort.  The
+    other keys take ``plain_prefix``.  ``descending`` flips the scan
+    direction of every spec, ``Prefix.reverse`` that of one spec.
 
     ``order`` must be numeric; ``tiebreak`` orders rows with equal
     ``order`` (ties never cross chunks, which are cut on ``order``).
+    Finding the hot keys runs one counting job when the frame is built.
     """
-    stages = specs if specs and isinstance(specs[0], (list, tuple)) else [specs]
+    threshold = hot_key_rows(df.sparkSession) if hot_rows is None else hot_rows
+    hot, other = split_hot_keys(df, keys, threshold)
+    plain = plain_prefix(other, keys, order, specs, descending, tiebreak)
+    if hot is None:
+        return plain
+    return plain.unionByName(chunked_prefix(hot, keys, order, specs, chunk_size, descending, tiebreak))
+
+
+def chunked_prefix(df: DataFrame, keys: list[str], order: str, specs,
+                   chunk_size: int = DEFAULT_CHUNK, descending: bool = False,
+                   tiebreak: str | None = None) -> DataFrame:
+    """The two-level scan of the module docstring, for every key of ``df``."""
+    stages = _stages(specs)
     o = F.col(order)
     ck = "__chunk"
     df = df.withColumn(ck, F.floor(o / F.lit(chunk_size)).cast("long"))
     pos = o if tiebreak is None else F.struct(o, F.col(tiebreak))
 
     def windows(rev: bool):
-        sort = [o.desc()] if rev else [o.asc()]
-        if tiebreak:
-            sort.append(F.col(tiebreak).desc() if rev else F.col(tiebreak).asc())
-        w1 = Window.partitionBy(*keys, ck).orderBy(*sort)
+        w1 = Window.partitionBy(*keys, ck).orderBy(*_sort(order, tiebreak, rev))
         w2 = Window.partitionBy(*keys).orderBy(F.col(ck).desc() if rev else F.col(ck).asc()) \
             .rowsBetween(Window.unboundedPreceding, -1)
         return w1, w2

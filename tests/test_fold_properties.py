@@ -6,8 +6,25 @@ from decimal import Decimal
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from contextlib import contextmanager
+
 from simulate import replay_cart, replay_debounce, replay_orders, replay_rings
 from tavolo.operators import calls, carts, orders
+from tavolo.plans.scan import CONF_HOT_KEY_ROWS
+
+# hot-key thresholds: every key chunked, a mix of chunked and plain keys, none chunked
+HOT = st.sampled_from([0, 2, None])
+
+
+@contextmanager
+def hot_key_rows(spark, n):
+    """Run with the session's hot-key threshold set to ``n`` (None: the default)."""
+    if n is not None:
+        spark.conf.set(CONF_HOT_KEY_ROWS, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.unset(CONF_HOT_KEY_ROWS)
 
 EV_SCHEMA = ("order_id bigint, seq int, kind string, status_arg string, payment string, "
              "qty int, price decimal(18,4), ts timestamp_ntz")
@@ -34,28 +51,30 @@ def order_logs(draw):
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(order_logs(), st.sampled_from([1, 2, 3, 1 << 16]))
-def test_order_fold_equals_replay(spark, rows, chunk):
+@given(order_logs(), st.sampled_from([1, 2, 3, 1 << 16]), HOT)
+def test_order_fold_equals_replay(spark, rows, chunk, hot):
     df = spark.createDataFrame(rows, EV_SCHEMA)
-    got = {r.order_id: (r.status, r.payment_method, r.closed_at, float(r.subtotal), float(r.tax),
-                        float(r.total), r.n_lines)
-           for r in orders.order_state(df, chunk_size=chunk).collect()}
+    with hot_key_rows(spark, hot):
+        got = {r.order_id: (r.status, r.payment_method, r.closed_at, float(r.subtotal), float(r.tax),
+                            float(r.total), r.n_lines)
+               for r in orders.order_state(df, chunk_size=chunk).collect()}
+        rej = sorted((r.order_id, r.seq, r.kind) for r in orders.rejected_order_events(df, chunk).collect())
     keys = ["order_id", "seq", "kind", "status_arg", "payment", "qty", "price", "ts"]
     want, rejected = replay_orders([dict(zip(keys, r)) for r in rows])
     assert got == want
-    rej = sorted((r.order_id, r.seq, r.kind) for r in orders.rejected_order_events(df, chunk).collect())
     assert rej == rejected
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.sampled_from([1, 1, -1, -1, 0])),
-                min_size=1, max_size=40), st.sampled_from([1, 3, 7, 1 << 16]))
-def test_cart_fold_equals_replay(spark, evs, chunk):
+                min_size=1, max_size=40), st.sampled_from([1, 3, 7, 1 << 16]), HOT)
+def test_cart_fold_equals_replay(spark, evs, chunk, hot):
     rows = [(c, i, seq, d) for seq, (c, i, d) in enumerate(evs)]
     df = spark.createDataFrame(rows, "cart_id bigint, item_id bigint, seq bigint, delta int")
     menu = spark.createDataFrame([(i, f"item{i}", Decimal("1.5")) for i in range(3)],
                                  "menu_item_id bigint, name string, price decimal(18,4)")
-    got = {(r.cart_id, r.item_id): (r.qty, r.line_since) for r in carts.cart_fold(df, menu, chunk).collect()}
+    with hot_key_rows(spark, hot):
+        got = {(r.cart_id, r.item_id): (r.qty, r.line_since) for r in carts.cart_fold(df, menu, chunk).collect()}
     want = {}
     for key in {(c, i) for c, i, _, _ in rows}:
         q, since = replay_cart([(s, d) for c, i, s, d in rows if (c, i) == key])
@@ -66,14 +85,19 @@ def test_cart_fold_equals_replay(spark, evs, chunk):
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.sampled_from(["ring", "ring", "ack"])),
-                min_size=1, max_size=40), st.sampled_from([1, 3, 1 << 16]))
-def test_rings_equal_replay(spark, evs, chunk):
+                min_size=1, max_size=40), st.sampled_from([1, 3, 1 << 16]), HOT)
+def test_rings_equal_replay(spark, evs, chunk, hot):
     t = T0
     rows = []
     for seq, (table, gap, kind) in enumerate(evs):
         t = t + dt.timedelta(seconds=gap)
         rows.append((seq, table, kind, 1, t))
     df = spark.createDataFrame(rows, "seq bigint, table_id bigint, kind string, staff_id bigint, ts timestamp_ntz")
+    with hot_key_rows(spark, hot):
+        _check_rings(spark, df, rows, chunk)
+
+
+def _check_rings(spark, df, rows, chunk):
     got_counts = {r.seq: r.open_count for r in calls.ring_counts(df, chunk).collect()}
     want_counts = {}
     for table in {r[1] for r in rows}:
@@ -106,8 +130,8 @@ def test_no_python_in_fold_plans(spark):
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=30),
-       st.sampled_from([1, 2, 5]))
-def test_chunked_scan_equals_plain_window(spark, vals, chunk):
+       st.sampled_from([1, 2, 5]), st.sampled_from([0, 2, 100]))
+def test_chunked_scan_equals_plain_window(spark, vals, chunk, hot):
     from pyspark.sql import Window
     from tavolo.plans.scan import Prefix, prefix_by_key
     rows = [(k, i, v) for i, (k, v) in enumerate(vals)]
@@ -115,7 +139,8 @@ def test_chunked_scan_equals_plain_window(spark, vals, chunk):
     specs = [Prefix("s", "sum", F.col("v")), Prefix("mx", "max", F.col("v"), inclusive=False),
              Prefix("mn", "min", F.col("v")), Prefix("l", "last", F.col("v"), inclusive=False),
              Prefix("rs", "sum", F.col("v"), reverse=True), Prefix("rl", "last", F.col("v"), reverse=True)]
-    got = {r.o: (r.s, r.mx, r.mn, r.l, r.rs, r.rl) for r in prefix_by_key(df, ["k"], "o", specs, chunk).collect()}
+    got = {r.o: (r.s, r.mx, r.mn, r.l, r.rs, r.rl) for r in prefix_by_key(df, ["k"], "o", specs, chunk,
+                                                                                    hot_rows=hot).collect()}
     fw = Window.partitionBy("k").orderBy("o")
     bw = Window.partitionBy("k").orderBy(F.col("o").desc())
     upto, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
