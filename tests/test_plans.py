@@ -63,3 +63,29 @@ def test_all_tenants_filtered_equals_one_tenant_input(spark, small_dir):
     top_all = sales.top_items(s.orders, s.order_items, SINCE).where(F.col("restaurant_id") == t)
     top_one = sales.top_items(s.orders.where(F.col("restaurant_id") == t), s.order_items, SINCE)
     assert sorted(map(tuple, top_all.collect())) == sorted(map(tuple, top_one.collect()))
+
+
+def _shuffles(df):
+    df.write.format("noop").mode("overwrite").save()
+    return _plan(df).count("Exchange hashpartitioning")
+
+
+def test_fold_without_hot_keys_is_one_shuffle(spark, small_dir):
+    from tavolo.operators import orders
+    s = shop(spark, small_dir)
+    # the per-order window and the final aggregate share the order partitioning
+    assert _shuffles(orders.order_state(s.order_events)) == 1
+
+
+def test_hot_keys_take_the_chunked_path(spark, small_dir):
+    from tavolo.operators import orders
+    from tavolo.plans.scan import CONF_HOT_KEY_ROWS
+    s = shop(spark, small_dir)
+    plain = orders.order_state(s.order_events)
+    spark.conf.set(CONF_HOT_KEY_ROWS, "2")  # orders with 3+ events are hot
+    try:
+        mixed = orders.order_state(s.order_events)
+        assert _shuffles(mixed) > 1  # chunk summaries and carry-ins
+        assert sorted(mixed.collect()) == sorted(plain.collect())
+    finally:
+        spark.conf.unset(CONF_HOT_KEY_ROWS)
