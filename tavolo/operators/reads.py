@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tavolo.functions.money import js_round
 from tavolo.functions.text import ACTIVE_STATUSES, is_active, strip_one_trailing_slash
 from tavolo.operators.common import TRACKER_STEPS, attach_lines, items_text, literal_table, order_lines
+from tavolo.plans.joins import checked_broadcast
 from tavolo.plans.scan import Prefix, prefix_by_key
 
 # Which active statuses each role's queue shows.
@@ -105,12 +106,17 @@ def order_tracker(orders, tables) -> DataFrame:
 
 
 def active_order_per_table(orders, order_items) -> DataFrame:
-    """Newest active order per table (any source); table-less orders excluded."""
+    """Newest active order per table (any source); table-less orders excluded.
+
+    One order per table: the ids are counted and broadcast into the line
+    scan (a shuffle join above the limit).
+    """
     w = Window.partitionBy("table_id").orderBy(F.col("created_at").desc(), F.col("order_id").desc())
     act = (orders.where(is_active(F.col("status")) & F.col("table_id").isNotNull())
            .select("table_id", "order_id", "status", "total", "created_at")
            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn"))
-    lines = order_lines(order_items.join(act.select("order_id"), "order_id", "left_semi"),
+    ids = checked_broadcast(act.select("order_id"))
+    lines = order_lines(order_items.join(ids, "order_id", "left_semi"),
                         "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     return act.join(lines, "order_id", "left")
 

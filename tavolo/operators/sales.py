@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tavolo.functions.money import MONEY
 from tavolo.operators.common import (EMPTY_MARK, RECENT_ORDERS_LIMIT, REPORT_PERIOD_DAYS,
                                      TOP_ITEMS_LIMIT, items_text, order_lines, ts_lit)
+from tavolo.plans.joins import checked_broadcast
 
 
 def closed_since(orders: DataFrame, since) -> DataFrame:
@@ -77,15 +78,19 @@ def recent_orders(orders, tables, order_items, feedback, since,
 
     Rank first (WindowGroupLimit keeps k rows per tenant before the
     shuffle), then join the small ranked set to labels, lines, feedback.
+    The ranked ids (k per tenant) are counted and broadcast into the line
+    and feedback scans, so those are filtered where they are read instead
+    of shuffled whole.
     """
     w = Window.partitionBy("restaurant_id").orderBy(F.col("created_at").desc(), F.col("order_id").desc())
     ranked = (closed_since(orders, since)
               .select("order_id", "restaurant_id", "table_id", "source", "total", "created_at")
               .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    lines = order_lines(order_items.join(ranked.select("order_id"), "order_id", "left_semi"),
+    ids = checked_broadcast(ranked.select("order_id"))
+    lines = order_lines(order_items.join(ids, "order_id", "left_semi"),
                         "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     labels = tables.select("table_id", F.col("label").alias("table_label"))
-    fb = feedback.select("order_id", "rating", "comment")
+    fb = feedback.join(ids, "order_id", "left_semi").select("order_id", "rating", "comment")
     stars = F.when(F.col("rating") > 0,
                    F.concat(F.repeat(F.lit("★"), F.col("rating")),
                             F.repeat(F.lit("☆"), F.greatest(F.lit(5) - F.col("rating"), F.lit(0)))))

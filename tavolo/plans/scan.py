@@ -34,9 +34,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tavolo.plans.joins import checked_broadcast
+
 DEFAULT_CHUNK = 1 << 16
 HOT_KEY_ROWS = 1 << 20          # rows of one key above which its scan is chunked
-BROADCAST_HOT_KEYS = 100_000    # hot-key lists up to this many keys are broadcast
 CONF_HOT_KEY_ROWS = "tavolo.scan.hotKeyRows"
 
 
@@ -57,7 +58,7 @@ def split_hot_keys(df: DataFrame, keys: list[str], threshold: int):
     n = hot.count()
     if n == 0:
         return None, df
-    flag = F.broadcast(hot) if n <= BROADCAST_HOT_KEYS else hot
+    flag = checked_broadcast(hot, n=n)
     return df.join(flag, keys, "left_semi"), df.join(flag, keys, "left_anti")
 
 
