@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tavolo.functions.clock import ntz_from_micros, ntz_micros
 from tavolo.operators.common import RING_COOLDOWN_SECONDS, URGENT_ABOVE
 from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
 
@@ -80,9 +81,9 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int
     interval (``lag``).  No table x poll grid is materialised.
     """
     step = poll_seconds * 1_000_000
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = ntz_micros(F.col("ts"))
     ev = with_open_counts(ring_log, chunk_size).withColumn(
-        "poll_at", F.timestamp_micros((F.floor(us / step) + 1) * step).cast("timestamp_ntz"))
+        "poll_at", ntz_from_micros((F.floor(us / step) + 1) * step))
     per_poll = (ev.groupBy("table_id", "poll_at")
                 .agg(F.max_by("open_count", F.struct("ts", "seq")).alias("call_count")))
     prev = F.lag("call_count", 1, 0).over(Window.partitionBy("table_id").orderBy("poll_at"))
@@ -98,7 +99,7 @@ HOT_BURST = 100_000  # rings in one burst above which the pointer-doubling path
 def _bursts(ring_log: DataFrame, gap: int, chunk_size: int) -> DataFrame:
     """Rings with ``us`` and a burst id: a new burst starts after a gap >= cooldown."""
     r = (ring_log.where(F.col("kind") == "ring")
-         .select("seq", "table_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
+         .select("seq", "table_id", "ts", ntz_micros(F.col("ts")).alias("us")))
     span = chunk_size * gap  # chunks of time, each many cooldowns wide
     cut = F.coalesce(F.col("us") - F.col("prev_us") >= gap, F.lit(True)).cast("long")
     return prefix_by_key(r, ["table_id"], "us",

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tavolo.functions.clock import ntz_micros
 from tavolo.functions.money import js_round
 from tavolo.functions.text import ACTIVE_STATUSES, is_active, strip_one_trailing_slash
 from tavolo.operators.common import TRACKER_STEPS, attach_lines, items_text, literal_table, order_lines
@@ -66,7 +67,7 @@ def with_position(df: DataFrame, key: str, ts: str, tiebreak: str, chunk_days: i
     instead of sorted in one (as ``row_number`` over the tenant would be).
     """
     us = "__pos_us"
-    d = df.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
+    d = df.withColumn(us, ntz_micros(F.col(ts)))
     d = prefix_by_key(d, [key], us, [Prefix("position", "sum", F.lit(1).cast("long"))],
                       chunk_days * 86_400_000_000, tiebreak=tiebreak)
     return d.drop(us).withColumn("position", F.col("position").cast("int"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tavolo.functions.clock import ntz_micros
 from tavolo.operators import carts as cart_ops
 from tavolo.operators import orders as fold_ops
 from tavolo.operators import sales as sales_ops
@@ -155,7 +156,7 @@ def _debounce_fn(cooldown_s: int):
 
 def ring_debounce_stream(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS) -> DataFrame:
     rings = (ring_log.where(F.col("kind") == "ring")
-             .select("seq", "table_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))
+             .select("seq", "table_id", "ts", ntz_micros(F.col("ts")).alias("us")))
     return rings.groupBy("table_id").applyInPandasWithState(
         _debounce_fn(cooldown_s), DEBOUNCE_OUT, DEBOUNCE_STATE, "append", GroupStateTimeout.NoTimeout)
 

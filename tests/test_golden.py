@@ -211,3 +211,32 @@ def test_menu_tree_keeps_empty_category_and_drops_orphans(spark):
         "is_available boolean, sort_order int")
     tree = {r.category: [x.name for x in r.items] for r in reads.menu_tree(cats, items).collect()}
     assert tree == {"Hot": ["Coffee", "Tea"], "Cold": []}
+
+
+def test_event_time_rules_ignore_the_session_zone(spark):
+    """Debounce gaps, poll grids and positions are in UTC whatever the session zone."""
+    rows = [(0, 1, "ring", 1, dt.datetime(2024, 3, 10, 1, 59, 50)),   # New York skips 02:00-03:00
+            (1, 1, "ring", 1, dt.datetime(2024, 3, 10, 2, 0, 1)),
+            (2, 1, "ring", 1, dt.datetime(2024, 3, 10, 2, 59, 59)),
+            (3, 1, "ring", 1, dt.datetime(2024, 3, 10, 3, 0, 5)),
+            (4, 1, "ring", 1, dt.datetime(2024, 11, 3, 1, 30, 0))]
+    log = spark.createDataFrame(rows, "seq bigint, table_id bigint, kind string, staff_id bigint, ts timestamp_ntz")
+    orders = spark.createDataFrame([(i, 1, r[4]) for i, r in enumerate(rows)],
+                                   "order_id bigint, restaurant_id bigint, created_at timestamp_ntz")
+
+    def run():
+        return (sorted(tuple(r) for r in calls.ring_debounce(log).select("seq", "accepted").collect()),
+                sorted(tuple(r) for r in calls.newly_ringing(log).collect()),
+                sorted(tuple(r) for r in reads.with_position(orders, "restaurant_id", "created_at", "order_id")
+                       .select("order_id", "position").collect()))
+
+    utc = run()
+    # 02:00:01 is 11 s after 01:59:50 and 03:00:05 is 6 s after 02:59:59 on the
+    # wall clock: both dropped under any zone
+    assert [a for _, a in utc[0]] == [True, False, True, False, True]
+    for zone in ("America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert run() == utc
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
