@@ -89,3 +89,11 @@ def test_hot_keys_take_the_chunked_path(spark, small_dir):
         assert sorted(mixed.collect()) == sorted(plain.collect())
     finally:
         spark.conf.unset(CONF_HOT_KEY_ROWS)
+
+
+def test_broadcast_only_below_the_counted_limit(spark):
+    from tavolo.plans.joins import checked_broadcast
+    ids = spark.range(3).withColumnRenamed("id", "order_id")
+    hinted = checked_broadcast(ids, max_rows=3)._jdf.queryExecution().analyzed().toString().lower()
+    plain = checked_broadcast(ids, max_rows=2)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" in hinted and "broadcast" not in plain
