@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tavolo.functions.clock import ntz_from_micros, ntz_micros
 from tavolo.operators.common import RING_COOLDOWN_SECONDS, URGENT_ABOVE
+from tavolo.operators.reads import with_position
 from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
 
 
@@ -54,16 +55,20 @@ def acknowledge_fold(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> Da
 
 
 def active_calls(calls: DataFrame, tables: DataFrame, urgent_above: int = URGENT_ABOVE) -> DataFrame:
-    """Tables with open calls: label, count, first call, urgent (> 5), oldest first."""
+    """Tables with open calls: label, count, first call, urgent (> 5), oldest first.
+
+    The position is a running count per tenant (``with_position``), so a
+    tenant with a huge share of the tables is split like any hot key.
+    """
     agg = (calls.where(~F.col("acknowledged"))
            .groupBy("restaurant_id", "table_id")
            .agg(F.count(F.lit(1)).alias("call_count"), F.min("created_at").alias("first_called_at")))
-    pos = Window.partitionBy("restaurant_id").orderBy("first_called_at", "table_id")
     labels = tables.select("table_id", F.col("label").alias("table_label"))
-    return (agg.join(labels, "table_id", "left")
-            .select("restaurant_id", "table_id", "table_label", "call_count", "first_called_at",
-                    (F.col("call_count") > urgent_above).alias("urgent"))
-            .withColumn("position", F.row_number().over(pos)))
+    return with_position(
+        agg.join(labels, "table_id", "left")
+        .select("restaurant_id", "table_id", "table_label", "call_count", "first_called_at",
+                (F.col("call_count") > urgent_above).alias("urgent")),
+        "restaurant_id", "first_called_at", "table_id")
 
 
 def urgent_escalations(calls: DataFrame, tables: DataFrame, urgent_above: int = URGENT_ABOVE) -> DataFrame:
