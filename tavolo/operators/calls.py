@@ -90,9 +90,13 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int
     ev = with_open_counts(ring_log, chunk_size).withColumn(
         "poll_at", ntz_from_micros((F.floor(us / step) + 1) * step))
     per_poll = (ev.groupBy("table_id", "poll_at")
-                .agg(F.max_by("open_count", F.struct("ts", "seq")).alias("call_count")))
-    prev = F.lag("call_count", 1, 0).over(Window.partitionBy("table_id").orderBy("poll_at"))
-    return (per_poll.withColumn("prev_count", prev)
+                .agg(F.max_by("open_count", F.struct("ts", "seq")).alias("call_count"))
+                .withColumn("__poll_us", ntz_micros(F.col("poll_at"))))
+    # the previous poll's count (never NULL) = the last count before this poll
+    prev = prefix_by_key(per_poll, ["table_id"], "__poll_us",
+                         [Prefix("prev_count", "last", F.col("call_count"), inclusive=False)],
+                         chunk_size * step)
+    return (prev.withColumn("prev_count", F.coalesce("prev_count", F.lit(0)))
             .where(F.col("call_count") > F.col("prev_count"))
             .select("table_id", "poll_at", "call_count", "prev_count",
                     (F.col("prev_count") == 0).alias("is_new")))
