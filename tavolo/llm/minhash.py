@@ -33,16 +33,20 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75           # percent
 BANDS, ROWS = 32, 4       # a pair at the threshold misses every band once in 200,000
 EMPTY = np.uint64(2**64 - 1)
-HUB_GROWTH = 8            # more hubs in each next round of a bucket still apart
-GROUP_ELEMENTS = 1 << 18  # shingles signed together
+HUB_GROWTH = 16           # more hubs in each next round of a bucket still apart
+GROUP_ELEMENTS = 1 << 16  # shingles signed together
 
-# A sketch holds 4 bits of every register.  At the threshold 98 of 128 agree, give or
-# take 4.8; pairs with fewer than this, six deviations below, are not compared in full.
-SKETCH_LEAST = 69
+# A sketch holds 4 bits of every register; pairs whose agreement lies this many standard
+# deviations below that of a pair at the threshold are not compared in full.
+SKETCH_DEVIATIONS = 6
 SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]
+# Parity bits: every shingle flips one.  Two sets differ in at least as many shingles as
+# their parity bits differ, so a pair over the allowed difference is surely no link.
+PARITY_BITS = 2048
+PARITY = [f"o{i}" for i in range(PARITY_BITS // 64)]
 
 FEATURES = ("doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
-            + ", ".join(f"{c} long" for c in SKETCH))
+            + ", ".join(f"{c} long" for c in SKETCH + PARITY))
 SETS = "doc_id long, shingles array<long>"
 
 
@@ -96,6 +100,33 @@ def sketch_words(sig: np.ndarray) -> np.ndarray:
     return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
+def sketch_least(percent: int) -> int:
+    """Least agreement of two sketches that lets a pair pass."""
+    n = BANDS * ROWS
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(n * p - SKETCH_DEVIATIONS * (n * p * (1 - p)) ** 0.5)
+
+
+def parity_words(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bits of each set, 64 a word."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    out = np.zeros((len(sets), PARITY_BITS), dtype=np.uint8)
+    if sizes.sum():
+        bit = (mix(np.concatenate(sets) + np.uint64(4242)) % np.uint64(PARITY_BITS)).astype(np.int64)
+        at = np.repeat(np.arange(len(sets)), sizes) * PARITY_BITS + bit
+        out = (np.bincount(at, minlength=out.size) & 1).astype(np.uint8).reshape(out.shape)
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _differing(a: str, b: str):
+    """Parity bits in which two sets differ: at most the size of their symmetric difference."""
+    total = None
+    for c in PARITY:
+        n = F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+        total = n if total is None else total + n
+    return total
+
+
 def _agreeing(a: str, b: str):
     """Registers on which two sketches agree."""
     total = None
@@ -123,6 +154,7 @@ def _features(batches):
         sets = shingle_sets(_texts(b), SHINGLE_WORDS)
         keys = np.empty((len(sets), BANDS), dtype=np.uint64)
         sketch = np.empty((len(sets), len(SKETCH)), dtype=np.uint64)
+        parity = np.empty((len(sets), len(PARITY)), dtype=np.uint64)
         at = 0
         while at < len(sets):
             n, end = 0, at
@@ -131,14 +163,16 @@ def _features(batches):
                 end += 1
             sig = signatures(sets[at:end], BANDS * ROWS)
             keys[at:end], sketch[at:end] = band_keys(sig, BANDS, ROWS), sketch_words(sig)
+            for i in range(at, end, 1000):
+                parity[i:min(i + 1000, end)] = parity_words(sets[i:min(i + 1000, end)])
             at = end
         a = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
         c = np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
              pa.array(c.view(np.int64)), _lists(list(keys)),
-             *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T)],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *SKETCH])
+             *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sketch.T, *parity.T))],
+            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *SKETCH, *PARITY])
 
 
 def _sets(batches):
@@ -159,9 +193,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of the joined rows ``x`` and ``y``, those whose sizes and sketches allow the similarity."""
+    """Of the joined rows ``x`` and ``y``, those whose sizes, parities and sketches allow the similarity.
+
+    At a similarity of p percent, sets of n and m differ in at most (n + m) (100 - p) / (100 + p) shingles.
+    """
     return pairs.where((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-                       & (_agreeing("x", "y") >= SKETCH_LEAST))
+                       & (_differing("x", "y") * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+                       & (_agreeing("x", "y") >= sketch_least(percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY,
@@ -171,28 +209,27 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY,
     feats = kept(texts.mapInArrow(_features, FEATURES))
     classes = kept(feats.where("doc_id is not null and n_shingles > 0")
                    .groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
-                   .agg(F.min(F.struct("doc_id", "bands", *SKETCH)).alias("r"))
-                   .select("set_a", "set_b", "n", F.col("r.doc_id").alias("rep"), "r.bands", *[f"r.{c}" for c in SKETCH]))
+                   .agg(F.min(F.struct("doc_id", "bands", *SKETCH, *PARITY)).alias("r"))
+                   .select("set_a", "set_b", "n", F.col("r.doc_id").alias("rep"), "r.bands", *[f"r.{c}" for c in SKETCH + PARITY]))
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     shared = (buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
               .where("hub < top").select("key", "hub"))
     members = kept(buckets.join(shared, "key").select("key", "hub", "rep"))
     sets = kept(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                 .mapInArrow(_sets, SETS))
-    sketches = classes.select("rep", "n", *SKETCH)
+    sketches = classes.select("rep", "n", *SKETCH, *PARITY)
     pairs = _near(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
                   .join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep")), percent)
     links = kept(_verified(pairs.select("a", "b"), sets, percent))
     parts = kept(components(links))
     # Ranks 0 .. done - 1 of each bucket have been compared with all its members.
     w = Window.partitionBy("key").orderBy("rep")
-    open_ = kept(_apart(members.drop("hub"), parts).withColumn("rank", F.row_number().over(w) - 1)
-                 .join(sketches, "rep"))
+    open_ = kept(_apart(members.drop("hub"), parts).withColumn("rank", F.row_number().over(w) - 1))
     done = 1
     while not (rest := open_.where(F.col("rank") > done)).isEmpty():
         last = done * HUB_GROWTH
-        hubs = open_.where(F.col("rank").between(done, last))
-        pairs = _near(hubs.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.rank < y.rank and x.part <> y.part")), percent)
+        hubs = open_.where(F.col("rank").between(done, last)).join(sketches, "rep")
+        pairs = _near(hubs.alias("x").join(rest.join(sketches, "rep").alias("y"), F.expr("x.key = y.key and x.rank < y.rank and x.part <> y.part")), percent)
         found = kept(_verified(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), sets, percent))
         if not found.isEmpty():
             links = kept(links.unionByName(found))

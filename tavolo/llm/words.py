@@ -20,7 +20,7 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 BASE = int(_rng.integers(1, 2**63)) | 5
 BASE_INVERSE = pow(BASE, -1, 2**64)
 # Bytes of text hashed together (a longer text is a batch of its own).
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
