@@ -36,6 +36,8 @@ from tokenizers import Tokenizer
 from tavolo.llm.common import broadcast_once, text_of
 
 WORD_END = "</w>"
+# Signs that end a word when letters precede them.
+CLOSING = (",", ".", ";", ":", "!", "?")
 # Entries of a cache generation (results do not depend on it).
 CACHE_CHUNKS = 200_000
 # Characters of text whose chunks are learned together.
@@ -163,9 +165,9 @@ def merge_words(tables: BpeTables, sym: np.ndarray, word: np.ndarray) -> tuple[n
     return sym[order], word[order]
 
 
-def encode_words(tables: BpeTables, words: list[bytes]) -> list[list[int]]:
-    """Ids of each non-empty word (its UTF-8 bytes), in batches of bounded symbols."""
-    out: list[list[int]] = []
+def encode_words(tables: BpeTables, words: list[bytes]) -> list[bytes]:
+    """Ids of each non-empty word (its UTF-8 bytes) as little-endian 32-bit numbers, in batches of bounded symbols."""
+    out: list[bytes] = []
     at = 0
     while at < len(words):
         n, end = 0, at
@@ -179,31 +181,39 @@ def encode_words(tables: BpeTables, words: list[bytes]) -> list[list[int]]:
         ends = np.cumsum(size) - 1
         sym[ends] = tables.last[raw[ends]]
         sym, word = merge_words(tables, sym, np.repeat(np.arange(len(part)), size))
-        flat = sym.tolist()
-        stop = np.cumsum(np.bincount(word, minlength=len(part))).tolist()
+        flat = sym.astype("<u4").tobytes()
+        stop = (4 * np.cumsum(np.bincount(word, minlength=len(part)))).tolist()
         out += [flat[i:j] for i, j in zip([0, *stop], stop)]
         at = end
     return out
 
 
+def numbers(ids: bytes) -> list[int]:
+    """The ids in a string of little-endian 32-bit numbers."""
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 class Encoder:
-    """Encodes and decodes texts; keeps the chunks seen by one task.
+    """Encodes texts; keeps the chunks seen by one task.
 
     The cache has two generations of ``CACHE_CHUNKS`` entries: when the
     young one is full it becomes the old one, and chunks met again move
     back, so frequent chunks stay and memory is bounded.  ``entry`` makes
-    of a chunk's ids what the caller needs.
+    of a chunk's ids (bytes) what the caller needs.
     """
 
     def __init__(self, tables: BpeTables, entry=None):
         self.tables = tables
-        self.entry = entry or (lambda ids: ids)
+        self.entry = entry
         self.rules = Tokenizer.from_str(tables.rules)
         self.special = re.compile("|".join(map(re.escape, sorted(tables.specials, key=len, reverse=True)))) \
             if tables.specials else None
         self.to_bytes = {ord(c): b for b, c in enumerate(byte_symbols())}
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.words: dict[str, bytes] = {}   # ids of words without their case and closing sign
+        self.older: dict[str, bytes] = {}
+        self.closing = dict(zip(CLOSING, encode_words(tables, [c.encode() for c in CLOSING])))
 
     def pretokens(self, chunk: str) -> list:
         """Words (bytes) and special ids of a blank-free chunk, in order."""
@@ -228,22 +238,43 @@ class Encoder:
         """See that every chunk is in the young generation; unknown ones are encoded together."""
         if len(self.young) > CACHE_CHUNKS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
+        if len(self.words) > CACHE_CHUNKS:
+            self.older, self.words = self.words, {}
+        young, old, words, older = self.young, self.old, self.words, self.older
+        new, missing = [], {}
         for c in chunks:
-            if c not in young:
-                if (e := old.get(c)) is not None:
-                    young[c] = e
+            if c in young:
+                continue
+            if (e := old.get(c)) is not None:
+                young[c] = e
+                continue
+            # letters and a closing sign after them never share a word
+            sign = c[-1:] if c[-1:] in CLOSING and c[-2:-1].isalpha() else ""
+            stem = c[:-1] if sign else c
+            if stem.isascii() and "<" not in stem:
+                stem = stem.lower()
+            new.append((c, stem, sign))
+            if stem not in words:
+                if (ids := older.get(stem)) is not None:
+                    words[stem] = ids
                 else:
-                    new.append(c)
-        cut = [self.pretokens(c) for c in new]
-        words = list({w for ws in cut for w in ws if isinstance(w, bytes)})
-        ids = dict(zip(words, encode_words(self.tables, words)))
-        for c, ws in zip(new, cut):
-            if len(ws) == 1 and isinstance(ws[0], bytes):
-                young[c] = self.entry(ids[ws[0]])
+                    missing[stem] = None
+        single, several = [], []
+        for stem in missing:
+            if stem.isalpha() and stem.isascii():
+                single.append(stem)
             else:
-                young[c] = self.entry([i for w in ws for i in (ids[w] if isinstance(w, bytes) else (w,))])
+                several.append((stem, self.pretokens(stem)))
+        parts = list({w for _, ws in several for w in ws if isinstance(w, bytes)})
+        ids = encode_words(self.tables, [s.encode() for s in single] + parts)
+        words.update(zip(single, ids))
+        of = dict(zip(parts, ids[len(single):]))
+        for stem, ws in several:
+            words[stem] = b"".join([of[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws])
+        closing, entry = self.closing, self.entry
+        for c, stem, sign in new:
+            ids = words[stem] + closing[sign] if sign else words[stem]
+            young[c] = entry(ids) if entry else ids
 
     def cut(self, text: str) -> list[str]:
         """Blank-free chunks of a text (an edge chunk may be empty)."""
@@ -270,7 +301,7 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text (of an encoder without an ``entry`` of its own)."""
-        return [i for e in self.entries([text]) for ids in e for i in ids]
+        return [i for e in self.entries([text]) for ids in e for i in numbers(ids)]
 
 
 def decode(tokens: list[str], ids) -> str:
@@ -285,7 +316,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _mapper(tables, entry, make):
     def run(batches):
         gc.disable()  # millions of small live objects and no cycles: a collection finds nothing
-        enc = Encoder(tables.value, entry(tables.value))
+        enc = Encoder(tables.value, entry(tables.value) if entry else None)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             texts = [t or "" for t in b.column("text").to_pylist()]
@@ -293,11 +324,6 @@ def _mapper(tables, entry, make):
     return run
 
 
-def id_bytes(_tables):
-    """Entry of a chunk: its ids as little-endian unsigned 32-bit numbers."""
-    return lambda ids: np.array(ids, "<u4").tobytes()
-
-
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every whole text: ``doc_id, ids, decoded``."""
     def make(enc, ids, texts):
@@ -307,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             "ids": pa.array(es, pa.list_(pa.int32())),
             "decoded": pa.array([decode(enc.tables.tokens, e.tolist()) for e in es], pa.string())})
     tables = broadcast_once(docs, load_tables, path)
-    return text_of(docs, id_col, text_col).mapInArrow(_mapper(tables, id_bytes, make), ENCODED)
+    return text_of(docs, id_col, text_col).mapInArrow(_mapper(tables, None, make), ENCODED)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,8 +343,12 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     decoded tokens likewise; a text's strings are their joins.
     """
     def entry(tables):
-        numbers, tokens = [f"{i} " for i in range(tables.size)], [f"{t} " for t in tables.tokens]
-        return lambda ids: (len(ids), "".join([numbers[i] for i in ids]), "".join([tokens[i] for i in ids]))
+        digits, tokens = [f"{i} " for i in range(tables.size)], [f"{t} " for t in tables.tokens]
+
+        def of(raw):
+            ids = numbers(raw)
+            return len(ids), "".join([digits[i] for i in ids]), "".join([tokens[i] for i in ids])
+        return of
 
     def make(enc, ids, texts):
         n, a, d = [], [], []

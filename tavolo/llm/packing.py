@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tavolo.llm.bpe import Encoder, id_bytes, load_tables
+from tavolo.llm.bpe import Encoder, load_tables
 from tavolo.llm.common import broadcast_once, kept, text_of
 
 SEQUENCE_TOKENS = 2048
@@ -75,9 +76,8 @@ def token_pieces(docs: DataFrame, path: str, length: int = SEQUENCE_TOKENS, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        import gc
-        gc.disable()
-        enc = Encoder(tables.value, id_bytes(tables.value))
+        gc.disable()  # see bpe: many live objects, no cycles
+        enc = Encoder(tables.value)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             out = []

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from tavolo.llm import bpe, lines, minhash, packing, pii, quality, rules, suffix, topk, urls
 from tavolo.sources import Tables
 
+ROOT = str(Path(__file__).resolve().parents[2])
 VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict = {}
@@ -16,7 +19,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            # Python workers find the package where the driver found it
+            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn
