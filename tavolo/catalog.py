@@ -486,7 +486,7 @@ from s_scans s left join s_tables t on t.restaurant_id = s.restaurant_id and t.q
 left join a on a.table_id = t.table_id""")
 def q_rescan_route(spark, sf_dir):
     s = shop(spark, sf_dir)
-    return reads.rescan_route(s.scans, s.tables, s.orders, s.order_items)
+    return reads.rescan_route(s.scans, s.tables, s.orders)
 
 
 _MENU_SQL = """
@@ -540,7 +540,7 @@ select restaurant_id, table_id, label,
               substr(sha256(concat_ws('|', 'table-token', cast(restaurant_id as varchar), cast(table_id as varchar))), 1, 32), 1, 20) as qr_token
 from s_tables""")
 def q_mint_table_tokens(spark, sf_dir):
-    return reads.mint_table_tokens(shop(spark, sf_dir).tables)
+    return reads.mint_table_tokens(shop(spark, sf_dir).tables, "table-token")
 
 
 @query("staff_directory", """
@@ -552,10 +552,10 @@ def q_staff_directory(spark, sf_dir):
 
 
 @query("order_feedback", """
-select f.order_id, f.rating, f.comment from s_feedback f where f.order_id in (select order_id from s_orders)""")
+select order_id, rating, comment from s_feedback""")
 def q_order_feedback(spark, sf_dir):
     s = shop(spark, sf_dir)
-    return reads.order_feedback(s.orders, s.feedback)
+    return reads.order_feedback(s.feedback)
 
 
 # ---------------------------------------------------------------- calls

@@ -102,6 +102,7 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int
                     (F.col("prev_count") == 0).alias("is_new")))
 
 
+FOLD_BLOCK = 256      # rings whose verdicts are appended to one array
 HOT_BURST = 100_000  # rings in one burst above which the pointer-doubling path runs
 
 
@@ -117,11 +118,14 @@ def _bursts(ring_log: DataFrame, gap: int, chunk_size: int) -> DataFrame:
 
 
 def _fold_small_bursts(r: DataFrame, gap: int) -> DataFrame:
-    """Greedy rule inside each (bounded) burst: ``aggregate()`` over its sorted rings."""
+    """Greedy rule inside each (bounded) burst: ``aggregate()`` over its sorted rings.
+
+    An array that grows by one element is copied each time, so the rings
+    are folded in blocks: the outer fold appends one array per block.
+    """
     bursts = (r.groupBy("table_id", "burst")
               .agg(F.sort_array(F.collect_list(F.struct("us", "seq", "ts"))).alias("rs")))
-    init = F.struct(F.lit(None).cast("long").alias("last"),
-                    F.array().cast("array<struct<seq:bigint,ts:timestamp_ntz,accepted:boolean>>").alias("out"))
+    kept = "array<struct<seq:bigint,ts:timestamp_ntz,accepted:boolean>>"
 
     def step(acc, x):
         ok = acc["last"].isNull() | (x["us"] - acc["last"] >= gap)
@@ -129,7 +133,16 @@ def _fold_small_bursts(r: DataFrame, gap: int) -> DataFrame:
                         F.array_append(acc["out"], F.struct(x["seq"].alias("seq"), x["ts"].alias("ts"),
                                                             ok.alias("accepted"))).alias("out"))
 
-    folded = bursts.select("table_id", F.aggregate("rs", init, step)["out"].alias("out"))
+    def block(acc, i):
+        part = F.aggregate(F.slice("rs", i * FOLD_BLOCK + 1, FOLD_BLOCK),
+                           F.struct(acc["last"].alias("last"), F.array().cast(kept).alias("out")), step)
+        # a one-element array binds the block's fold, which is read twice
+        return F.get(F.transform(F.array(part), lambda p: F.struct(
+            p["last"].alias("last"), F.array_append(acc["out"], p["out"]).alias("out"))), F.lit(0))
+
+    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kept}>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("rs") - 1) / FOLD_BLOCK).cast("int"))
+    folded = bursts.select("table_id", F.flatten(F.aggregate(blocks, init, block)["out"]).alias("out"))
     return (folded.select("table_id", F.explode("out").alias("r"))
             .select(F.col("r.seq").alias("seq"), "table_id", F.col("r.ts").alias("ts"),
                     F.col("r.accepted").alias("accepted")))

@@ -20,13 +20,14 @@ from tavolo.functions.text import is_blank
 
 RAW_ITEM = StructType([StructField(n, StringType()) for n in ("menu_item_id", "name", "price", "qty")])
 RAW_ITEMS = ArrayType(RAW_ITEM)
+WIDE = "decimal(38,18)"   # what a price is read as before it must fit the money type
 
 
 def _typed(x):
     return F.struct(
         x["menu_item_id"].try_cast("bigint").alias("menu_item_id"),
         x["name"].alias("name"),
-        x["price"].try_cast(MONEY).alias("price"),
+        x["price"].try_cast(WIDE).cast(MONEY).alias("price"),
         x["qty"].try_cast("int").alias("qty"),
         x.alias("raw"),
     )
@@ -37,6 +38,8 @@ def _line_error(x):
     raw = x["raw"]
     return (F.when(raw["menu_item_id"].isNotNull() & x["menu_item_id"].isNull(), F.lit("bad menu_item_id"))
             .when(raw["price"].isNotNull() & x["price"].isNull(), F.lit("bad price"))
+            # the column keeps four decimals; a finer price is not rounded without a word
+            .when(raw["price"].try_cast(WIDE) != x["price"], F.lit("price does not fit"))
             .when(raw["qty"].isNotNull() & x["qty"].isNull(), F.lit("bad qty"))
             .when(x["name"].isNull(), F.lit("missing name"))
             .when(x["price"].isNull(), F.lit("missing price"))
@@ -63,7 +66,7 @@ def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items:
     known_tenant = restaurants.select("restaurant_id", F.lit(True).alias("tenant_ok"))
     parsed = (parsed.join(known_tenant, "restaurant_id", "left")
               .withColumn("row_reason",
-                          F.when(F.col("items").isNull() | F.col("raw_items").isNull(),
+                          F.when(F.col("raw_items").isNull() | F.json_array_length("items").isNull(),
                                  F.lit("items is not a JSON array"))
                           .when(F.size(errs) > 0, F.element_at(errs, 1))
                           .when(F.col("tenant_ok").isNull(), F.lit("unknown restaurant"))))

@@ -75,7 +75,7 @@ def fold_orders(events: DataFrame, tax_rate=None, chunk_size: int = DEFAULT_CHUN
     The aggregate combines map-side (partial max_by / sum / count), so a
     hot order is pre-aggregated per chunk before the final shuffle.
     """
-    rate = F.lit(Decimal(tax_rate or DEFAULT_TAX_RATE)).cast(RATE)
+    rate = F.lit(Decimal(DEFAULT_TAX_RATE if tax_rate is None else tax_rate)).cast(RATE)
     e = annotate_events(events, chunk_size)
     kind = F.col("kind")
     amount = F.when(F.col("is_line"), F.col("price").cast(MONEY) * F.col("qty"))

@@ -16,6 +16,7 @@ from tavolo.functions.clock import ntz_micros
 from tavolo.functions.money import js_round
 from tavolo.functions.text import ACTIVE_STATUSES, is_active, strip_one_trailing_slash
 from tavolo.operators.common import TRACKER_STEPS, attach_lines, items_text, literal_table, order_lines
+from tavolo.plans import cut_lineage
 from tavolo.plans.joins import checked_broadcast
 from tavolo.plans.scan import Prefix, prefix_by_key
 
@@ -91,7 +92,7 @@ def live_orders_digest(orders, tables, order_items, restaurants) -> DataFrame:
 
 
 def role_queue(spark: SparkSession, orders: DataFrame) -> DataFrame:
-    """Which active orders each role sees (a 9-row literal map, broadcast)."""
+    """Which active orders each role sees (a 12-row literal map, broadcast)."""
     rows = [(r, s) for r, sts in ROLE_QUEUES.items() for s in sts]
     m = literal_table(spark, rows, "role string, status string")
     return (orders.where(is_active(F.col("status"))).join(m, "status")
@@ -106,16 +107,22 @@ def order_tracker(orders, tables) -> DataFrame:
             .select("order_id", "status", "table_label", step.alias("step")))
 
 
+def newest_active(orders) -> DataFrame:
+    """Newest active order per table (any source); table-less orders excluded."""
+    w = Window.partitionBy("table_id").orderBy(F.col("created_at").desc(), F.col("order_id").desc())
+    return (orders.where(is_active(F.col("status")) & F.col("table_id").isNotNull())
+            .select("table_id", "order_id", "status", "total", "created_at")
+            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn"))
+
+
 def active_order_per_table(orders, order_items) -> DataFrame:
-    """Newest active order per table (any source); table-less orders excluded.
+    """Newest active order per table with its lines.
 
-    One order per table: the ids are counted and broadcast into the line
-    scan (a shuffle join above the limit).
+    One order per table: the ranking is checkpointed, so ids, lines and
+    output read it once computed; the ids are counted and broadcast into
+    the line scan (a shuffle join above the limit).
     """
-    w = Window.partitionBy("table_id").orderBy(F.col("created_at").desc(), F.col("order_id").desc())
-    act = (orders.where(is_active(F.col("status")) & F.col("table_id").isNotNull())
-           .select("table_id", "order_id", "status", "total", "created_at")
-           .withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn"))
+    act = cut_lineage(newest_active(orders))
     ids = checked_broadcast(act.select("order_id"))
     lines = order_lines(order_items.join(ids, "order_id", "left_semi"),
                         "menu_item_id", "name_snapshot", "price_snapshot", "qty")
@@ -131,10 +138,10 @@ def table_by_token(scans, tables) -> DataFrame:
                     .alias("order_type")))
 
 
-def rescan_route(scans, tables, orders, order_items) -> DataFrame:
+def rescan_route(scans, tables, orders) -> DataFrame:
     """Per scan: 'resume' when the table has an active order, else 'menu'."""
     hit = table_by_token(scans, tables)
-    act = active_order_per_table(orders, order_items).select(
+    act = newest_active(orders).select(
         "table_id", F.col("order_id").alias("active_order_id"))
     return (hit.join(act, "table_id", "left")
             .select("scan_id", "restaurant_id", "table_id", "order_type", "active_order_id",
@@ -179,11 +186,12 @@ def table_links(tables, base_url: str) -> DataFrame:
                          F.concat(base, F.lit("/menu.html?t="), F.col("qr_token")).alias("url"))
 
 
-def mint_table_tokens(tables, salt: str = "table-token") -> DataFrame:
+def mint_table_tokens(tables, salt: str) -> DataFrame:
     """20-char token: tenant id up to its first '-', '-', then hex.
 
     The hex comes from a salted sha2 of the table key, not uuid(), so a
-    recomputed stage gives the same token.
+    recomputed stage gives the same token.  The salt is a secret of the
+    caller: whoever knows it can compute every token.
     """
     prefix = F.lower(F.regexp_replace(F.col("restaurant_id").cast("string"), "-.*", ""))
     hexpart = F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.col("restaurant_id").cast("string"),
@@ -199,6 +207,6 @@ def staff_directory(staff) -> DataFrame:
         "position", F.row_number().over(w))
 
 
-def order_feedback(orders, feedback) -> DataFrame:
-    return (feedback.join(orders.select("order_id"), "order_id", "left_semi")
-            .select("order_id", "rating", "comment"))
+def order_feedback(feedback) -> DataFrame:
+    """Feedback rows by order; they carry the order's id, so orders are not read."""
+    return feedback.select("order_id", "rating", "comment")

@@ -26,7 +26,7 @@ def _receipt(lines, name, currency, total, thank_you: bool, null_as_zero: bool):
         price, qty = x["price_snapshot"], x["qty"]
         if null_as_zero:
             price, qty = F.coalesce(price, F.lit(0)), F.coalesce(qty, F.lit(0))
-        return F.concat(x["qty"].cast("string"), F.lit("x "), x["name_snapshot"], F.lit(" - "),
+        return F.concat(qty.cast("string"), F.lit("x "), x["name_snapshot"], F.lit(" - "),
                         currency, F.lit(" "), _amount(price * qty))
     parts = [F.concat(F.lit("Order receipt - "), name), F.lit("")]
     # NULL (skipped by concat_ws) when there are no lines, as an empty JS spread

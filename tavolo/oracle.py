@@ -21,7 +21,7 @@ FIXTURE_SQL = {
     "s_calls": "select event_id as call_id, cast(user_id % 25 as int) as restaurant_id, (user_id % 25) * 8 + user_id % 8 as table_id, ts as created_at, event_id % 8 <> 0 as acknowledged, case when event_id % 8 <> 0 then user_id % 10 end as acknowledged_by from events where event_type in ('view','click','error')",
     "s_ring_log": "select event_id as seq, (user_id % 25) * 8 + user_id % 8 as table_id, case when event_type = 'purchase' then 'ack' else 'ring' end as kind, user_id % 10 as staff_id, ts from events where event_type in ('view','click','purchase')",
     "s_feedback": "select l.doc_id as order_id, cast(1 + 3 * l.quality + (1 - l.toxic) as int) as rating, d.source as comment from labels l join documents d on d.doc_id = l.doc_id",
-    "s_feedback_events": "select conv_id * 200 as order_id, turn as seq, cast(length(text) % 7 as int) as rating, substr(text, 1, 40) as comment from conversations where role = 'user'",
+    "s_feedback_events": "select conv_id * 200 as order_id, turn as seq, cast(length(text) % 7 as int) as rating, text as comment from conversations where role = 'user'",
     "s_cart_events": "select user_id as cart_id, event_id % 20 as item_id, event_id as seq, case when event_type = 'error' then -1 when event_type = 'purchase' then 0 else 1 end as delta from events",
     "s_avail_events": "select event_id % 400 as menu_item_id, event_id as seq, event_type <> 'error' as is_available from events",
     "s_setting_events": "select cast(user_id % 25 as int) as restaurant_id, event_id as seq, case when event_id % 4 = 0 then '  ' else concat(' 92', cast(event_id as string)) end as whatsapp_number from events where event_type = 'signup'",

@@ -203,13 +203,3 @@ def chunked_prefix(df: DataFrame, keys: list[str], order: str, specs,
             df = df.withColumn(sp.name, _combine(sp.kind, F.col(f"__l_{sp.name}"), F.col(f"__c_{sp.name}")))
         df = df.drop(*[f"__{p}_{sp.name}" for sp in stage for p in ("x", "l", "c")])
     return df.drop(ck)
-
-
-def total_by_key(df: DataFrame, keys: list[str], name: str, agg: Column) -> DataFrame:
-    """Attach a whole-key aggregate (e.g. the last remove of a cart line).
-
-    An aggregate + join instead of an unbounded window: the aggregate
-    combines map-side, so a hot key never gathers in one task.
-    """
-    t = df.groupBy(*keys).agg(agg.alias(name))
-    return df.join(t, keys, "left")

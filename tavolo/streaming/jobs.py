@@ -58,10 +58,19 @@ def stream_order_state(events: DataFrame, store: EpochStore, checkpoint: str, tr
 
 # ------------------------------------------------------------ sales panels
 def sales_batch(store: EpochStore, batch: DataFrame, epoch: int, restaurants: DataFrame, since) -> None:
-    """Merge changed orders into the snapshot; re-aggregate the touched tenants."""
-    store.write(batch, "orders", epoch)
+    """Merge changed orders into the snapshot; re-aggregate the touched tenants.
+
+    ``batch`` holds whole order rows with ``version``, a sequence that grows
+    with each change of the order.  One row per order is written: its
+    newest version in the batch.  An order keeps its tenant, so the tenant
+    filter is applied to the stored versions before the newest is taken.
+    """
+    cols = [c for c in batch.columns if c != "order_id"]
+    newest = (batch.groupBy("order_id").agg(F.max_by(F.struct(*cols), "version").alias("v"))
+              .select("order_id", *[F.col("v")[c].alias(c) for c in cols]))
+    store.write(newest, "orders", epoch)
     touched = batch.select("restaurant_id").distinct()
-    snap = store.latest("orders", ["order_id"]).join(touched, "restaurant_id", "left_semi")
+    snap = store.latest("orders", ["order_id"], "version", only=touched)
     tenants = restaurants.join(touched, "restaurant_id", "left_semi")
     store.write(sales_ops.sales_summary(snap, tenants, since), "sales_summary", epoch)
 

@@ -9,8 +9,6 @@ cluster (the same kind of place as ``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -27,19 +25,21 @@ class EpochStore:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_by, "epoch").parquet(self.path(name)))
 
-    def exists(self, name: str) -> bool:
-        p = self.path(name)
-        if "://" in p and not p.startswith("file:"):
-            return True  # remote stores: let the read decide
-        return os.path.isdir(p.replace("file:", "")) and any(
-            e.startswith("epoch=") or "=" in e for e in os.listdir(p.replace("file:", "")))
-
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def latest(self, name: str, keys: list[str], order: str = "epoch") -> DataFrame:
-        """Latest row per key (the current snapshot of a keyed table)."""
+    def latest(self, name: str, keys: list[str], order: str = "epoch",
+               only: DataFrame | None = None) -> DataFrame:
+        """Latest row per key (the current snapshot of a keyed table).
+
+        ``order`` may name a per-key sequence in the rows; it goes before
+        the epoch, so several versions of a key in one batch have one winner.
+        ``only`` keeps rows that match its columns (which a key never changes).
+        """
         df = self.read(name)
+        if only is not None:
+            df = df.join(only, only.columns, "left_semi")
+        rank = F.struct(order, "epoch") if order != "epoch" else F.col("epoch")
         cols = [c for c in df.columns if c not in keys]
-        g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("v"))
+        g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), rank).alias("v"))
         return g.select(*keys, *[F.col("v")[c].alias(c) for c in cols])

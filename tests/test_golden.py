@@ -240,3 +240,31 @@ def test_event_time_rules_ignore_the_session_zone(spark):
             assert run() == utc
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_request_must_be_an_array_and_prices_must_fit(spark):
+    from tavolo.operators import ingest
+    reqs = spark.createDataFrame(
+        [(1, 7, '{"menu_item_id":"10","name":"a","price":"1","qty":"1"}'),
+         (2, 7, '[{"menu_item_id":"10","name":"a","price":"50.12345","qty":"1"}]'),
+         (3, 7, '[{"menu_item_id":"10","name":"a","price":"50.1234","qty":"1"}]')],
+        "order_id long, restaurant_id long, items string")
+    tenants = spark.createDataFrame([(7,)], "restaurant_id long")
+    items = spark.createDataFrame([(10,)], "menu_item_id long")
+    got = {r.order_id: r.reason for r in ingest.rejected_requests(reqs, tenants, items).collect()}
+    assert got == {1: "items is not a JSON array", 2: "price does not fit"}
+
+
+def test_receipt_counts_a_null_qty_as_zero(spark):
+    from tavolo.operators.receipts import _receipt
+    rows = spark.createDataFrame([([("Tea", 5.0, None), ("Cake", 3.0, 2)],)],
+                                 "items array<struct<name_snapshot:string,price_snapshot:double,qty:int>>")
+    text = rows.select(_receipt(F.col("items"), F.lit("Shop"), F.lit("PKR"), F.lit(6.0), True, True)).first()[0]
+    assert "0x Tea - PKR 0" in text and "2x Cake - PKR 6" in text
+
+
+def test_debounce_of_a_long_burst_is_one_pass(spark):
+    log = spark.range(50_000).selectExpr("id as seq", "1L as table_id", "'ring' as kind",
+                                         "cast(timestamp_seconds(id) as timestamp_ntz) as ts")
+    got = calls.ring_debounce(log, 15).where("accepted")
+    assert got.count() == -(-50_000 // 15)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tavolo.catalog import SINCE, shop
+from tavolo.catalog import QUERIES, SINCE, shop
 from tavolo.operators import reads, sales
 
 
@@ -13,7 +13,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udf_in_batch_plans(spark, small_dir, name):
     text = _plan(entry.queries()[name](spark, small_dir))
     assert "EvalPython" not in text and "PythonUDF" not in text and "MapInPandas" not in text

@@ -61,10 +61,27 @@ def test_stream_order_state_out_of_order_events(spark, small_dir, tmp):
     assert _rows(got, ["order_id"]) == _rows(orders.order_state(ev), ["order_id"])
 
 
+def test_sales_batch_takes_the_newest_version(spark, small_dir, tmp):
+    s = shop(spark, small_dir)
+    row = s.orders.where("status = 'closed'").select(
+        "order_id", "restaurant_id", "status", "total", "created_at", "source").limit(1)
+    closed = row.withColumn("version", F.lit(2).cast("long"))
+    opened = row.withColumns({"status": F.lit("open"), "version": F.lit(1).cast("long")})
+    sold = []
+    for i, batch in enumerate((opened.unionByName(closed), closed.unionByName(opened))):
+        store = EpochStore(spark, os.path.join(tmp, f"versions{i}"))
+        jobs.sales_batch(store, batch, 0, s.restaurants, SINCE)
+        jobs.sales_batch(store, opened, 1, s.restaurants, SINCE)  # an old version that comes late
+        want = sales.sales_summary(row, s.restaurants.join(row, "restaurant_id", "left_semi"), SINCE)
+        sold.append(_rows(jobs.current_sales(store).select(*want.columns), ["restaurant_id"]))
+    assert sold[0] == sold[1] == _rows(want, ["restaurant_id"])
+
+
 def test_stream_sales_equals_batch(spark, small_dir, tmp):
     s = shop(spark, small_dir)
     store = EpochStore(spark, os.path.join(tmp, "store"))
-    o = s.orders.select("order_id", "restaurant_id", "status", "total", "created_at", "source")
+    o = s.orders.select("order_id", "restaurant_id", "status", "total", "created_at", "source",
+                        F.lit(2).cast("long").alias("version"))
     jobs.stream_sales(_stream_of(spark, o, "order_id", tmp), store, s.restaurants, SINCE,
                       os.path.join(tmp, "ckpt")).awaitTermination()
     want = sales.sales_summary(s.orders, s.restaurants, SINCE).join(
