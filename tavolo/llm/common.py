@@ -40,19 +40,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = kept(edges.where("a is not null and b is not null and a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(2**40))).first()
-        if now == before:
-            break
-        before = now
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node hangs on one smallest node, which hangs on none."""
+    several = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return several.isEmpty() and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty()

@@ -33,7 +33,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75           # percent
 BANDS, ROWS = 32, 4       # a pair at the threshold misses every band once in 200,000
 EMPTY = np.uint64(2**64 - 1)
-HUB_GROWTH = 16           # more hubs in each next round of a bucket still apart
+HUB_GROWTH = 64           # more hubs in each next round of a bucket still apart
 GROUP_ELEMENTS = 1 << 16  # shingles signed together
 
 # A sketch holds 4 bits of every register; pairs whose agreement lies this many standard
@@ -43,10 +43,9 @@ SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]
 # Parity bits: every shingle flips one.  Two sets differ in at least as many shingles as
 # their parity bits differ, so a pair over the allowed difference is surely no link.
 PARITY_BITS = 2048
-PARITY = [f"o{i}" for i in range(PARITY_BITS // 64)]
 
 FEATURES = ("doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
-            + ", ".join(f"{c} long" for c in SKETCH + PARITY))
+            + ", ".join(f"{c} long" for c in SKETCH) + ", parity array<long>")
 SETS = "doc_id long, shingles array<long>"
 
 
@@ -120,11 +119,8 @@ def parity_words(sets: list[np.ndarray]) -> np.ndarray:
 
 def _differing(a: str, b: str):
     """Parity bits in which two sets differ: at most the size of their symmetric difference."""
-    total = None
-    for c in PARITY:
-        n = F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-        total = n if total is None else total + n
-    return total
+    one = F.zip_with(f"{a}.parity", f"{b}.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(one, F.lit(0), lambda s, n: s + n)
 
 
 def _agreeing(a: str, b: str):
@@ -154,7 +150,7 @@ def _features(batches):
         sets = shingle_sets(_texts(b), SHINGLE_WORDS)
         keys = np.empty((len(sets), BANDS), dtype=np.uint64)
         sketch = np.empty((len(sets), len(SKETCH)), dtype=np.uint64)
-        parity = np.empty((len(sets), len(PARITY)), dtype=np.uint64)
+        parity = np.empty((len(sets), PARITY_BITS // 64), dtype=np.uint64)
         at = 0
         while at < len(sets):
             n, end = 0, at
@@ -171,8 +167,8 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
              pa.array(c.view(np.int64)), _lists(list(keys)),
-             *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sketch.T, *parity.T))],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *SKETCH, *PARITY])
+             *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T), _lists(list(parity))],
+            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *SKETCH, "parity"])
 
 
 def _sets(batches):
@@ -198,8 +194,8 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
     At a similarity of p percent, sets of n and m differ in at most (n + m) (100 - p) / (100 + p) shingles.
     """
     return pairs.where((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-                       & (_differing("x", "y") * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
-                       & (_agreeing("x", "y") >= sketch_least(percent)))
+                       & (_agreeing("x", "y") >= sketch_least(percent))
+                       & (_differing("x", "y") * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY,
@@ -209,15 +205,15 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY,
     feats = kept(texts.mapInArrow(_features, FEATURES))
     classes = kept(feats.where("doc_id is not null and n_shingles > 0")
                    .groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
-                   .agg(F.min(F.struct("doc_id", "bands", *SKETCH, *PARITY)).alias("r"))
-                   .select("set_a", "set_b", "n", F.col("r.doc_id").alias("rep"), "r.bands", *[f"r.{c}" for c in SKETCH + PARITY]))
+                   .agg(F.min(F.struct("doc_id", "bands", "parity", *SKETCH)).alias("r"))
+                   .select("set_a", "set_b", "n", F.col("r.doc_id").alias("rep"), "r.bands", "r.parity", *[f"r.{c}" for c in SKETCH]))
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     shared = (buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
               .where("hub < top").select("key", "hub"))
     members = kept(buckets.join(shared, "key").select("key", "hub", "rep"))
     sets = kept(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                 .mapInArrow(_sets, SETS))
-    sketches = classes.select("rep", "n", *SKETCH, *PARITY)
+    sketches = classes.select("rep", "n", "parity", *SKETCH)
     pairs = _near(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
                   .join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep")), percent)
     links = kept(_verified(pairs.select("a", "b"), sets, percent))
