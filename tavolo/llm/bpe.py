@@ -4,9 +4,9 @@ The vocabulary file is the ``tokenizers`` JSON layout: a BPE model over
 byte symbols with a word-end mark, a normalizer of NFC and lower case, a
 split into runs of letters, single numbers, runs of signs and the English
 contractions, and special tokens matched in the raw text.  White space
-never enters a token, so a text is cut into blank-free chunks and every
-distinct chunk is encoded once per task; texts are then joins of cached
-chunks.
+never enters a token, so Arrow cuts a group of texts at ASCII blanks and
+numbers the distinct chunks; each is encoded once and the texts' ids are
+gathered from the chunks' by numpy.  Words met before are remembered.
 
 ``merge_words`` is the core: the symbols of many words lie in one flat
 array.  Each round looks up every adjacent pair by binary search in the
@@ -29,29 +29,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tavolo.llm.common import broadcast_once, text_of
 
 WORD_END = "</w>"
-# Signs that end a word when letters precede them.
-CLOSING = (",", ".", ";", ":", "!", "?")
 # Entries of a cache generation (results do not depend on it).
-CACHE_CHUNKS = 200_000
-# Characters of text whose chunks are learned together.
-GROUP_CHARS = 1 << 24
+CACHE_WORDS = 200_000
+# Bytes of text that are encoded together (a longer text is a group of its own).
+GROUP_BYTES = 1 << 23
 # Symbols merged together in one flat array (a longer word is an array of its own).
 BATCH_SYMBOLS = 1 << 19
 NO_RANK = np.int32(2**31 - 1)
-BLANK = regex.compile(r"\p{White_Space}+")
-# Python's split() also cuts at these four, which are no white space in Unicode.
-ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 # Texts of these characters need no Unicode tables: NFC leaves them as they are, and
 # lower case stays among them.  Fixed value: the vocabulary file's split, for such texts.
 SIMPLE = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
-SIMPLE_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t-\ra-zß-öø-ſ0-9]+")
+SIMPLE_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t-\ra-zß-öø-ſ0-9]+"
+# The same over chunks that each end with a line feed.
+SIMPLE_LINES = re.compile(SIMPLE_WORDS + "|\n")
+# Ends the ids of a chunk; no id is as large.
+MARK = 2**32 - 1
 
 
 def byte_symbols() -> list[str]:
@@ -194,29 +193,24 @@ def numbers(ids: bytes) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts; keeps the chunks seen by one task.
+    """Encodes texts; remembers the words seen by one task.
 
-    The cache has two generations of ``CACHE_CHUNKS`` entries: when the
-    young one is full it becomes the old one, and chunks met again move
-    back, so frequent chunks stay and memory is bounded.  ``entry`` makes
-    of a chunk's ids (bytes) what the caller needs.
+    The cache has two generations of ``CACHE_WORDS`` entries: when the
+    young one is full it becomes the old one, and words met again move
+    back, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, tables: BpeTables, entry=None):
+    def __init__(self, tables: BpeTables):
         self.tables = tables
-        self.entry = entry
         self.rules = Tokenizer.from_str(tables.rules)
         self.special = re.compile("|".join(map(re.escape, sorted(tables.specials, key=len, reverse=True)))) \
             if tables.specials else None
         self.to_bytes = {ord(c): b for b, c in enumerate(byte_symbols())}
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
-        self.words: dict[str, bytes] = {}   # ids of words without their case and closing sign
-        self.older: dict[str, bytes] = {}
-        self.closing = dict(zip(CLOSING, encode_words(tables, [c.encode() for c in CLOSING])))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pretokens(self, chunk: str) -> list:
-        """Words (bytes) and special ids of a blank-free chunk, in order."""
+        """Words (text) and special ids of a chunk, in order."""
         if self.special is None or "<" not in chunk:
             return self._plain(chunk)
         out: list = []
@@ -227,81 +221,68 @@ class Encoder:
             at = m.end()
         return out + self._plain(chunk[at:])
 
-    def _plain(self, text: str) -> list[bytes]:
-        if SIMPLE.fullmatch(text):
-            return [w.encode() for w in SIMPLE_WORDS.findall(text.lower())]
+    def _plain(self, text: str) -> list[str]:
         # the file's own normalizer and split, with the library's Unicode tables
         pieces = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
-        return [p.translate(self.to_bytes).encode("latin-1") for p, _ in pieces]
+        return [p.translate(self.to_bytes).encode("latin-1").decode() for p, _ in pieces]
 
-    def learn(self, chunks) -> None:
-        """See that every chunk is in the young generation; unknown ones are encoded together."""
-        if len(self.young) > CACHE_CHUNKS:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The cache's young generation, with every one of ``words``; unknown ones are encoded together."""
+        if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        if len(self.words) > CACHE_CHUNKS:
-            self.older, self.words = self.words, {}
-        young, old, words, older = self.young, self.old, self.words, self.older
-        new, missing = [], {}
-        for c in chunks:
-            if c in young:
-                continue
-            if (e := old.get(c)) is not None:
-                young[c] = e
-                continue
-            # letters and a closing sign after them never share a word
-            sign = c[-1:] if c[-1:] in CLOSING and c[-2:-1].isalpha() else ""
-            stem = c[:-1] if sign else c
-            if stem.isascii() and "<" not in stem:
-                stem = stem.lower()
-            new.append((c, stem, sign))
-            if stem not in words:
-                if (ids := older.get(stem)) is not None:
-                    words[stem] = ids
-                else:
-                    missing[stem] = None
-        single, several = [], []
-        for stem in missing:
-            if stem.isalpha() and stem.isascii():
-                single.append(stem)
-            else:
-                several.append((stem, self.pretokens(stem)))
-        parts = list({w for _, ws in several for w in ws if isinstance(w, bytes)})
-        ids = encode_words(self.tables, [s.encode() for s in single] + parts)
-        words.update(zip(single, ids))
-        of = dict(zip(parts, ids[len(single):]))
-        for stem, ws in several:
-            words[stem] = b"".join([of[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws])
-        closing, entry = self.closing, self.entry
-        for c, stem, sign in new:
-            ids = words[stem] + closing[sign] if sign else words[stem]
-            young[c] = entry(ids) if entry else ids
-
-    def cut(self, text: str) -> list[str]:
-        """Blank-free chunks of a text (an edge chunk may be empty)."""
-        return BLANK.split(text) if ODD_SEPARATORS.search(text) else text.split()
-
-    def entries(self, texts: list[str]):
-        """For each text, the entries of its chunks in order.
-
-        Texts are learned in groups of bounded length, so one group's chunks
-        are what is held at a time beside the cache.
-        """
+        new = words - self.young.keys()
+        met = new & self.old.keys()
+        self.young.update(zip(met, map(self.old.__getitem__, met)))
+        new = list(new - met)
+        self.young.update(zip(new, encode_words(self.tables, [w.encode() for w in new])))
+        return self.young
+
+    def chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chunks in one flat array, and the start and the length of each chunk's there."""
+        simple = [i for i, c in enumerate(chunks) if "<" not in c and SIMPLE.fullmatch(c)]
+        other = sorted(set(range(len(chunks))).difference(simple))
+        parts = SIMPLE_LINES.findall("".join([f"{chunks[i]}\n" for i in simple]).lower())
+        for i in other:
+            parts += self.pretokens(chunks[i])
+            parts.append("\n")
+        distinct = set(parts) - {"\n"}
+        words = {w for w in distinct if isinstance(w, str)}
+        known = self.learn(words)
+        ids = dict(zip(words, map(known.__getitem__, words)))
+        ids.update((i, i.to_bytes(4, "little")) for i in distinct - words)
+        ids["\n"] = MARK.to_bytes(4, "little")
+        flat = np.frombuffer(b"".join(map(ids.__getitem__, parts)), "<u4")
+        ends = np.flatnonzero(flat == MARK)
+        begins = np.r_[0, ends + 1][:-1]
+        start, size = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        at = np.array(simple + other, dtype=np.int64)
+        start[at], size[at] = begins, ends - begins
+        return flat, start, size
+
+    def groups(self, texts: pa.Array):
+        """``(first text, ids, offsets)`` of groups of texts of bounded length; offsets has a text more than the group."""
+        texts = pc.fill_null(texts, "")
+        size = np.asarray(pc.binary_length(texts)).tolist()
         at = 0
         while at < len(texts):
             n, end = 0, at
-            while end < len(texts) and (end == at or n + len(texts[end]) <= GROUP_CHARS):
-                n += len(texts[end])
+            while end < len(texts) and (end == at or n + size[end] <= GROUP_BYTES):
+                n += size[end]
                 end += 1
-            cut = [self.cut(t) for t in texts[at:end]]
-            self.learn({c for cs in cut for c in cs})
-            get = self.young.__getitem__
-            for cs in cut:
-                yield list(map(get, cs))
+            lists = pc.ascii_split_whitespace(texts.slice(at, end - at))
+            chunks = lists.flatten().dictionary_encode()
+            flat, start, length = self.chunk_ids(chunks.dictionary.to_pylist())
+            code = np.asarray(chunks.indices)
+            length = length[code]
+            stop = np.r_[0, np.cumsum(length)]
+            take = np.repeat(start[code] - stop[:-1], length)
+            take += np.arange(len(take))
+            yield at, flat[take], stop[np.asarray(lists.offsets)]
             at = end
 
     def encode(self, text: str) -> list[int]:
-        """Ids of one text (of an encoder without an ``entry`` of its own)."""
-        return [i for e in self.entries([text]) for ids in e for i in numbers(ids)]
+        """Ids of one text."""
+        return next(self.groups(pa.array([text])))[1].tolist()
 
 
 def decode(tokens: list[str], ids) -> str:
@@ -309,55 +290,44 @@ def decode(tokens: list[str], ids) -> str:
     return " ".join([tokens[i] for i in ids])
 
 
+def _joined(names: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each text, the names of its ids joined by one space (``decode`` of a group of texts)."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), names.take(pa.array(ids))), " ")
+
+
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _mapper(tables, entry, make):
+def _mapper(tables, make):
     def run(batches):
-        gc.disable()  # millions of small live objects and no cycles: a collection finds nothing
-        enc = Encoder(tables.value, entry(tables.value) if entry else None)
+        gc.disable()  # many live objects and no cycles: a collection finds nothing
+        enc = Encoder(tables.value)
+        names = pa.array(enc.tables.tokens, pa.large_string())
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            yield make(enc, ids, texts)
+            for at, ids, offsets in enc.groups(b.column("text")):
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(at, len(offsets) - 1),
+                                                  **make(names, ids, offsets)})
     return run
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every whole text: ``doc_id, ids, decoded``."""
-    def make(enc, ids, texts):
-        es = [np.frombuffer(b"".join(e), "<u4").astype(np.int32) for e in enc.entries(texts)]
-        return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids, pa.int64()),
-            "ids": pa.array(es, pa.list_(pa.int32())),
-            "decoded": pa.array([decode(enc.tables.tokens, e.tolist()) for e in es], pa.string())})
+    def make(names, ids, offsets):
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))),
+                "decoded": _joined(names, ids, offsets).cast(pa.string())}
     tables = broadcast_once(docs, load_tables, path)
-    return text_of(docs, id_col, text_col).mapInArrow(_mapper(tables, None, make), ENCODED)
+    return text_of(docs, id_col, text_col).mapInArrow(_mapper(tables, make), ENCODED)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token count and digests of ids and decoded text, without shipping either out of the task.
-
-    An entry holds a chunk's ids as text, a space after each, and its
-    decoded tokens likewise; a text's strings are their joins.
-    """
-    def entry(tables):
-        digits, tokens = [f"{i} " for i in range(tables.size)], [f"{t} " for t in tables.tokens]
-
-        def of(raw):
-            ids = numbers(raw)
-            return len(ids), "".join([digits[i] for i in ids]), "".join([tokens[i] for i in ids])
-        return of
-
-    def make(enc, ids, texts):
-        n, a, d = [], [], []
-        for e in enc.entries(texts):
-            n.append(sum([x[0] for x in e]))
-            a.append(hashlib.sha256("".join([x[1] for x in e])[:-1].encode()).hexdigest())
-            d.append(hashlib.sha256("".join([x[2] for x in e])[:-1].encode()).hexdigest())
-        return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
-            "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(d, pa.string())})
+    """Token count and digests of ids and decoded text, without shipping either out of the task."""
+    def sha(strings):
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in strings], pa.string())
+
+    def make(names, ids, offsets):
+        digits = pa.array([str(i) for i in range(len(names))], pa.large_string())
+        return {"n_tokens": pa.array(np.diff(offsets), pa.int64()),
+                "ids_sha256": sha(_joined(digits, ids, offsets)), "decoded_sha256": sha(_joined(names, ids, offsets))}
     tables = broadcast_once(docs, load_tables, path)
-    return text_of(docs, id_col, text_col).mapInArrow(_mapper(tables, entry, make), DIGESTS)
+    return text_of(docs, id_col, text_col).mapInArrow(_mapper(tables, make), DIGESTS)

@@ -79,17 +79,18 @@ def token_pieces(docs: DataFrame, path: str, length: int = SEQUENCE_TOKENS, end_
         gc.disable()  # see bpe: many live objects, no cycles
         enc = Encoder(tables.value)
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            out = []
-            for d, e in zip(ids, enc.entries([t or "" for t in b.column("text").to_pylist()])):
-                raw = b"".join(e) + end
-                n = len(raw) // 4
-                for i, at in enumerate(range(0, n, length)):
-                    out.append((d, i, at, min(length, n - at), zlib.crc32(raw[4 * at:4 * (at + length)])))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, offsets in enc.groups(b.column("text")):
+                docs_of = b.column("doc_id").slice(first, len(offsets) - 1).to_pylist()
+                raw, out = memoryview(ids.tobytes()), []
+                for d, lo, hi in zip(docs_of, offsets[:-1].tolist(), offsets[1:].tolist()):
+                    n = hi - lo + 1
+                    for i, at in enumerate(range(0, n, length)):
+                        size = min(length, n - at)
+                        crc = zlib.crc32(raw[4 * (lo + at):4 * min(lo + at + size, hi)])
+                        out.append((d, i, at, size, zlib.crc32(end, crc) if at + size == n else crc))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(zip(*out))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return text_of(docs, id_col, text_col).mapInArrow(run, PIECES)
 
