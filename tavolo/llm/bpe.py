@@ -292,7 +292,8 @@ def decode(tokens: list[str], ids) -> str:
 
 def _joined(names: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """For each text, the names of its ids joined by one space (``decode`` of a group of texts)."""
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), names.take(pa.array(ids))), " ")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(ids))),
+                          pa.scalar(" ", pa.large_string()))
 
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
