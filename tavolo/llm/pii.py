@@ -11,8 +11,12 @@ what the label looks at is no feature.  Candidates of all documents are
 aggregated to one row per feature vector (a bounded number of rows, the
 product of the bins), so boosting on the driver uses all data at a fixed
 size.  The threshold of a kind is the least score from which the weak
-label holds in ``PRECISION`` of the candidates, given enough of them.
-Candidates above it that overlap no base span are added; base spans stay.
+label holds in ``PRECISION`` of the candidates, given enough of them.  It
+judges candidates by their shape alone.  A secret with a credential word
+right before it is a bin of its own, in which the label always holds: it
+is added whatever its score, however many candidates of the same shape
+stand elsewhere without such a word.
+Candidates so accepted that overlap no base span are added; base spans stay.
 
 Everything else is column expressions on the document's row: positions
 are prefix sums over the pieces between matches, taken in blocks, and no
@@ -129,8 +133,11 @@ FEATURES = {
     "length": "case when length(m.found) < 20 then 0 when length(m.found) < 32 then 1 when length(m.found) < 41 then 2 "
               "when length(m.found) < 65 then 3 else 4 end",
 }
+CREDENTIAL_BEFORE = "m.before rlike '" + CREDENTIAL.replace("\\", "\\\\").replace("'", "\\'") + "'"
 LABEL = {"number": "int(m.over)",
-         "secret": "int(m.before rlike '" + CREDENTIAL.replace("\\", "\\\\").replace("'", "\\'") + "')"}
+         "secret": "int(" + CREDENTIAL_BEFORE + ")"}
+# the context in which a candidate of a kind needs no threshold
+ALWAYS = {"secret": "(" + CREDENTIAL_BEFORE + ")"}
 
 
 def counts_by_features(found: DataFrame, kind: str) -> list[tuple[tuple[int, ...], int, int]]:
@@ -233,7 +240,7 @@ def detect(docs: DataFrame, models: dict | None = None) -> DataFrame:
         # candidates alone are kept: documents without any are not
         models = train(kept(found.where("size(more) > 0").select("more")))
     add = "filter(more, m -> not m.over and case m.kind " + " ".join(
-        f"when '{k}' then {_score_sql(k, models[k])}" for k in ADDED) + " end)"
+        f"when '{k}' then {ALWAYS.get(k, 'false')} or {_score_sql(k, models[k])}" for k in ADDED) + " end)"
     order = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     lean = f"m -> struct(m.start as start, array_position({order}, m.kind) as rank, m.stop as stop, m.kind as kind)"
     return (found.withColumn("added", F.expr(add))

@@ -162,6 +162,20 @@ def test_secrets_are_added_and_distractors_left(spark):
     assert all("secret" not in got[i] for i in range(60, 120))
 
 
+def test_secrets_stay_found_beside_quoted_hashes(spark):
+    rng = random.Random(8)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1" for _ in range(90)]
+    # a third of the rows holds quoted hashes of the shape of the secrets, more than the secrets themselves
+    some = [f'here token = "{h}" end' for h in hexes[:20]] + [f'the sum is "{h}" end' for h in hexes[20:60]]
+    some += [f"plain text {i} of no interest" for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.span_digests(documents(spark, some)).collect()}
+    assert all(got[i] == "secret:14:54" for i in range(20))
+    assert all(got[i] == "" for i in range(20, 120))
+    clean = {r.doc_id: r.text for r in pii.redact(documents(spark, some)).collect()}
+    assert all(clean[i] == 'here token = "[SECRET]" end' for i in range(20))
+    assert all(clean[i] == some[i] for i in range(20, 120))
+
+
 def test_topk_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 9)) * rng.uniform(0.2, 3, size=(400, 1))
