@@ -11,7 +11,9 @@ what the label looks at is no feature.  Candidates of all documents are
 aggregated to one row per feature vector (a bounded number of rows, the
 product of the bins), so boosting on the driver uses all data at a fixed
 size.  The threshold of a kind is the least score from which the weak
-label holds in ``PRECISION`` of the candidates, given enough of them.  It
+label holds in ``PRECISION`` of the candidates, however few they are (a
+prior of any weight with mean ``PRECISION`` leaves this comparison as it
+is); an unlabelled candidate among them takes 19 labelled ones.  It
 judges candidates by their shape alone.  A secret with a credential word
 right before it is a bin of its own, in which the label always holds: it
 is added whatever its score, however many candidates of the same shape
@@ -53,7 +55,6 @@ CREDENTIAL = r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|passwd|password|pw
 CONTACT = r"(?i)\b(?:tel|phone|call|mobile|fax|card|visa|account|iban|contact|mail)\b"
 BLOCK = 256             # pieces whose lengths are summed together
 PRECISION = 0.95
-SUPPORT = 20            # candidates above a threshold, at least
 ROUNDS, RATE = 12, 0.5
 CONTEXT = 24            # characters looked at on either side
 BINS = {"number": {"digits": 6, "spaces": 3, "signs": 3, "plus": 2, "before": 4, "after": 4, "contact": 2},
@@ -199,9 +200,11 @@ def boost(rows, bins) -> tuple[list, float]:
         trees.append(tree)
         score = [s + RATE * _apply(tree, r[0]) for s, r in zip(score, rows)]
     best, n, y = math.inf, 0, 0
-    for s, r in sorted(zip(score, rows), key=lambda t: -t[0]):
+    ranked = sorted(zip(score, rows), key=lambda t: -t[0])
+    for (s, r), after in zip(ranked, [t[0] for t in ranked[1:]] + [-math.inf]):
         n, y = n + r[1], y + r[2]
-        if n >= SUPPORT and y >= PRECISION * n:
+        # equal scores pass a threshold together
+        if after < s - 2e-9 and y >= PRECISION * n:
             best = s
     return trees, best - 1e-9 if best < math.inf else best
 

@@ -176,6 +176,19 @@ def test_secrets_stay_found_beside_quoted_hashes(spark):
     assert all(clean[i] == some[i] for i in range(20, 120))
 
 
+def test_a_text_has_the_same_secrets_in_tables_of_any_size(spark):
+    rng = random.Random(9)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1" for _ in range(60)]
+    some = [f'here token = "{h}" end' for h in hexes]
+    for n in (1, 3, 60):
+        got = {r.doc_id: r.spans for r in pii.span_digests(documents(spark, some[:n])).collect()}
+        assert got == {i: "secret:14:54" for i in range(n)}
+    for n in (1, 3, 60):  # the threshold asks for no number of candidates either
+        assert pii.boost([((1, 1), n, n)], [2, 2])[1] < float("inf")
+    assert pii.boost([((1, 1), 3, 2)], [2, 2])[1] == float("inf")
+    assert pii.boost([((0, 0), 3, 3), ((0, 1), 1, 0)], [1, 1])[1] == float("inf")  # equal scores pass together
+
+
 def test_topk_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 9)) * rng.uniform(0.2, 3, size=(400, 1))
