@@ -48,8 +48,9 @@ PATTERN = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # the generators
-    "number": r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){8,23}(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,40}[0-9])[A-Za-z0-9_+/=-]{16,256}(?![A-Za-z0-9_+/=-])",
+    # digits with signs between them go in pieces of at most 24, digits alone in one
+    "number": r"(?<![0-9A-Za-z])\+?\(?[0-9](?:(?:[\x20().-]{0,2}[0-9]){8,23}|[0-9]{24,}+)(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
 }
 CREDENTIAL = r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|passwd|password|pwd|bearer)[\x20\"'*#%&$!]{0,6}[:=][\x20\"']{0,3}$"
 CONTACT = r"(?i)\b(?:tel|phone|call|mobile|fax|card|visa|account|iban|contact|mail)\b"

@@ -189,6 +189,21 @@ def test_a_text_has_the_same_secrets_in_tables_of_any_size(spark):
     assert pii.boost([((0, 0), 3, 3), ((0, 1), 1, 0)], [1, 1])[1] == float("inf")  # equal scores pass together
 
 
+def test_long_runs_are_candidates_too(spark):
+    rng = random.Random(10)
+    runs = ["".join(rng.choice("abcdefXYZ_-") for _ in range(a)) + "7" + "".join(rng.choice("abcXYZ019") for _ in range(b))
+            for a, b in ((0, 255), (0, 256), (0, 341), (41, 20), (300, 2000), (5, 200000))]
+    got = {r.doc_id: r.spans for r in pii.span_digests(documents(spark, [f'a token = "{s}" end' for s in runs])).collect()}
+    assert got == {i: f"secret:11:{11 + len(s)}" for i, s in enumerate(runs)}
+    digits = {"1" * 24: 1, "1" * 25: 1, "1" * 90: 1, "12 " + "3" * 30: 1, "1" * 25 + "x": 0, "1-" * 20000 + "1": None,
+              ("1" * 25 + "-") * 8000 + "a": None}
+    d = documents(spark, list(digits)).withColumn("text", F.coalesce("text", F.lit("")))
+    many = {r.doc_id: r.n for r in pii.find_spans(d.select("doc_id", "text")).select(
+        "doc_id", F.expr("size(filter(more, m -> m.kind = 'number'))").alias("n")).collect()}
+    assert all(want is None or many[i] == want for i, want in enumerate(digits.values()))
+    assert many[6] == 8000
+
+
 def test_topk_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 9)) * rng.uniform(0.2, 3, size=(400, 1))
