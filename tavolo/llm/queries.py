@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tavolo.llm import audit, bpe, lines, minhash, packing, pii, quality, rules, suffix, topk, urls
+from tavolo.llm import audit, bpe, codes, lines, minhash, packing, pii, quality, rules, suffix, topk, urls, wrapper
 from tavolo.sources import Tables
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -87,12 +87,22 @@ def op10(spark, sf_dir):
     return urls.judge_urls(Tables(spark, sf_dir).pages)
 
 
+@query("op11_vector_codes", codes.oracle())
+def op11(spark, sf_dir):
+    return codes.compress(Tables(spark, sf_dir).embeddings)
+
+
 @query("op12_filter_audit", audit.oracle())
 def op12(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return audit.audit_filters(t.documents, t.labels)
 
 
+@query("op13_html_extraction", wrapper.oracle())
+def op13(spark, sf_dir):
+    return wrapper.main_text(Tables(spark, sf_dir).pages)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
