@@ -248,21 +248,34 @@ def q_backfill_order_type(spark, sf_dir):
 # ---------------------------------------------------------------- order folds
 from tavolo.operators import orders as folds  # noqa: E402
 
-_FOLD = """
-with e as (
-  select *, case when kind = 'create' then 'open' when kind = 'status' then status_arg when kind = 'void' then 'void' end as effect
-  from s_order_events),
+_EVENTS = """
+with lists as (
+  select order_id, seq, count(*) as n, sum(price * qty) as total,
+         bool_or(name is null or price is null or qty is null) as faulty,
+         min(case when name is null then 'name_snapshot' when price is null then 'price_snapshot'
+                  when qty is null then 'qty' end) filter (where idx = bad_idx) as fault
+  from (select *, min(case when name is null or price is null or qty is null then idx end)
+                  over (partition by order_id, seq) as bad_idx from s_event_lines) x
+  group by order_id, seq),
+e as (
+  select v.*, coalesce(l.n, 0) as n, l.total, coalesce(l.faulty, false) as faulty, l.fault,
+         kind = 'create' and not coalesce(l.faulty, false) as created,
+         case when kind = 'create' and not coalesce(l.faulty, false) then 'open' when kind = 'status' then status_arg
+              when kind = 'void' then 'void' end as effect
+  from s_order_events v left join lists l on l.order_id = v.order_id and l.seq = v.seq),
 a as (
-  select *, last_value(effect ignore nulls) over (partition by order_id order by seq
-            rows between unbounded preceding and 1 preceding) as prior from e),
+  select *, case when bool_or(created) over w then last_value(effect ignore nulls) over w end as prior
+  from e window w as (partition by order_id order by seq rows between unbounded preceding and 1 preceding)),
 b as (
-  select *, case when kind = 'create' then true
-                 when kind in ('add', 'replace') then coalesce(prior in ('open', 'preparing', 'ready'), false)
-                 else prior is not null end as valid from a),
+  select *, case when kind = 'create' then not faulty
+                 when kind in ('add', 'replace') then not faulty and coalesce(prior in ('open', 'preparing', 'ready'), false)
+                 else prior is not null end as valid from a)"""
+
+_FOLD = _EVENTS + """,
 c as (
   select *, case when kind = 'add' and valid then 'open' when kind in ('add', 'replace') then null
                  when valid then effect end as status_after,
-         max(case when kind = 'create' or (kind = 'replace' and valid) then seq end) over (partition by order_id) as base_seq
+         max(case when kind in ('create', 'replace') and valid then seq end) over (partition by order_id) as base_seq
   from b),
 d as (select *, kind in ('create', 'replace', 'add') and valid and seq >= base_seq as is_line from c),
 f as (
@@ -270,19 +283,20 @@ f as (
     arg_max(status_after, seq) filter (where status_after is not null) as status,
     arg_max(payment, seq) filter (where valid and payment is not null) as payment_method,
     arg_max(ts, seq) filter (where valid and (kind = 'void' or (kind = 'status' and status_arg = 'closed'))) as closed_at,
-    min(ts) filter (where kind = 'create') as created_at,
-    cast(sum(price * qty) filter (where is_line) as decimal(18,4)) as sub0,
-    count(*) filter (where is_line) as n_lines,
-    arg_max(kind, seq) filter (where seq = base_seq) as base_kind,
+    min(ts) filter (where kind = 'create' and valid) as created_at,
+    max(restaurant_id) filter (where kind = 'create' and valid) as restaurant_id,
+    cast(sum(total) filter (where is_line) as decimal(18,4)) as sub0,
+    cast(coalesce(sum(n) filter (where is_line), 0) as bigint) as n_lines,
+    arg_max(kind, seq) filter (where is_line) as last_edit,
     max(base_seq) as base_seq,
     count(*) filter (where kind = 'add' and valid) as n_adds,
     count(*) filter (where kind = 'replace' and valid) as n_replaces,
     max(seq) as last_seq
   from d group by order_id),
-g as (select *, case when base_kind = 'replace' then coalesce(sub0, 0) else sub0 end as subtotal from f
-      where created_at is not null),
+g as (select f.*, r.tax_rate, case when last_edit = 'replace' then coalesce(sub0, 0) else sub0 end as subtotal
+      from f left join s_restaurants r on r.restaurant_id = f.restaurant_id where created_at is not null),
 fold as (
-  select *, cast(round(cast(subtotal as decimal(18,4)) * cast(0.05 as decimal(9,6)), 0) as decimal(18,4)) as tax
+  select *, cast(round(cast(subtotal as decimal(18,4)) * tax_rate, 0) as decimal(18,4)) as tax
   from g)
 """
 
@@ -295,12 +309,17 @@ def _money_out(df, *names):
     return df.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def _fold(operator, spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return operator(s.order_events, restaurants=s.restaurants)
+
+
 @query("order_state", _fold_sql("""
 select order_id, status, payment_method, created_at, closed_at, cast(subtotal as double) as subtotal,
        cast(tax as double) as tax, cast(cast(subtotal + tax as decimal(18,4)) as double) as total, n_lines, last_seq
 from fold"""))
 def q_order_state(spark, sf_dir):
-    return _money_out(folds.order_state(shop(spark, sf_dir).order_events), "subtotal", "tax", "total")
+    return _money_out(_fold(folds.order_state, spark, sf_dir), "subtotal", "tax", "total")
 
 
 @query("order_status_fold", _fold_sql("select order_id, status, payment_method, closed_at from fold"))
@@ -313,7 +332,7 @@ select order_id, closed_at, cast(subtotal as double) as subtotal,
        cast(cast(subtotal + tax as decimal(18,4)) as double) as total, n_lines
 from fold where status = 'void'"""))
 def q_void_fold(spark, sf_dir):
-    return _money_out(folds.void_fold(shop(spark, sf_dir).order_events), "subtotal", "total")
+    return _money_out(_fold(folds.void_fold, spark, sf_dir), "subtotal", "total")
 
 
 @query("addon_fold", _fold_sql("""
@@ -321,7 +340,7 @@ select order_id, n_adds, status, n_lines, cast(subtotal as double) as subtotal,
        cast(cast(subtotal + tax as decimal(18,4)) as double) as total
 from fold where n_adds > 0"""))
 def q_addon_fold(spark, sf_dir):
-    return _money_out(folds.addon_fold(shop(spark, sf_dir).order_events), "subtotal", "tax", "total")
+    return _money_out(_fold(folds.addon_fold, spark, sf_dir), "subtotal", "tax", "total")
 
 
 @query("replace_items_fold", _fold_sql("""
@@ -329,19 +348,33 @@ select order_id, n_replaces, base_seq, n_lines, cast(subtotal as double) as subt
        cast(cast(subtotal + tax as decimal(18,4)) as double) as total
 from fold where n_replaces > 0"""))
 def q_replace_items_fold(spark, sf_dir):
-    return _money_out(folds.replace_items_fold(shop(spark, sf_dir).order_events), "subtotal", "tax", "total")
+    return _money_out(_fold(folds.replace_items_fold, spark, sf_dir), "subtotal", "tax", "total")
 
 
-@query("rejected_order_events", """
-with e as (
-  select *, case when kind = 'create' then 'open' when kind = 'status' then status_arg when kind = 'void' then 'void' end as effect
-  from s_order_events),
-a as (
-  select *, last_value(effect ignore nulls) over (partition by order_id order by seq
-            rows between unbounded preceding and 1 preceding) as prior from e)
+@query("current_order_lines", _fold_sql("""
+select d.order_id, d.seq as line_seq, l.idx as line_idx, l.menu_item_id, l.name, cast(l.price as double) as price, l.qty
+from d join s_event_lines l on l.order_id = d.order_id and l.seq = d.seq where d.is_line"""))
+def q_current_order_lines(spark, sf_dir):
+    return _money_out(folds.current_lines(shop(spark, sf_dir).order_events), "price")
+
+
+@query("current_order_items", _fold_sql("""
+select d.order_id, cast(count(*) as int) as n_items,
+       string_agg(cast(l.qty as varchar) || 'x ' || l.name, ', ' order by d.seq, l.idx) as items
+from d join s_event_lines l on l.order_id = d.order_id and l.seq = d.seq where d.is_line group by d.order_id"""))
+def q_current_order_items(spark, sf_dir):
+    df = folds.current_items(shop(spark, sf_dir).order_events).where(F.size("items") > 0)
+    text = F.array_join(F.transform("items", lambda x: F.concat(x["qty"].cast("string"), F.lit("x "), x["name"])), ", ")
+    return df.select("order_id", F.size("items").alias("n_items"), text.alias("items"))
+
+
+@query("rejected_order_events", _EVENTS + """
 select order_id, seq, kind, prior as status_before,
-  case when kind = 'add' then 'This order is no longer open for additions' else 'This order is no longer open for editing' end as reason
-from a where kind in ('add', 'replace') and not coalesce(prior in ('open', 'preparing', 'ready'), false)""")
+  case when kind <> 'create' and not coalesce(prior in ('open', 'preparing', 'ready'), false)
+       then case when kind = 'add' then 'This order is no longer open for additions'
+                 else 'This order is no longer open for editing' end
+       else 'null value in column "' || fault || '" violates not-null constraint' end as reason
+from b where kind in ('create', 'add', 'replace') and not valid""")
 def q_rejected_order_events(spark, sf_dir):
     return folds.rejected_order_events(shop(spark, sf_dir).order_events)
 

@@ -11,13 +11,14 @@ import re
 
 # The fixture view definitions, in creation order.
 FIXTURE_SQL = {
-    "s_restaurants": "select n_nationkey as restaurant_id, n_name as name, lower(n_name) as slug, 'PKR' as currency, cast(0.05 as decimal(9,6)) as tax_rate, case when n_nationkey % 3 = 0 then null else concat('+92 300-', cast(1000000 + n_nationkey as string)) end as whatsapp_number from nation",
+    "s_restaurants": "select n_nationkey as restaurant_id, n_name as name, lower(n_name) as slug, 'PKR' as currency, cast(case n_nationkey % 4 when 1 then 0.16 when 2 then 0 when 3 then 0.0825 else 0.05 end as decimal(9,6)) as tax_rate, case when n_nationkey % 3 = 0 then null else concat('+92 300-', cast(1000000 + n_nationkey as string)) end as whatsapp_number from nation",
     "s_tables": "select n_nationkey * 8 + k as table_id, n_nationkey as restaurant_id, concat('Table ', cast(k + 1 as string)) as label, concat('n', cast(n_nationkey as string), '-t', cast(k + 1 as string)) as qr_token from nation cross join (values (0),(1),(2),(3),(4),(5),(6),(7)) v(k)",
     "s_categories": "select distinct p_partkey % 25 as restaurant_id, p_type as name, length(p_type) as sort_order from part",
     "s_menu_items": "select p_partkey as menu_item_id, p_partkey % 25 as restaurant_id, case when p_size = 50 then null else p_type end as category, p_name as name, cast(p_retailprice as decimal(18,4)) as price, p_size % 5 <> 0 as is_available, p_size as sort_order from part",
     "s_orders": "select o_orderkey as order_id, c_nationkey as restaurant_id, case when o_orderkey % 9 = 0 then null else c_nationkey * 8 + o_orderkey % 8 end as table_id, case when o_orderpriority in ('1-URGENT','2-HIGH') then 'qr' when o_orderpriority = '3-MEDIUM' then 'whatsapp' else 'pos' end as source, case when o_orderkey % 50 = 0 then 'void' when o_orderstatus = 'F' then 'closed' when o_orderstatus = 'O' then 'open' when o_orderkey % 2 = 0 then 'ready' else 'preparing' end as status, case when o_orderkey % 101 = 0 then null else cast(o_totalprice as decimal(18,4)) end as total, o_custkey as customer_id, o_orderkey % 10 as staff_id, case when o_orderkey % 13 = 0 then 'delivery' end as given_order_type, o_orderdate as created_at from orders join customer on c_custkey = o_custkey",
     "s_order_items": "select l_orderkey as order_id, l_linenumber as line_no, l_partkey as menu_item_id, p_name as name_snapshot, cast(p_retailprice as decimal(18,4)) as price_snapshot, cast(l_quantity as int) as qty from lineitem join part on p_partkey = l_partkey",
-    "s_order_events": "select cast(floor(event_id / 10) as bigint) as order_id, cast(event_id % 10 as int) as seq, case when event_id % 10 = 0 then 'create' when event_type in ('signup','purchase') then 'status' when event_type = 'view' then 'add' when event_type = 'click' then 'replace' else 'void' end as kind, case when event_id % 10 = 0 then null when event_type = 'signup' then 'preparing' when event_type = 'purchase' then 'closed' end as status_arg, case when event_id % 10 <> 0 and event_type = 'purchase' and event_id % 3 <> 0 then case when event_id % 3 = 1 then 'cash' else 'card' end end as payment, cast(1 + event_id % 5 as int) as qty, cast(value as decimal(18,4)) as price, ts from events",
+    "s_order_events": "select cast(floor(event_id / 10) as bigint) as order_id, cast(event_id % 10 as int) as seq, case when event_id % 10 = 0 then 'create' when event_type in ('signup','purchase') then 'status' when event_type = 'view' then 'add' when event_type = 'click' then 'replace' else 'void' end as kind, case when event_id % 10 = 0 then cast(floor(event_id / 10) % 25 as int) end as restaurant_id, case when event_id % 10 = 0 then null when event_type = 'signup' then 'preparing' when event_type = 'purchase' then 'closed' end as status_arg, case when event_id % 10 <> 0 and event_type = 'purchase' and event_id % 3 <> 0 then case when event_id % 3 = 1 then 'cash' else 'card' end end as payment, event_id, value, ts from events",
+    "s_event_lines": "select order_id, seq, cast(k as int) as idx, (event_id * 3 + k * 11) % 400 as menu_item_id, case when not (event_id % 67 = 7 and k = 1) then concat('Dish ', cast((event_id * 3 + k * 11) % 400 % 64 as string)) end as name, case when not (event_id % 61 = 5 and k = 0) then cast(cast(value as decimal(18,4)) + k as decimal(18,4)) end as price, cast(1 + (event_id + k) % 5 as int) as qty from s_order_events, range(0, 3) r(k) where kind in ('create', 'add', 'replace') and k < (event_id * 7 + cast(floor(event_id / 10) as bigint)) % 4",
     "s_calls": "select event_id as call_id, cast(user_id % 25 as int) as restaurant_id, (user_id % 25) * 8 + user_id % 8 as table_id, ts as created_at, event_id % 8 <> 0 as acknowledged, case when event_id % 8 <> 0 then user_id % 10 end as acknowledged_by from events where event_type in ('view','click','error')",
     "s_ring_log": "select event_id as seq, (user_id % 25) * 8 + user_id % 8 as table_id, case when event_type = 'purchase' then 'ack' else 'ring' end as kind, user_id % 10 as staff_id, ts from events where event_type in ('view','click','purchase')",
     "s_feedback": "select l.doc_id as order_id, cast(1 + 3 * l.quality + (1 - l.toxic) as int) as rating, d.source as comment from labels l join documents d on d.doc_id = l.doc_id",

@@ -32,7 +32,10 @@ class Shop:
             F.col("n_name").alias("name"),
             F.lower("n_name").alias("slug"),
             F.lit("PKR").alias("currency"),
-            F.lit(Decimal("0.05")).cast(RATE).alias("tax_rate"),
+            F.when(_mod("n_nationkey", 4) == 1, F.lit(Decimal("0.16")).cast(RATE))
+             .when(_mod("n_nationkey", 4) == 2, F.lit(Decimal("0")).cast(RATE))
+             .when(_mod("n_nationkey", 4) == 3, F.lit(Decimal("0.0825")).cast(RATE))
+             .otherwise(F.lit(Decimal("0.05")).cast(RATE)).alias("tax_rate"),
             F.when(_mod("n_nationkey", 3) == 0, F.lit(None).cast("string"))
              .otherwise(F.concat(F.lit("+92 300-"),
                                  (F.lit(1000000) + F.col("n_nationkey")).cast("string")))
@@ -128,17 +131,30 @@ class Shop:
         e = self.t.events
         eid, et = F.col("event_id"), F.col("event_type")
         first = eid % 10 == 0
+        kind = (F.when(first, "create").when(et.isin("signup", "purchase"), "status")
+                .when(et == "view", "add").when(et == "click", "replace").otherwise("void"))
+        # 0 to 3 lines an event; a few lines miss their name or price
+        n = F.when(kind.isin("create", "add", "replace"),
+                   ((eid * 7 + F.floor(eid / 10)) % 4).cast("int")).otherwise(F.lit(0))
+
+        def line(k):
+            dish = (eid * 3 + k * 11) % 400
+            return F.struct(
+                dish.cast("bigint").alias("menu_item_id"),
+                F.when(~((eid % 67 == 7) & (k == 1)), F.concat(F.lit("Dish "), (dish % 64).cast("string"))).alias("name"),
+                F.when(~((eid % 61 == 5) & (k == 0)), (F.col("value").cast(MONEY) + k).cast(MONEY)).alias("price"),
+                (F.lit(1) + (eid + k) % 5).cast("int").alias("qty"))
+        lines = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), line)
         return e.select(
             F.floor(eid / 10).cast("bigint").alias("order_id"),
             (eid % 10).cast("int").alias("seq"),
-            F.when(first, "create").when(et.isin("signup", "purchase"), "status")
-             .when(et == "view", "add").when(et == "click", "replace").otherwise("void").alias("kind"),
+            kind.alias("kind"),
+            F.when(first, (F.floor(eid / 10) % 25).cast("int")).alias("restaurant_id"),
             F.when(first, F.lit(None).cast("string")).when(et == "signup", "preparing")
              .when(et == "purchase", "closed").alias("status_arg"),
             F.when(~first & (et == "purchase") & (eid % 3 != 0),
                    F.when(eid % 3 == 1, "cash").otherwise("card")).alias("payment"),
-            (F.lit(1) + eid % 5).cast("int").alias("qty"),
-            F.col("value").cast(MONEY).alias("price"),
+            F.slice(lines, F.lit(1), n).alias("items"),
             F.col("ts"),
         )
 

@@ -99,3 +99,47 @@ def replay_rings(events):
             open_rings += 1
             out[seq] = open_rings
     return out
+
+
+def replay_order_lists(events, rates):
+    """Orders from events with item lists: dicts with order_id, seq, kind, restaurant_id, status_arg, payment, items, ts.
+
+    Items are (menu_item_id, name, price, qty); ``rates`` maps tenants to
+    tax rates.  Returns ({order: figures}, {order: current lines}, rejected events).
+    """
+    orders, rejected = {}, []
+    for e in sorted(events, key=lambda e: (e["order_id"], e["seq"])):
+        oid, kind, o = e["order_id"], e["kind"], orders.get(e["order_id"])
+        lines = [(e["seq"], i, *x) for i, x in enumerate(e["items"] or [])] if kind in ("create", "add", "replace") else []
+        faulty = any(x[3] is None or x[4] is None or x[5] is None for x in lines)
+        if kind in ("add", "replace") and (o is None or o["status"] not in ACTIVE):
+            rejected.append((oid, e["seq"], "closed"))
+            continue
+        if faulty:
+            rejected.append((oid, e["seq"], "null"))
+            continue
+        if kind == "create":
+            first = o["created_at"] if o else e["ts"]
+            orders[oid] = o = {"status": "open", "payment": o and o["payment"], "closed_at": o and o["closed_at"],
+                               "created_at": min(first, e["ts"]), "lines": lines, "zero": False,
+                               "tenant": e["restaurant_id"]}
+        elif o is None:
+            continue
+        elif kind == "status":
+            o["status"] = e["status_arg"]
+            o["payment"] = e["payment"] if e["payment"] is not None else o["payment"]
+            o["closed_at"] = e["ts"] if e["status_arg"] == "closed" else o["closed_at"]
+        elif kind == "void":
+            o["status"], o["closed_at"] = "void", e["ts"]
+        elif kind == "add":
+            o["lines"], o["status"], o["zero"] = o["lines"] + lines, "open", False
+        else:
+            o["lines"], o["zero"] = lines, True
+    out = {}
+    for oid, o in orders.items():
+        sub = sum((x[4] * x[5] for x in o["lines"]), Decimal(0)) if o["lines"] or o["zero"] else None
+        rate = rates.get(o["tenant"])
+        tax = None if sub is None or rate is None else (sub * rate).quantize(Decimal("1"), rounding=ROUND_HALF_UP)
+        out[oid] = (o["status"], o["payment"], o["closed_at"], sub, tax, None if tax is None else sub + tax,
+                    len(o["lines"]))
+    return out, {oid: o["lines"] for oid, o in orders.items()}, sorted(rejected)
