@@ -17,18 +17,26 @@ from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
 
 
 
-def with_open_counts(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+def with_open_counts(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK,
+                     carried: DataFrame | None = None) -> DataFrame:
     """Per event: unacknowledged rings of the table right after it.
 
     open = R - R_at_last_ack, with R the running count of rings: a prefix
     sum and a prefix last-non-null, both split into chunks of seq so a
-    busy table is spread over tasks.
+    busy table is spread over tasks.  ``carried (table_id, open_count)``
+    are rings left open by earlier events; they count until the first ack.
     """
     ring = (F.col("kind") == "ring").cast("long")
     e = prefix_by_key(ring_log, ["table_id"], "seq",
                       [[Prefix("r", "sum", ring)],
                        [Prefix("r_ack", "last", F.when(F.col("kind") == "ack", F.col("r")))]], chunk_size)
-    return e.withColumn("open_count", F.col("r") - F.coalesce("r_ack", F.lit(0))).drop("r", "r_ack")
+    if carried is None:
+        return e.withColumn("open_count", F.col("r") - F.coalesce("r_ack", F.lit(0))).drop("r", "r_ack")
+    before = carried.select("table_id", F.col("open_count").alias("carried"))
+    return (e.join(before, "table_id", "left")
+            .withColumn("open_count", F.coalesce(F.col("r") - F.col("r_ack"),
+                                                 F.col("r") + F.coalesce("carried", F.lit(0))))
+            .drop("r", "r_ack", "carried"))
 
 
 def ring_counts(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:

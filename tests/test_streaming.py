@@ -90,24 +90,27 @@ def test_stream_sales_equals_batch(spark, small_dir, tmp):
     assert _rows(got, ["restaurant_id"]) == _rows(want, ["restaurant_id"])
 
 
-def test_stream_debounce_and_call_alerts(spark, small_dir, tmp):
+def test_stream_debounce_equals_batch(spark, small_dir, tmp):
     s = shop(spark, small_dir)
     store = EpochStore(spark, os.path.join(tmp, "store"))
-    src = _stream_of(spark, s.ring_log, "seq", tmp)
-    jobs.start_to_store(jobs.ring_debounce_stream(src), store, "debounce",
-                        os.path.join(tmp, "ckpt1")).awaitTermination()
+    jobs.stream_ring_debounce(_stream_of(spark, s.ring_log, "seq", tmp), store,
+                              os.path.join(tmp, "ckpt1")).awaitTermination()
     got = store.read("debounce").select("seq", "table_id", "ts", "accepted")
     assert _rows(got, ["seq"]) == _rows(calls.ring_debounce(s.ring_log), ["seq"])
+    assert jobs.late_events(store, "debounce").count() == 0
 
-    src2 = _stream_of(spark, s.ring_log, "seq", os.path.join(tmp, "b"))
-    jobs.start_to_store(jobs.call_alerts(src2), store, "alerts", os.path.join(tmp, "ckpt2")).awaitTermination()
-    alerts = store.read("alerts")
-    # the last alert of a table never exceeds the table's final count when nothing was acked later
-    final = calls.with_open_counts(s.ring_log).groupBy("table_id").agg(
-        F.max_by("open_count", "seq").alias("final"))
-    j = alerts.groupBy("table_id").agg(F.max_by("open_count", "epoch").alias("last_alert")).join(final, "table_id")
-    assert j.where(F.col("last_alert") < 1).count() == 0
-    assert alerts.count() > 0
+
+def test_stream_call_alerts_equal_the_batch_grid(spark, small_dir, tmp):
+    """Every poll that the watermark has passed alerts as in the batch operator."""
+    s = shop(spark, small_dir)
+    store = EpochStore(spark, os.path.join(tmp, "store"))
+    jobs.stream_calls(_stream_of(spark, s.ring_log, "seq", tmp), store, os.path.join(tmp, "ckpt2")).awaitTermination()
+    alerts = store.read("alerts").drop("epoch")
+    mark = s.ring_log.agg(F.max("ts")).first()[0]
+    want = (calls.newly_ringing(s.ring_log).where(F.col("poll_at") <= F.lit(mark))
+            .withColumn("urgent", F.col("call_count") > 5).select(*alerts.columns))
+    assert want.count() > 100
+    assert _rows(alerts, ["table_id", "poll_at"]) == _rows(want, ["table_id", "poll_at"])
 
 
 def test_stream_availability_prunes_carts(spark, small_dir, tmp):
