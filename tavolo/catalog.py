@@ -164,46 +164,112 @@ def q_sales_by_period(spark, sf_dir):
         "total_sales", F.col("total_sales").cast("double"))
 
 
+@query("period_top_items", """
+with p(days) as (values (1), (7), (30))
+select restaurant_id, days, rank, name, qty from (
+  select *, cast(row_number() over (partition by restaurant_id, days order by qty desc, name) as int) as rank from (
+    select o.restaurant_id, p.days, i.name_snapshot as name, cast(sum(i.qty) as bigint) as qty
+    from s_orders o join s_order_items i on i.order_id = o.order_id cross join p
+    where o.status = 'closed' and o.created_at >= timestamp '2001-08-02' - p.days * interval 1 day
+    group by o.restaurant_id, p.days, i.name_snapshot) g) r where rank <= 5""")
+def q_period_top_items(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return sales.period_panels(s.orders, s.order_items, s.restaurants, AS_OF).top_items
+
+
+@query("period_recent_orders", """
+with p(days) as (values (1), (7), (30)),
+ranked as (
+  select * from (
+    select o.*, p.days, cast(row_number() over (partition by restaurant_id, days order by created_at desc, order_id desc) as int) as rank
+    from s_orders o cross join p
+    where status = 'closed' and created_at >= timestamp '2001-08-02' - p.days * interval 1 day) x where rank <= 8),
+lines as (
+  select order_id, string_agg(cast(qty as varchar) || 'x ' || name_snapshot, ', '
+           order by line_no, menu_item_id, name_snapshot, price_snapshot, qty) as items
+  from s_order_items group by order_id)
+select r.restaurant_id, r.days, r.rank, r.order_id, r.source, cast(r.total as double) as total, r.created_at,
+       t.label as table_label, l.items, f.rating, f.comment,
+       case when f.rating > 0 then repeat('★', f.rating) || repeat('☆', greatest(5 - f.rating, 0)) end as stars
+from ranked r left join s_tables t on t.table_id = r.table_id
+left join lines l on l.order_id = r.order_id left join s_feedback f on f.order_id = r.order_id""")
+def q_period_recent_orders(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    df = sales.period_panels(s.orders, s.order_items, s.restaurants, AS_OF, s.tables, s.feedback).recent_orders
+    return df.withColumn("total", F.col("total").cast("double")).withColumn("items", items_text(F.col("items"))).select(
+        "restaurant_id", "days", "rank", "order_id", "source", "total", "created_at", "table_label", "items", "rating",
+        "comment", "stars")
+
+
 # ---------------------------------------------------------------- ingest
 from tavolo.operators import ingest  # noqa: E402
 
 
-@query("parse_order_requests", """
+_ACCEPTED_LINES = """(select f.* from s_requests_flat f join s_request_headers h on h.order_id = f.order_id
+  where h.reason is null)"""
+
+
+def _request_args(s):
+    return s.requests, s.restaurants, s.menu_items, s.tables, s.staff
+
+
+@query("parse_order_requests", f"""
 select order_id, restaurant_id, menu_item_id, name_snapshot as name, cast(price_snapshot as double) as price, qty
-from s_requests_flat where menu_item_id is not null""")
+from {_ACCEPTED_LINES} f where menu_item_id is not null""")
 def q_parse_order_requests(spark, sf_dir):
-    s = shop(spark, sf_dir)
-    df = ingest.parse_order_requests(s.requests, s.restaurants, s.menu_items)
+    df = ingest.parse_order_requests(*_request_args(shop(spark, sf_dir)))
     return df.select("order_id", "restaurant_id", "menu_item_id", "name",
                      F.col("price").cast("double").alias("price"), "qty")
 
 
-@query("order_items_snapshot", """
+@query("rejected_requests", "select order_id, restaurant_id, reason from s_request_headers where reason is not null")
+def q_rejected_requests(spark, sf_dir):
+    return ingest.rejected_requests(*_request_args(shop(spark, sf_dir)))
+
+
+@query("order_items_snapshot", f"""
 select order_id, menu_item_id, name_snapshot, cast(price_snapshot as double) as price_snapshot, qty,
        cast(cast(price_snapshot * qty as decimal(18,4)) as double) as line_total
-from s_requests_flat where menu_item_id is not null""")
+from {_ACCEPTED_LINES} f where menu_item_id is not null""")
 def q_order_items_snapshot(spark, sf_dir):
-    s = shop(spark, sf_dir)
-    lines = ingest.parse_order_requests(s.requests, s.restaurants, s.menu_items)
+    lines = ingest.parse_order_requests(*_request_args(shop(spark, sf_dir)))
     return ingest.order_items_snapshot(lines).select(
         "order_id", "menu_item_id", "name_snapshot", *dbl("price_snapshot"), "qty", *dbl("line_total"))
 
 
-@query("order_totals", """
-with t as (
-  select order_id, restaurant_id, cast(sum(price_snapshot * qty) as decimal(18,4)) as subtotal
-  from s_requests_flat group by order_id, restaurant_id),
+_TOTALS_SQL = f"""
+t as (
+  select order_id, restaurant_id, cast(sum(price_snapshot * qty) as decimal(18,4)) as subtotal,
+         count(menu_item_id) as n_lines
+  from {_ACCEPTED_LINES} f group by order_id, restaurant_id),
 x as (select t.*, cast(round(t.subtotal * r.tax_rate, 0) as decimal(18,4)) as tax
-      from t left join s_restaurants r on r.restaurant_id = t.restaurant_id)
+      from t left join s_restaurants r on r.restaurant_id = t.restaurant_id)"""
+
+
+@query("order_totals", f"""
+with {_TOTALS_SQL}
 select order_id, restaurant_id, cast(subtotal as double) as subtotal, cast(tax as double) as tax,
        cast(cast(subtotal + tax as decimal(18,4)) as double) as total from x""")
 def q_order_totals(spark, sf_dir):
     s = shop(spark, sf_dir)
-    lines = ingest.parse_request_lines(s.requests, s.restaurants, s.menu_items)
+    lines = ingest.parse_request_lines(*_request_args(s))
     return ingest.order_totals(lines, s.restaurants).select(
         "order_id", "restaurant_id", *dbl("subtotal", "tax", "total"))
 
 
+@query("order_headers", f"""
+with {_TOTALS_SQL}
+select h.order_id, h.restaurant_id, h.table_id, 'dine-in' as order_type, h.source, 'open' as status,
+       case when length(trim(h.phone)) > 0 then sha256(concat_ws('|', cast(h.restaurant_id as varchar), h.phone)) end as customer_id,
+       cast(x.subtotal as double) as subtotal, cast(x.tax as double) as tax,
+       cast(cast(x.subtotal + x.tax as decimal(18,4)) as double) as total, h.staff_id, h.created_at, x.n_lines
+from s_request_headers h join x on x.order_id = h.order_id where h.reason is null""")
+def q_order_headers(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return _money_out(ingest.order_headers(ingest.parse_request_lines(*_request_args(s)), s.restaurants),
+                      "subtotal", "tax", "total")
+
+
 _REQ_HEADERS = """(select distinct order_id, restaurant_id, phone, opt_in, created_at from s_requests_flat)"""
 
 _CUSTOMERS_SQL = f"""
@@ -434,7 +500,7 @@ def q_tenant_scan(spark, sf_dir):
 with lines as ({_LINES_SQL}),
 ph as (select distinct order_id, case when length(trim(phone)) > 0 then phone end as customer_phone from s_requests_flat)
 select o.restaurant_id, o.order_id, t.label as table_label, o.source, o.status, cast(o.total as double) as total,
-       o.created_at, l.items, ph.customer_phone,
+       cast(o.subtotal as double) as subtotal, cast(o.tax as double) as tax, o.created_at, l.items, ph.customer_phone,
        cast(row_number() over (partition by o.restaurant_id order by o.created_at, o.order_id) as int) as position
 from s_orders o left join s_tables t on t.table_id = o.table_id left join lines l on l.order_id = o.order_id
 left join ph on ph.order_id = o.order_id
@@ -443,8 +509,7 @@ def q_open_orders(spark, sf_dir):
     s = shop(spark, sf_dir)
     orders, cust = _customers(s)
     df = reads.open_orders(orders, s.tables, s.order_items, cust)
-    return df.withColumn("total", F.col("total").cast("double")).withColumn(
-        "items", items_text(F.col("items"), with_price=True))
+    return _money_out(df, "subtotal", "tax", "total").withColumn("items", items_text(F.col("items"), with_price=True))
 
 
 @query("live_orders_digest", """
@@ -484,20 +549,21 @@ def q_order_tracker(spark, sf_dir):
 
 
 _ACTIVE_PER_TABLE = """
-select table_id, order_id, status, total, created_at from (
-  select table_id, order_id, status, total, created_at,
+select table_id, order_id, status, subtotal, tax, total, created_at from (
+  select table_id, order_id, status, subtotal, tax, total, created_at,
          row_number() over (partition by table_id order by created_at desc, order_id desc) as rn
   from s_orders where status in ('open', 'preparing', 'ready') and table_id is not null) x where rn = 1"""
 
 
 @query("active_order_per_table", f"""
 with a as ({_ACTIVE_PER_TABLE}), lines as ({_LINES_SQL})
-select a.table_id, a.order_id, a.status, cast(a.total as double) as total, a.created_at, l.items
+select a.table_id, a.order_id, a.status, cast(a.subtotal as double) as subtotal, cast(a.tax as double) as tax,
+       cast(a.total as double) as total, a.created_at, l.items
 from a left join lines l on l.order_id = a.order_id""")
 def q_active_order_per_table(spark, sf_dir):
     s = shop(spark, sf_dir)
     df = reads.active_order_per_table(s.orders, s.order_items)
-    return df.select("table_id", "order_id", "status", F.col("total").cast("double").alias("total"),
+    return df.select("table_id", "order_id", "status", *dbl("subtotal", "tax", "total"),
                      "created_at", items_text(F.col("items"), with_price=True).alias("items"))
 
 
@@ -523,19 +589,19 @@ def q_rescan_route(spark, sf_dir):
 
 
 _MENU_SQL = """
-with mi as (select * from s_menu_items where category is not null {filt}),
+with mi as (select * from s_menu_items where category_id is not null {filt}),
 per as (
-  select restaurant_id, category, count(*) as n_items,
+  select restaurant_id, category_id, count(*) as n_items,
          string_agg(name, ', ' order by sort_order, name, menu_item_id, price) as items_text
-  from mi group by restaurant_id, category)
-select c.restaurant_id, c.name as category, cast(c.sort_order as int) as sort_order,
-       cast(row_number() over (partition by c.restaurant_id order by c.sort_order, c.name) as int) as position,
+  from mi group by restaurant_id, category_id)
+select c.restaurant_id, c.category_id, c.name as category, cast(c.sort_order as int) as sort_order,
+       cast(row_number() over (partition by c.restaurant_id order by c.sort_order, c.name, c.category_id) as int) as position,
        coalesce(p.n_items, 0) as n_items, coalesce(p.items_text, '') as items_text
-from s_categories c left join per p on p.restaurant_id = c.restaurant_id and p.category = c.name"""
+from s_categories c left join per p on p.restaurant_id = c.restaurant_id and p.category_id = c.category_id"""
 
 
 def _menu_out(df):
-    return df.select("restaurant_id", "category", "sort_order", "position",
+    return df.select("restaurant_id", "category_id", "category", "sort_order", "position",
                      F.size("items").cast("bigint").alias("n_items"),
                      reads.menu_text(F.col("items")).alias("items_text"))
 
@@ -577,8 +643,8 @@ def q_mint_table_tokens(spark, sf_dir):
 
 
 @query("staff_directory", """
-select restaurant_id, staff_id, name, role,
-       cast(row_number() over (partition by restaurant_id order by staff_id) as int) as position
+select restaurant_id, staff_id, name, role, created_at,
+       cast(row_number() over (partition by restaurant_id order by created_at, staff_id) as int) as position
 from s_staff""")
 def q_staff_directory(spark, sf_dir):
     return reads.staff_directory(shop(spark, sf_dir).staff)
@@ -794,111 +860,129 @@ def q_receipt_link_customer(spark, sf_dir):
 from tavolo.operators import integrity as ig  # noqa: E402
 
 
-def _frames(s, orders=None):
-    return ig.ShopFrames(s.restaurants, s.tables, s.categories, s.menu_items, s.staff,
-                         orders if orders is not None else s.orders, s.order_items, s.calls, s.feedback)
-
-
-def _deletes(s):
-    r = s.restaurants.where(F.col("restaurant_id") % 10 == 0).select("restaurant_id")
-    t = s.tables.where(F.col("table_id") % 7 == 0).select("table_id")
-    st = s.staff.where(F.col("staff_id") == 3).select("staff_id")
-    return r, t, st
-
-
-_KEPT = """
-kr as (select * from s_restaurants where restaurant_id % 10 <> 0),
-kt as (select * from s_tables where restaurant_id in (select restaurant_id from kr) and table_id % 7 <> 0),
-ks as (select * from s_staff where restaurant_id in (select restaurant_id from kr) and staff_id <> 3),
-ko as (select * from s_orders where restaurant_id in (select restaurant_id from kr))"""
-
-
-@query("cascade_delete", f"""
-with {_KEPT}
-select 'restaurants' as table_name, (select count(*) from s_restaurants) as rows_before, (select count(*) from kr) as rows_after
-union all select 'tables', (select count(*) from s_tables), (select count(*) from kt)
-union all select 'categories', (select count(*) from s_categories),
-  (select count(*) from s_categories where restaurant_id in (select restaurant_id from kr))
-union all select 'menu_items', (select count(*) from s_menu_items),
-  (select count(*) from s_menu_items where restaurant_id in (select restaurant_id from kr))
-union all select 'staff', (select count(*) from s_staff), (select count(*) from ks)
-union all select 'orders', (select count(*) from s_orders), (select count(*) from ko)
-union all select 'order_items', (select count(*) from s_order_items),
-  (select count(*) from s_order_items where order_id in (select order_id from ko))
-union all select 'calls', (select count(*) from s_calls),
-  (select count(*) from s_calls where restaurant_id in (select restaurant_id from kr) and table_id in (select table_id from kt))
-union all select 'feedback', (select count(*) from s_feedback),
-  (select count(*) from s_feedback where order_id in (select order_id from ko))""")
+TABLES = ("restaurants", "tables", "categories", "menu_items", "staff", "customers", "orders", "order_items", "calls",
+          "feedback")
+ROW_KEYS = {"restaurants": ["restaurant_id"], "tables": ["table_id"], "categories": ["category_id"],
+            "menu_items": ["menu_item_id"], "staff": ["staff_id"], "customers": ["customer_id"], "orders": ["order_id"],
+            "order_items": ["order_id", "line_no"], "calls": ["call_id"], "feedback": ["order_id"]}
+# What the integrity queries delete, as conditions on the tables' keys.
+DELETES = {"restaurants": "restaurant_id % 10 = 0", "tables": "table_id % 7 = 0", "staff": "staff_id = 3",
+           "categories": "category_id like '%-PROMO-%'", "menu_items": "menu_item_id % 9 = 2",
+           "customers": "customer_id % 8 = 5"}
+
+
+def _frames(s):
+    return {t: getattr(s, t) for t in TABLES}
+
+
+def _deletes(s, *only):
+    return {t: getattr(s, t).where(F.expr(c)).select(ROW_KEYS[t][0]) for t, c in DELETES.items()
+            if not only or t in only}
+
+
+_GONE = f"""
+gr as (select restaurant_id from s_restaurants where {DELETES['restaurants']}),
+gt as (select table_id from s_tables where {DELETES['tables']} or restaurant_id in (select restaurant_id from gr)),
+gc as (select category_id from s_categories where {DELETES['categories']} or restaurant_id in (select restaurant_id from gr)),
+gm as (select menu_item_id from s_menu_items where {DELETES['menu_items']} or restaurant_id in (select restaurant_id from gr)),
+gs as (select staff_id from s_staff where {DELETES['staff']} or restaurant_id in (select restaurant_id from gr)),
+gu as (select customer_id from s_customers where {DELETES['customers']} or restaurant_id in (select restaurant_id from gr)),
+gor as (select order_id from s_orders where restaurant_id in (select restaurant_id from gr)),
+kr as (select * from s_restaurants where restaurant_id not in (select restaurant_id from gr)),
+kt as (select * from s_tables where table_id not in (select table_id from gt)),
+kc as (select * from s_categories where category_id not in (select category_id from gc)),
+km as (select * from s_menu_items where menu_item_id not in (select menu_item_id from gm)),
+ks as (select * from s_staff where staff_id not in (select staff_id from gs)),
+ku as (select * from s_customers where customer_id not in (select customer_id from gu)),
+ko as (select * from s_orders where order_id not in (select order_id from gor)),
+ki as (select * from s_order_items where order_id not in (select order_id from gor)),
+ka as (select * from s_calls where restaurant_id not in (select restaurant_id from gr) and table_id not in (select table_id from gt)),
+kf as (select * from s_feedback where order_id not in (select order_id from gor))"""
+
+_KEPT_TABLES = (("restaurants", "kr"), ("tables", "kt"), ("categories", "kc"), ("menu_items", "km"), ("staff", "ks"),
+                ("customers", "ku"), ("orders", "ko"), ("order_items", "ki"), ("calls", "ka"), ("feedback", "kf"))
+
+
+@query("cascade_delete", f"with {_GONE}\n" + " union all ".join(
+    f"select '{t}' as table_name, (select count(*) from s_{t}) as rows_before, (select count(*) from {k}) as rows_after"
+    for t, k in _KEPT_TABLES))
 def q_cascade_delete(spark, sf_dir):
     s = shop(spark, sf_dir)
-    before = _frames(s)
-    after = ig.cascade_delete(before, *_deletes(s))
-    return ig.row_counts(before, after)
+    return ig.row_counts(_frames(s), _deletes(s))
+
 
+def _key_sql(table: str) -> str:
+    return f"concat_ws('/', {', '.join(f'cast({c} as varchar)' for c in ROW_KEYS[table])})"
 
-@query("null_dangling_refs", f"""
-with {_KEPT}
-select o.order_id, o.restaurant_id,
-       case when o.table_id in (select table_id from kt) then o.table_id end as table_id,
-       case when o.staff_id in (select staff_id from ks) then o.staff_id end as staff_id
-from ko o""")
+
+@query("cascade_delete_rows", f"with {_GONE}\n" + " union all ".join(
+    f"select '{t}' as table_name, {_key_sql(t)} as row_key from {k}" for t, k in _KEPT_TABLES))
+def q_cascade_delete_rows(spark, sf_dir):
+    s = shop(spark, sf_dir)
+    return ig.surviving_rows(_frames(s), _deletes(s), ROW_KEYS)
+
+
+_NULLED = (("menu_items", "km", "category_id", "gc", "category_id"), ("orders", "ko", "table_id", "gt", "table_id"),
+           ("orders", "ko", "customer_id", "gu", "customer_id"), ("orders", "ko", "staff_id", "gs", "staff_id"),
+           ("order_items", "ki", "menu_item_id", "gm", "menu_item_id"),
+           ("calls", "ka", "acknowledged_by", "gs", "staff_id"))
+
+
+def _refs_sql(edges) -> str:
+    return " union all ".join(
+        f"select '{t}.{c}' as edge, {_key_sql(t)} as row_key, "
+        f"cast(case when {c} not in (select {key} from {gone}) then {c} end as varchar) as ref from {kept}"
+        for t, kept, c, gone, key in edges)
+
+
+@query("null_dangling_refs", f"with {_GONE}\n{_refs_sql(_NULLED)}")
 def q_null_dangling_refs(spark, sf_dir):
     s = shop(spark, sf_dir)
-    after = ig.cascade_delete(_frames(s), *_deletes(s))
-    return after.orders.select("order_id", "restaurant_id", "table_id", "staff_id")
+    return ig.kept_references(_frames(s), _deletes(s), ROW_KEYS)
 
 
-def _summary(pairs):
-    out = None
-    for name, df, ref in pairs:
-        part = df.agg(F.count(F.lit(1)).alias("rows"),
-                      (F.count(F.lit(1)) - F.count(ref) if ref else F.lit(0).cast("bigint")).alias("null_refs"))
-        part = part.select(F.lit(name).alias("table_name"), "rows", "null_refs")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _rows(df, table, ref=None):
+    r = F.col(ref).cast("string") if ref else F.lit(None).cast("string")
+    return df.select(F.lit(table).alias("table_name"), ig.row_key(df, ROW_KEYS[table]).alias("row_key"), r.alias("ref"))
 
 
-@query("remove_staff", """
-select 'orders' as table_name, count(*) as rows, count(*) filter (where staff_id is null or staff_id = 3) as null_refs from s_orders
-union all select 'calls', count(*), count(*) filter (where acknowledged_by is null or acknowledged_by = 3) from s_calls
-union all select 'staff', count(*) filter (where staff_id <> 3), 0 from s_staff""")
+@query("remove_staff", f"""
+select 'orders' as table_name, {_key_sql('orders')} as row_key, cast(case when staff_id <> 3 then staff_id end as varchar) as ref from s_orders
+union all select 'calls', {_key_sql('calls')}, cast(case when acknowledged_by <> 3 then acknowledged_by end as varchar) from s_calls
+union all select 'staff', {_key_sql('staff')}, null from s_staff where staff_id <> 3""")
 def q_remove_staff(spark, sf_dir):
     s = shop(spark, sf_dir)
-    gone = s.staff.where(F.col("staff_id") == 3).select("staff_id")
-    o, c, st = ig.remove_staff(s.orders, s.calls, s.staff, gone)
-    return _summary([("orders", o, "staff_id"), ("calls", c, "acknowledged_by"), ("staff", st, None)])
+    o, c, st = ig.remove_staff(s.orders, s.calls, s.staff, _deletes(s, "staff")["staff"])
+    return _rows(o, "orders", "staff_id").unionByName(_rows(c, "calls", "acknowledged_by")).unionByName(
+        _rows(st, "staff"))
 
 
-@query("remove_table", """
-select 'orders' as table_name, count(*) as rows, count(*) filter (where table_id is null or table_id % 7 = 0) as null_refs from s_orders
-union all select 'calls', count(*) filter (where table_id % 7 <> 0), 0 from s_calls
-union all select 'tables', count(*) filter (where table_id % 7 <> 0), 0 from s_tables""")
+@query("remove_table", f"""
+select 'orders' as table_name, {_key_sql('orders')} as row_key, cast(case when table_id % 7 <> 0 then table_id end as varchar) as ref from s_orders
+union all select 'calls', {_key_sql('calls')}, cast(table_id as varchar) from s_calls where table_id % 7 <> 0
+union all select 'tables', {_key_sql('tables')}, null from s_tables where table_id % 7 <> 0""")
 def q_remove_table(spark, sf_dir):
     s = shop(spark, sf_dir)
-    gone = s.tables.where(F.col("table_id") % 7 == 0).select("table_id")
-    o, c, t = ig.remove_table(s.orders, s.calls, s.tables, gone)
-    return _summary([("orders", o, "table_id"), ("calls", c, None), ("tables", t, None)])
-
-
-@query("constraint_audit", f"""
-with cust as ({_CUSTOMERS_SQL})
-select 'restaurants.slug unique' as rule,
-  cast(coalesce((select sum(n) from (select count(*) as n from s_restaurants group by slug having count(*) > 1)), 0) as bigint) as violations
-union all select 'restaurant_tables.qr_token unique',
-  cast(coalesce((select sum(n) from (select count(*) as n from s_tables group by qr_token having count(*) > 1)), 0) as bigint)
-union all select 'customers (restaurant_id, phone) unique',
-  cast(coalesce((select sum(n) from (select count(*) as n from cust group by restaurant_id, phone having count(*) > 1)), 0) as bigint)
-union all select 'order_items not null',
-  (select count(*) from s_order_items where name_snapshot is null or price_snapshot is null or qty is null)
-union all select 'menu_items not null', (select count(*) from s_menu_items where name is null or price is null)
-union all select 'feedback.rating between 1 and 5',
-  (select count(*) from s_feedback where rating is null or rating < 1 or rating > 5)
-union all select 'feedback.order_id unique',
-  cast(coalesce((select sum(n) from (select count(*) as n from s_feedback group by order_id having count(*) > 1)), 0) as bigint)""")
+    o, c, t = ig.remove_table(s.orders, s.calls, s.tables, _deletes(s, "tables")["tables"])
+    return _rows(o, "orders", "table_id").unionByName(_rows(c, "calls", "table_id")).unionByName(_rows(t, "tables"))
+
+
+def _rule_sql(r) -> str:
+    table = f"dirty_{r.table}"
+    nulls = " or ".join(f"{c} is null" for c in r.columns)
+    if r.kind == "unique":
+        keys = ", ".join(r.columns)
+        count = (f"cast(coalesce((select sum(n) from (select count(*) as n from {table} where not ({nulls}) "
+                 f"group by {keys} having count(*) > 1)), 0) as bigint)")
+    else:
+        count = f"(select count(*) from {table} where {nulls if r.kind == 'not null' else f'not ({r.check})'})"
+    return f"select '{r.name}' as rule, {count} as violations"
+
+
+@query("constraint_audit", " union all ".join(_rule_sql(r) for r in ig.RULES))
 def q_constraint_audit(spark, sf_dir):
     s = shop(spark, sf_dir)
-    cust = ingest.customer_upsert(s.request_headers)
-    return ig.constraint_audit(s.restaurants, s.tables, cust, s.order_items, s.feedback, s.menu_items)
+    return ig.constraint_audit({t: s.dirty(t) for t in {r.table for r in ig.RULES}})
 
 
 @query("staff_role_audit", """

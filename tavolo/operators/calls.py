@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tavolo.functions.clock import ntz_from_micros, ntz_micros
 from tavolo.operators.common import RING_COOLDOWN_SECONDS, URGENT_ABOVE
 from tavolo.operators.reads import with_position
-from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key
-
+from tavolo.plans import cut_lineage
+from tavolo.plans.scan import DEFAULT_CHUNK, Prefix, prefix_by_key, range_counts
 
 
 def with_open_counts(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK,
@@ -110,114 +110,106 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int
                     (F.col("prev_count") == 0).alias("is_new")))
 
 
-FOLD_BLOCK = 256      # rings whose verdicts are appended to one array
-HOT_BURST = 100_000  # rings in one burst above which the pointer-doubling path runs
-
-
-def _bursts(ring_log: DataFrame, gap: int, chunk_size: int) -> DataFrame:
-    """Rings with ``us`` and a burst id: a new burst starts after a gap >= cooldown."""
-    r = (ring_log.where(F.col("kind") == "ring")
-         .select("seq", "table_id", "ts", ntz_micros(F.col("ts")).alias("us")))
-    span = chunk_size * gap  # chunks of time, each many cooldowns wide
-    cut = F.coalesce(F.col("us") - F.col("prev_us") >= gap, F.lit(True)).cast("long")
-    return prefix_by_key(r, ["table_id"], "us",
-                         [[Prefix("prev_us", "last", F.col("us"), inclusive=False)],
-                          [Prefix("burst", "sum", cut)]], span, tiebreak="seq").drop("prev_us")
+CHUNK_RINGS = 256     # rings of a chunk (results do not depend on it)
 
 
-def _fold_small_bursts(r: DataFrame, gap: int) -> DataFrame:
-    """Greedy rule inside each (bounded) burst: ``aggregate()`` over its sorted rings.
+def _next_rings(rings: DataFrame, gap: int) -> DataFrame:
+    """Per ring: its position in the table's order (from 0) and that of the first ring ``gap`` or more later.
 
-    An array that grows by one element is copied each time, so the rings
-    are folded in blocks: the outer fold appends one array per block.
+    Both are counts of rings in one merged order of rings and probes (a
+    probe stands ``gap`` after its ring, before rings of that instant), so
+    one distributed running count gives them (``range_counts``).
     """
-    bursts = (r.groupBy("table_id", "burst")
-              .agg(F.sort_array(F.collect_list(F.struct("us", "seq", "ts"))).alias("rs")))
-    kept = "array<struct<seq:bigint,ts:timestamp_ntz,accepted:boolean>>"
-
-    def step(acc, x):
-        ok = acc["last"].isNull() | (x["us"] - acc["last"] >= gap)
-        return F.struct(F.when(ok, x["us"]).otherwise(acc["last"]).alias("last"),
-                        F.array_append(acc["out"], F.struct(x["seq"].alias("seq"), x["ts"].alias("ts"),
-                                                            ok.alias("accepted"))).alias("out"))
-
-    def block(acc, i):
-        part = F.aggregate(F.slice("rs", i * FOLD_BLOCK + 1, FOLD_BLOCK),
-                           F.struct(acc["last"].alias("last"), F.array().cast(kept).alias("out")), step)
-        # a one-element array binds the block's fold, which is read twice
-        return F.get(F.transform(F.array(part), lambda p: F.struct(
-            p["last"].alias("last"), F.array_append(acc["out"], p["out"]).alias("out"))), F.lit(0))
-
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kept}>").alias("out"))
-    blocks = F.sequence(F.lit(0), F.floor((F.size("rs") - 1) / FOLD_BLOCK).cast("int"))
-    folded = bursts.select("table_id", F.flatten(F.aggregate(blocks, init, block)["out"]).alias("out"))
-    return (folded.select("table_id", F.explode("out").alias("r"))
-            .select(F.col("r.seq").alias("seq"), "table_id", F.col("r.ts").alias("ts"),
-                    F.col("r.accepted").alias("accepted")))
-
-
-def _fold_hot_bursts(r: DataFrame, gap: int, chunk_size: int) -> DataFrame:
-    """Greedy rule for huge bursts without gathering them: pointer doubling.
-
-    After accepting ring i the next accepted ring is next(i) = the first
-    ring at or after ``us_i + cooldown``, so the accepted rings are the
-    orbit of the burst's first ring under ``next``.  ``next`` comes from a
-    chunked reverse scan over the rings merged with one probe per ring;
-    the orbit is found in log2(length) rounds of joins (round k adds
-    next^(2^k) of everything found so far and squares the pointers).
-    Each round is checkpointed into the shared checkpoint folder, which
-    cuts the lineage and survives executor loss.
+    marks = rings.select("table_id", "us", F.lit(1).alias("is_ring"), "seq", "ts")
+    probes = rings.select("table_id", (F.col("us") + gap).alias("us"), F.lit(0).alias("is_ring"), "seq", "ts")
+    n = range_counts(marks.unionByName(probes), "table_id", ["us", "is_ring", "seq"], "n",
+                     weight=F.col("is_ring").cast("long"))
+    ring = F.col("is_ring") == 1
+    return n.groupBy("table_id", "seq").agg(F.max(F.when(ring, F.col("n") - 1)).alias("pos"),
+                                            F.max(F.when(~ring, F.col("n"))).alias("nxt"), F.first("ts").alias("ts"))
+
+
+def _chunks(walk: DataFrame, chunk_rings: int) -> DataFrame:
+    """Chunks of at most ``chunk_rings`` consecutive rings with their map.
+
+    ``rs`` are the chunk's rings; ``exits`` says for every ring of it: if
+    this one is accepted, which ring is the first accepted one after the
+    chunk.  It is built from the chunk's end: a ring whose next one lies
+    outside exits there, any other exits where its next one does.
+    ``start`` is the last ring that is accepted whatever came before (the
+    table's first ring, or one that the ring before it does not lock).
     """
-    from tavolo.plans.session import cut_lineage
-    keys = ["table_id", "burst"]
-    rings = r.select(*keys, "us", F.struct(F.lit(1), F.col("seq")).alias("tb"),
-                     F.col("seq").alias("rid"), F.lit(None).cast("long").alias("src"))
-    probes = r.select(*keys, (F.col("us") + gap).alias("us"), F.struct(F.lit(0), F.col("seq")).alias("tb"),
-                      F.lit(None).cast("long").alias("rid"), F.col("seq").alias("src"))
-    nxt = prefix_by_key(rings.unionByName(probes), keys, "us",
-                        [Prefix("nxt", "last", F.col("rid"), reverse=True)],
-                        chunk_size * gap, tiebreak="tb")
-    jump = cut_lineage(nxt.where(F.col("src").isNotNull()).select(F.col("src").alias("seq"), "nxt"))
-    found = cut_lineage(r.groupBy(*keys).agg(F.min_by("seq", F.struct("us", "seq")).alias("seq"))
-                        .select("seq"))
+    rs = F.sort_array(F.collect_list(F.struct("pos", "nxt", "seq", "ts")))
+    c = walk.groupBy("table_id", F.floor(F.col("pos") / F.lit(chunk_rings)).alias("chunk")).agg(rs.alias("rs"))
+    exits = F.aggregate(
+        F.reverse("rs"), F.array().cast("array<bigint>"),
+        lambda acc, x: F.array_prepend(acc, F.coalesce(F.get(acc, (x["nxt"] - x["pos"] - 1).cast("int")), x["nxt"])))
+    free = F.transform("rs", lambda x, i: (x["pos"] == 0) | (F.get(F.col("rs"), i - 1)["nxt"] <= x["pos"]))
+    c = c.withColumns({"exits": exits, "free": F.transform(free, lambda f: F.coalesce(f, F.lit(False)))})
+    return c.withColumn("start", F.array_max(F.filter(F.transform(
+        "free", lambda f, i: F.when(f, i)), lambda i: i.isNotNull())))
+
+
+def _entries(chunks: DataFrame) -> DataFrame:
+    """(table_id, pos): the first accepted ring of every chunk that the walk enters from another.
+
+    The walk over chunks starts from every chunk with a ring that is
+    accepted anyway, at once, and composes the chunk maps: round k adds
+    what 2^k maps lead to from everything found, and squares the maps.  It
+    ends when a round finds nothing new, which is the first one where
+    locks seldom cross a chunk, and log2(chunks in a row) rounds in one
+    endless burst.  Only rings that some map exits to are looked up.
+    """
+    jumps = chunks.select("table_id", F.explode(F.arrays_zip(F.transform("rs", lambda x: x["pos"]).alias("pos"),
+                                                             F.col("exits").alias("to"))).alias("j"))
+    jumps = jumps.select("table_id", F.col("j.pos").alias("pos"), F.col("j.to").alias("to"))
+    targets = jumps.select("table_id", F.col("to").alias("pos")).distinct()
+    jumps = cut_lineage(jumps.join(targets, ["table_id", "pos"], "left_semi"))
+    found = cut_lineage(chunks.where("start is not null").select(
+        "table_id", F.get(F.col("exits"), F.col("start")).alias("pos")).distinct())
     n = found.count()
     while True:
-        step = found.join(jump, "seq").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("seq"))
+        step = found.join(jumps, ["table_id", "pos"]).select("table_id", F.col("to").alias("pos"))
         grown = cut_lineage(found.unionByName(step).distinct())
         m = grown.count()
         if m == n:
-            break
+            return grown
         found, n = grown, m
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = cut_lineage(a.join(b, F.col("a.nxt") == F.col("b.seq"), "left")
-                           .select(F.col("a.seq").alias("seq"), F.col("b.nxt").alias("nxt")))
-    flag = found.select("seq", F.lit(True).alias("accepted"))
-    return (r.join(flag, "seq", "left")
-            .select("seq", "table_id", "ts", F.coalesce("accepted", F.lit(False)).alias("accepted")))
+        then = jumps.select("table_id", F.col("pos").alias("to"), F.col("to").alias("far"))
+        jumps = cut_lineage(jumps.join(then, ["table_id", "to"]).select("table_id", "pos", F.col("far").alias("to")))
 
 
 def ring_debounce(ring_log: DataFrame, cooldown_s: int = RING_COOLDOWN_SECONDS,
-                  chunk_size: int = DEFAULT_CHUNK, hot_burst: int = HOT_BURST) -> DataFrame:
+                  chunk_rings: int = CHUNK_RINGS) -> DataFrame:
     """Drop rings within ``cooldown_s`` of the last *accepted* ring of the table.
 
-    A ring at least ``cooldown_s`` after the previous ring is always
-    accepted, so rings are first cut into bursts at such gaps (previous
-    ring = a chunked last-value scan, burst id = a chunked running sum).
-    Only inside a burst is the greedy rule sequential: a burst of at most
-    ``hot_burst`` rings is folded with ``aggregate()`` over its sorted
-    rings; larger bursts go to the pointer-doubling path, so no group
-    larger than ``hot_burst`` is ever gathered.  Both paths are exact.
-
-    The burst table is checkpointed first (it feeds the size check and
-    both paths); this runs one job when the frame is built.
+    The rule is sequential along a table's rings, but a stretch of rings is
+    a map: from the ring at which the walk enters it to the ring at which
+    it goes on.  Rings are numbered by a distributed rank and cut into
+    chunks of bounded rows; each chunk computes its map, the maps are
+    composed over the chunks (``_entries``), and each chunk replays its own
+    rings from where the walk enters it.  A chunk is the only thing that is
+    gathered, so a table with any share of the rings, at any density, is
+    spread over tasks, and the work is linear in the rings.
+
+    Chunks and maps are checkpointed (they are read by each round); this
+    runs jobs when the frame is built.
     """
-    from tavolo.plans.session import cut_lineage
     gap = cooldown_s * 1_000_000
-    r = cut_lineage(_bursts(ring_log, gap, chunk_size))
-    sizes = r.groupBy("table_id", "burst").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.where(F.col("n") > hot_burst).select("table_id", "burst")
-    small = _fold_small_bursts(r.join(hot, ["table_id", "burst"], "left_anti"), gap)
-    if hot.isEmpty():
-        return small
-    big = _fold_hot_bursts(r.join(hot, ["table_id", "burst"], "left_semi"), gap, chunk_size)
-    return small.unionByName(big)
+    rings = (ring_log.where(F.col("kind") == "ring")
+             .select("seq", "table_id", "ts", ntz_micros(F.col("ts")).alias("us")))
+    chunks = cut_lineage(_chunks(_next_rings(rings, gap), chunk_rings))
+    entry = _entries(chunks).groupBy("table_id", F.floor(F.col("pos") / F.lit(chunk_rings)).alias("chunk")).agg(
+        F.min("pos").alias("entry"))
+    verdicts = "array<boolean>"
+
+    def step(acc, x):
+        i = x["pos"] - F.get(F.col("rs"), F.lit(0))["pos"]
+        ok = (x["pos"] == acc["at"]) | F.get(F.col("free"), i.cast("int"))
+        return F.struct(F.when(ok, x["nxt"]).otherwise(acc["at"]).alias("at"), F.array_append(acc["ok"], ok).alias("ok"))
+
+    init = F.struct(F.coalesce("entry", F.lit(-1)).cast("long").alias("at"), F.array().cast(verdicts).alias("ok"))
+    walked = chunks.join(entry, ["table_id", "chunk"], "left").select(
+        "table_id", F.explode(F.arrays_zip(F.col("rs").alias("r"), F.aggregate("rs", init, step)["ok"].alias("ok"))).alias("x"))
+    return walked.select(F.col("x.r.seq").alias("seq"), "table_id", F.col("x.r.ts").alias("ts"),
+                         F.col("x.ok").alias("accepted"))

@@ -1,7 +1,7 @@
 """Order request ingest: JSON payload -> typed lines, totals, customers.
 
-A request row is ``order_id, restaurant_id, phone, opt_in, created_at,
-items`` where ``items`` is the JSON text ``[{menu_item_id, name, price,
+A request row is ``order_id, restaurant_id, table_id, source, staff_id,
+phone, opt_in, created_at, items`` where ``items`` is the JSON text ``[{menu_item_id, name, price,
 qty}]``.  Fields are read as text and cast with ``try_cast`` (like
 ``->>`` then ``::type``); a failed cast rejects the *whole request* into
 a quarantine output instead of failing the job.
@@ -46,7 +46,8 @@ def _line_error(x):
             .when(x["qty"].isNull(), F.lit("missing qty")))
 
 
-def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items: DataFrame) -> DataFrame:
+def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items: DataFrame,
+                        tables: DataFrame | None = None, staff: DataFrame | None = None) -> DataFrame:
     """One row per (request, item) with the request's verdict.
 
     Columns: the request header, ``line_idx`` / typed item fields (NULL
@@ -54,8 +55,9 @@ def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items:
     ``reason`` -- NULL when the whole request is accepted.
 
     Row-local checks (JSON shape, casts, not-null fields) are array
-    expressions on the request row; the tenant and menu-item checks are
-    left joins against the dimensions.  The per-request verdict is a
+    expressions on the request row; the tenant, table, staff and menu-item
+    checks are left joins against the dimensions (a null table or staff id
+    is allowed; without ``tables`` or ``staff`` that key is not checked).  The per-request verdict is a
     window over ``order_id``: when the input is already partitioned by
     order (as a log keyed by order is) this adds a sort but no shuffle,
     and the request subtree is evaluated once.
@@ -63,13 +65,18 @@ def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items:
     parsed = requests.withColumn("raw_items", F.from_json(F.col("items"), RAW_ITEMS))
     parsed = parsed.withColumn("typed", F.transform("raw_items", lambda x: _typed(x)))
     errs = F.filter(F.transform("typed", _line_error), lambda e: e.isNotNull())
-    known_tenant = restaurants.select("restaurant_id", F.lit(True).alias("tenant_ok"))
-    parsed = (parsed.join(known_tenant, "restaurant_id", "left")
-              .withColumn("row_reason",
-                          F.when(F.col("raw_items").isNull() | F.json_array_length("items").isNull(),
-                                 F.lit("items is not a JSON array"))
-                          .when(F.size(errs) > 0, F.element_at(errs, 1))
-                          .when(F.col("tenant_ok").isNull(), F.lit("unknown restaurant"))))
+    reason = (F.when(F.col("raw_items").isNull() | F.json_array_length("items").isNull(),
+                     F.lit("items is not a JSON array"))
+              .when(F.size(errs) > 0, F.element_at(errs, 1)))
+    for parent, key, what in ((restaurants, "restaurant_id", "restaurant"), (tables, "table_id", "table"),
+                              (staff, "staff_id", "staff")):
+        if parent is None:
+            continue
+        parsed = parsed.join(parent.select(key, F.lit(True).alias(f"{what}_ok")), key, "left")
+        # every order has a tenant; the other two may be absent
+        given = F.lit(True) if what == "restaurant" else F.col(key).isNotNull()
+        reason = reason.when(given & F.col(f"{what}_ok").isNull(), F.lit(f"unknown {what}"))
+    parsed = parsed.withColumn("row_reason", reason)
     heads = [c for c in requests.columns if c != "items"]
     lines = parsed.select(*heads, "row_reason",
                           F.posexplode_outer(F.coalesce("typed", F.array().cast(parsed.schema["typed"].dataType)))
@@ -85,16 +92,16 @@ def parse_request_lines(requests: DataFrame, restaurants: DataFrame, menu_items:
     return lines.withColumn("reason", reason).drop("row_reason", "item_ok")
 
 
-def parse_order_requests(requests, restaurants, menu_items) -> DataFrame:
+def parse_order_requests(requests, restaurants, menu_items, tables=None, staff=None) -> DataFrame:
     """Typed lines of the accepted requests (one row per item)."""
-    lines = parse_request_lines(requests, restaurants, menu_items)
+    lines = parse_request_lines(requests, restaurants, menu_items, tables, staff)
     return (lines.where(F.col("reason").isNull() & F.col("line_idx").isNotNull())
             .select("order_id", "restaurant_id", "line_idx", "menu_item_id", "name", "price", "qty"))
 
 
-def rejected_requests(requests, restaurants, menu_items) -> DataFrame:
+def rejected_requests(requests, restaurants, menu_items, tables=None, staff=None) -> DataFrame:
     """Quarantine: one row per rejected request with the first reason found."""
-    lines = parse_request_lines(requests, restaurants, menu_items)
+    lines = parse_request_lines(requests, restaurants, menu_items, tables, staff)
     return (lines.where(F.col("reason").isNotNull())
             .groupBy("order_id", "restaurant_id").agg(F.min("reason").alias("reason")))
 
@@ -122,6 +129,27 @@ def order_totals(request_lines: DataFrame, restaurants: DataFrame) -> DataFrame:
             .select("order_id", "restaurant_id", "subtotal", "tax", "total"))
 
 
+def order_headers(request_lines: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """The orders row that each accepted request inserts.
+
+    Status is 'open' and the type its column default; the customer is the
+    one minted for (tenant, phone), NULL for a blank phone.  Header and
+    totals come from the parsed lines alone: the group by order reuses
+    their partitioning, and the customer id needs no join.
+    """
+    heads = ("restaurant_id", "table_id", "source", "staff_id", "phone", "created_at")
+    ok = request_lines.where(F.col("reason").isNull())
+    one = ok.groupBy("order_id").agg(*[F.first(c).alias(c) for c in heads],
+                                     F.sum(F.col("price") * F.col("qty")).cast(MONEY).alias("subtotal"),
+                                     F.count("line_idx").alias("n_lines"))
+    customer = F.when(~is_blank(F.col("phone")), customer_key(F.col("restaurant_id"), F.col("phone")))
+    return (one.join(restaurants.select("restaurant_id", "tax_rate"), "restaurant_id", "left")
+            .withColumn("tax", tax_on(F.col("subtotal"), F.col("tax_rate")))
+            .select("order_id", "restaurant_id", "table_id", F.lit("dine-in").alias("order_type"), "source",
+                    F.lit("open").alias("status"), customer.alias("customer_id"), "subtotal", "tax",
+                    (F.col("subtotal") + F.col("tax")).cast(MONEY).alias("total"), "staff_id", "created_at", "n_lines"))
+
+
 def customer_key(restaurant_id, phone):
     """Deterministic customer id from the natural key (stable on recompute)."""
     return F.sha2(F.concat_ws("|", restaurant_id.cast("string"), phone), 256)
@@ -137,10 +165,13 @@ def customer_upsert(requests: DataFrame, existing: DataFrame | None = None) -> D
     """
     req = (requests.where(~is_blank(F.col("phone")))
            .select("restaurant_id", "phone", F.col("opt_in").alias("marketing_opt_in"),
-                   "created_at", F.lit(None).cast("string").alias("customer_id"),
+                   "created_at", F.lit(None).cast("string").alias("customer_id"), F.lit(1).cast("long").alias("n"),
                    F.struct(F.lit(1).alias("src"), F.col("created_at"), F.col("order_id")).alias("ord")))
     if existing is not None:
+        # a stored row stands for the requests it has counted so far, and is none itself
+        counted = F.col("n_requests") if "n_requests" in existing.columns else F.lit(0)
         old = existing.select("restaurant_id", "phone", "marketing_opt_in", "created_at", "customer_id",
+                              counted.cast("long").alias("n"),
                               F.struct(F.lit(0).alias("src"), F.col("created_at"),
                                        F.lit(None).cast("bigint").alias("order_id")).alias("ord"))
         req = old.unionByName(req)
@@ -148,7 +179,7 @@ def customer_upsert(requests: DataFrame, existing: DataFrame | None = None) -> D
         F.min_by("customer_id", "ord").alias("kept_id"),
         F.min("created_at").alias("created_at"),
         F.max_by("marketing_opt_in", "ord").alias("marketing_opt_in"),
-        F.count(F.lit(1)).alias("n_requests"))
+        F.sum("n").alias("n_requests"))
     return g.select(F.coalesce("kept_id", customer_key(F.col("restaurant_id"), F.col("phone")))
                     .alias("customer_id"),
                     "restaurant_id", "phone", "created_at", "marketing_opt_in", "n_requests")

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tavolo.functions.clock import ntz_micros
 from tavolo.functions.money import js_round
 from tavolo.functions.text import ACTIVE_STATUSES, is_active, strip_one_trailing_slash
 from tavolo.operators.common import TRACKER_STEPS, attach_lines, items_text, literal_table, order_lines
 from tavolo.plans import cut_lineage
 from tavolo.plans.joins import checked_broadcast
-from tavolo.plans.scan import Prefix, prefix_by_key
+from tavolo.plans.scan import range_counts
 
 # Which active statuses each role's queue shows.
 ROLE_QUEUES = {
@@ -44,34 +43,31 @@ def _labels(tables: DataFrame) -> DataFrame:
 
 
 def open_orders(orders, tables, order_items, customers) -> DataFrame:
-    """Active orders, oldest first per tenant, with label, lines and phone.
+    """Active orders, oldest first per tenant, with amounts, label, lines and phone.
 
-    The position is computed on the narrow order rows first, so its
-    chunk summary re-reads only those, then lines, labels and phones join.
+    The position is computed on the narrow order rows first, then lines,
+    labels and phones join.
     """
-    act = with_position(orders.where(is_active(F.col("status"))), "restaurant_id", "created_at", "order_id")
-    act = attach_lines(act.select("order_id", "restaurant_id", "table_id", "customer_id", "source", "status",
-                                  "total", "created_at", "position"),
+    act = orders.where(is_active(F.col("status"))).select(
+        "order_id", "restaurant_id", "table_id", "customer_id", "source", "status", "subtotal", "tax", "total",
+        "created_at")
+    act = attach_lines(with_position(act, "restaurant_id", "created_at", "order_id"),
                        order_items, "menu_item_id", "name_snapshot", "price_snapshot", "qty")
     phones = customers.select("customer_id", F.col("phone").alias("customer_phone"))
     return (act.join(_labels(tables), "table_id", "left")
             .join(phones, "customer_id", "left")
-            .select("restaurant_id", "order_id", "table_label", "source", "status", "total",
+            .select("restaurant_id", "order_id", "table_label", "source", "status", "subtotal", "tax", "total",
                     "created_at", "items", "customer_phone", "position"))
 
 
-def with_position(df: DataFrame, key: str, ts: str, tiebreak: str, chunk_days: int = 1) -> DataFrame:
-    """1-based position within ``key`` by (ts, tiebreak), as a running count.
+def with_position(df: DataFrame, key: str, ts: str, tiebreak: str, partitions: int | None = None) -> DataFrame:
+    """1-based position within ``key`` by (ts, tiebreak): a distributed rank.
 
-    A running count is a chunked prefix sum (chunks of ``chunk_days`` of
-    time), so a tenant with a huge share of the rows is spread over tasks
-    instead of sorted in one (as ``row_number`` over the tenant would be).
+    A tenant's orders, those of one day or one second included, spread
+    over range partitions (``tavolo.plans.scan.range_counts``).
     """
-    us = "__pos_us"
-    d = df.withColumn(us, ntz_micros(F.col(ts)))
-    d = prefix_by_key(d, [key], us, [Prefix("position", "sum", F.lit(1).cast("long"))],
-                      chunk_days * 86_400_000_000, tiebreak=tiebreak)
-    return d.drop(us).withColumn("position", F.col("position").cast("int"))
+    d = range_counts(df, key, [ts, tiebreak], "position", partitions=partitions)
+    return d.withColumn("position", F.col("position").cast("int"))
 
 
 def live_orders_digest(orders, tables, order_items, restaurants) -> DataFrame:
@@ -111,7 +107,7 @@ def newest_active(orders) -> DataFrame:
     """Newest active order per table (any source); table-less orders excluded."""
     w = Window.partitionBy("table_id").orderBy(F.col("created_at").desc(), F.col("order_id").desc())
     return (orders.where(is_active(F.col("status")) & F.col("table_id").isNotNull())
-            .select("table_id", "order_id", "status", "total", "created_at")
+            .select("table_id", "order_id", "status", "subtotal", "tax", "total", "created_at")
             .withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn"))
 
 
@@ -152,19 +148,20 @@ def rescan_route(scans, tables, orders) -> DataFrame:
 def menu_tree(categories, menu_items, available_only: bool = True) -> DataFrame:
     """Categories by sort_order, each with its items by sort_order.
 
-    Items are grouped per (tenant, category) first, then joined to the
-    categories, so an empty category keeps [] and an item whose category
-    is NULL or unknown drops out.
+    Items belong to a category by its id, within the tenant (two categories
+    of one name stay apart).  They are grouped per (tenant, category)
+    first, then joined to the categories, so an empty category keeps [] and
+    an item whose category is NULL, unknown or another tenant's drops out.
     """
     mi = menu_items.where(F.col("is_available")) if available_only else menu_items
-    mi = mi.where(F.col("category").isNotNull())
-    per_cat = (mi.groupBy("restaurant_id", "category")
+    mi = mi.where(F.col("category_id").isNotNull())
+    per_cat = (mi.groupBy("restaurant_id", "category_id")
                .agg(F.sort_array(F.collect_list(F.struct("sort_order", "name", "menu_item_id", "price")))
                     .alias("items")))
-    pos = Window.partitionBy("restaurant_id").orderBy("sort_order", "category")
-    c = categories.select("restaurant_id", F.col("name").alias("category"), "sort_order")
-    return (c.join(per_cat, ["restaurant_id", "category"], "left")
-            .select("restaurant_id", "category", "sort_order",
+    pos = Window.partitionBy("restaurant_id").orderBy("sort_order", "category", "category_id")
+    c = categories.select("restaurant_id", "category_id", F.col("name").alias("category"), "sort_order")
+    return (c.join(per_cat, ["restaurant_id", "category_id"], "left")
+            .select("restaurant_id", "category_id", "category", "sort_order",
                     F.coalesce("items", F.array().cast(per_cat.schema["items"].dataType)).alias("items"))
             .withColumn("position", F.row_number().over(pos)))
 
@@ -201,9 +198,9 @@ def mint_table_tokens(tables, salt: str) -> DataFrame:
 
 
 def staff_directory(staff) -> DataFrame:
-    """id, name, role -- never a password hash column."""
-    w = Window.partitionBy("restaurant_id").orderBy("staff_id")
-    return staff.select("restaurant_id", "staff_id", "name", "role").withColumn(
+    """id, name, role, created_at, oldest first -- never a password hash column."""
+    w = Window.partitionBy("restaurant_id").orderBy("created_at", "staff_id")
+    return staff.select("restaurant_id", "staff_id", "name", "role", "created_at").withColumn(
         "position", F.row_number().over(w))
 
 

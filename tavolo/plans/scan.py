@@ -203,3 +203,31 @@ def chunked_prefix(df: DataFrame, keys: list[str], order: str, specs,
             df = df.withColumn(sp.name, _combine(sp.kind, F.col(f"__l_{sp.name}"), F.col(f"__c_{sp.name}")))
         df = df.drop(*[f"__{p}_{sp.name}" for sp in stage for p in ("x", "l", "c")])
     return df.drop(ck)
+
+
+def range_counts(df: DataFrame, key: str, order: list[str], name: str, weight: Column | None = None,
+                 partitions: int | None = None) -> DataFrame:
+    """Add ``name``: the running sum of ``weight`` (default 1 a row) within ``key`` by ``order``, this row included.
+
+    A distributed rank: rows are range-partitioned by (key, order) on
+    sampled bounds, so a key of any size, and rows that tie on its first
+    order columns, spread over tasks by the later ones.  The ranges of a
+    key follow one another, so a row's sum is its sum inside its range
+    plus the totals of the key's ranges before it: one small row a key and
+    range.  The ranges are checkpointed, because a recomputed sample could
+    move their bounds between the two uses.  Keys may be NULL (one key).
+    """
+    from tavolo.plans.session import cut_lineage
+    part, local, before = "__range", "__local", "__before"
+    one = F.lit(1).cast("long") if weight is None else weight
+    cols = [F.col(key), *[F.col(c) for c in order]]
+    d = df.withColumn("__w", one)
+    d = d.repartitionByRange(partitions, *cols) if partitions else d.repartitionByRange(*cols)
+    d = cut_lineage(d.withColumn(part, F.spark_partition_id()))
+    rows = Window.partitionBy(part, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (d.groupBy(F.col(key).alias("__key"), F.col(part).alias("__part")).agg(F.sum("__w").alias("__n"))
+              .withColumn(before, F.coalesce(F.sum("__n").over(ranges), F.lit(0))).drop("__n"))
+    d = d.withColumn(local, F.sum("__w").over(rows))
+    j = d.join(totals, (F.col(part) == F.col("__part")) & F.col(key).eqNullSafe(F.col("__key")))
+    return j.withColumn(name, F.col(local) + F.col(before)).drop(part, local, before, "__key", "__part", "__w")

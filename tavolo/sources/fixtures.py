@@ -15,6 +15,25 @@ from pyspark.sql import DataFrame, functions as F
 from tavolo.functions.money import MONEY, RATE
 
 
+# Planted violations for the constraint audit: column -> expression, the same text in Spark and in the oracle.
+DIRTY = {
+    "restaurants": {"slug": "case when restaurant_id % 6 = 1 then 'dup' when restaurant_id % 6 = 2 then null else slug end",
+                    "name": "case when restaurant_id % 11 = 3 then null else name end"},
+    "tables": {"qr_token": "case when table_id % 13 = 1 then 'dup' when table_id % 13 = 2 then null else qr_token end",
+               "label": "case when table_id % 17 = 3 then null else label end"},
+    "categories": {"name": "case when restaurant_id % 9 = 4 then null else name end"},
+    "menu_items": {"name": "case when menu_item_id % 19 = 5 then null else name end",
+                   "price": "case when menu_item_id % 23 = 6 then null else price end"},
+    "staff": {"name": "case when staff_id % 4 = 1 then null else name end"},
+    "customers": {"phone": "case when customer_id % 7 = 1 then '5550' when customer_id % 7 = 2 then null else phone end"},
+    "order_items": {"name_snapshot": "case when order_id % 29 = 1 then null else name_snapshot end",
+                    "price_snapshot": "case when order_id % 31 = 2 then null else price_snapshot end",
+                    "qty": "case when order_id % 37 = 3 then null else qty end"},
+    "feedback": {"order_id": "case when order_id % 8 = 1 then null when order_id % 8 = 2 then 2 else order_id end",
+                 "rating": "case when order_id % 5 = 1 then 0 when order_id % 5 = 2 then null when order_id % 5 = 3 then 6 else rating end"},
+}
+
+
 def _mod(c: str, n: int):
     return F.col(c) % F.lit(n)
 
@@ -54,9 +73,16 @@ class Shop:
                      (F.col("k") + 1).cast("string")).alias("qr_token"),
         )
 
+    @staticmethod
+    def _category_id(tenant):
+        # half of the names stand for two categories of one tenant
+        twin = F.when(F.length("p_type") % 2 == 0, _mod("p_size", 2)).otherwise(F.lit(0))
+        return F.concat(tenant.cast("string"), F.lit("-"), F.col("p_type"), F.lit("-"), twin.cast("string"))
+
     @cached_property
     def categories(self) -> DataFrame:
         return self.t.part.select(
+            self._category_id(_mod("p_partkey", 25)).alias("category_id"),
             _mod("p_partkey", 25).alias("restaurant_id"),
             F.col("p_type").alias("name"),
             F.length("p_type").alias("sort_order"),
@@ -67,7 +93,10 @@ class Shop:
         return self.t.part.select(
             F.col("p_partkey").alias("menu_item_id"),
             _mod("p_partkey", 25).alias("restaurant_id"),
-            F.when(F.col("p_size") == 50, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("category"),
+            # some items have no category, some another tenant's
+            F.when(F.col("p_size") == 50, F.lit(None).cast("string"))
+             .when(F.col("p_size") == 49, self._category_id((F.col("p_partkey") + 1) % 25))
+             .otherwise(self._category_id(_mod("p_partkey", 25))).alias("category_id"),
             F.col("p_name").alias("name"),
             F.col("p_retailprice").cast(MONEY).alias("price"),
             (_mod("p_size", 5) != 0).alias("is_available"),
@@ -85,8 +114,16 @@ class Shop:
             F.col("s_nationkey").alias("restaurant_id"),
             F.col("s_name").alias("name"),
             roles.alias("role"),
+            (F.lit("2020-01-01").cast("timestamp_ntz")
+             + F.make_dt_interval((F.col("s_suppkey") * 7919 % 37).cast("int"))).alias("created_at"),
         )
 
+    @cached_property
+    def customers(self) -> DataFrame:
+        c = self.t.customer
+        return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("restaurant_id"),
+                        (F.lit(5550000) + F.col("c_custkey")).cast("string").alias("phone"))
+
     # ---- facts --------------------------------------------------------
     @cached_property
     def orders(self) -> DataFrame:
@@ -94,6 +131,7 @@ class Shop:
         c = self.t.customer.select("c_custkey", "c_nationkey")
         j = o.join(c, o.o_custkey == c.c_custkey)
         k = F.col("o_orderkey")
+        tax = F.floor(F.col("o_totalprice") / 20).cast(MONEY)
         return j.select(
             k.alias("order_id"),
             F.col("c_nationkey").alias("restaurant_id"),
@@ -106,6 +144,8 @@ class Shop:
              .otherwise("preparing").alias("status"),
             F.when(k % 101 == 0, F.lit(None).cast(MONEY))
              .otherwise(F.col("o_totalprice").cast(MONEY)).alias("total"),
+            F.when(k % 101 != 0, F.col("o_totalprice").cast(MONEY) - tax).cast(MONEY).alias("subtotal"),
+            F.when(k % 101 != 0, tax).alias("tax"),
             F.col("o_custkey").alias("customer_id"),
             (k % 10).alias("staff_id"),
             F.when(k % 13 == 0, "delivery").alias("given_order_type"),
@@ -276,10 +316,42 @@ class Shop:
         """One JSON order request per order (the create_order payload).
 
         Grouped by order_id alone: the header columns depend on it, so
-        ``first`` picks the one value and the hash key stays a long.
+        ``first`` picks the one value and the hash key stays a long.  Some
+        requests carry a fault: ``order_id % 211`` is its number.
         """
-        item = F.struct(F.col("menu_item_id"), F.col("name_snapshot").alias("name"),
-                        F.col("price_snapshot").alias("price"), F.col("qty"))
-        return self.requests_flat.groupBy("order_id").agg(
-            *[F.first(c).alias(c) for c in ("restaurant_id", "phone", "opt_in", "created_at")],
-            F.to_json(F.collect_list(F.when(F.col("menu_item_id").isNotNull(), item))).alias("items"))
+        fault = F.col("order_id") % 211
+        flat = self.requests_flat.join(self.orders.select("order_id", "table_id", "source"), "order_id")
+        # the fault goes into one line of the request
+        line = F.struct("line_no", "menu_item_id", "name_snapshot", "price_snapshot", "qty")
+        lists = flat.groupBy("order_id").agg(
+            *[F.first(c).alias(c) for c in ("restaurant_id", "table_id", "source", "phone", "opt_in", "created_at")],
+            F.sort_array(F.collect_list(F.when(F.col("menu_item_id").isNotNull(), line))).alias("lines"))
+
+        def one(x, i):
+            cols = {"menu_item_id": x["menu_item_id"], "name_snapshot": x["name_snapshot"],
+                    "price_snapshot": x["price_snapshot"], "qty": x["qty"]}
+            first_ = i == 0
+            return F.struct(
+                F.when(first_ & (fault == 9), F.lit("x")).when(first_ & (fault == 10), F.lit("999999999"))
+                 .otherwise(cols["menu_item_id"].cast("string")).alias("menu_item_id"),
+                F.when(~(first_ & (fault == 6)), cols["name_snapshot"]).alias("name"),
+                F.when(first_ & (fault == 4), F.lit("abc")).when(first_ & (fault == 5), F.lit("1.00001"))
+                 .when(~(first_ & (fault == 7)), cols["price_snapshot"].cast("string")).alias("price"),
+                F.when(first_ & (fault == 3), F.lit("2.0"))
+                 .when(~(first_ & (fault == 8)), cols["qty"].cast("string")).alias("qty"))
+
+        items = F.when(fault == 1, F.lit('{"menu_item_id": 1}')).when(fault == 2, F.lit('[{"menu_item_id":')) \
+            .otherwise(F.to_json(F.transform("lines", one)))
+        return lists.select(
+            "order_id",
+            F.when(fault == 11, F.lit(99)).otherwise(F.col("restaurant_id")).alias("restaurant_id"),
+            F.when(fault == 12, F.lit(100_000).cast("long")).otherwise(F.col("table_id")).alias("table_id"),
+            "source",
+            F.when(fault == 13, F.lit(1_000_000).cast("long"))
+             .when(F.col("order_id") % 3 != 0, F.col("order_id") % 10).alias("staff_id"),
+            "phone", "opt_in", "created_at", items.alias("items"))
+
+    def dirty(self, name: str) -> DataFrame:
+        """A table with planted violations (see ``DIRTY``)."""
+        df = getattr(self, name)
+        return df.withColumns({c: F.expr(e) for c, e in DIRTY[name].items()})

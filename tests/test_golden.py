@@ -5,6 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from simulate import replay_debounce
+
 from tavolo.functions.text import encode_uri_component
 from tavolo.operators import calls, feedback, ingest, orders, reads, receipts, sales
 
@@ -171,8 +173,9 @@ def test_debounce_compares_with_last_accepted_ring(spark):
     got = [r.accepted for r in calls.ring_debounce(log).orderBy("seq").collect()]
     # 10 is within 15 s of 0; 16 is accepted (16 s after 0) though only 6 s after 10
     assert got == [True, False, True, False, True, False]
-    hot = [r.accepted for r in calls.ring_debounce(log, hot_burst=2).orderBy("seq").collect()]
-    assert hot == got
+    # the walk crosses chunks of any size
+    for rings in (1, 2, 4):
+        assert [r.accepted for r in calls.ring_debounce(log, chunk_rings=rings).orderBy("seq").collect()] == got
 
 
 def test_feedback_order_check_comes_first(spark):
@@ -203,14 +206,19 @@ def test_encode_uri_component(spark):
 
 
 def test_menu_tree_keeps_empty_category_and_drops_orphans(spark):
-    cats = spark.createDataFrame([(1, "Hot", 1), (1, "Cold", 2)], "restaurant_id int, name string, sort_order int")
+    cats = spark.createDataFrame([(1, "c1", "Hot", 1), (1, "c2", "Cold", 2), (1, "c3", "Hot", 3), (2, "c4", "Hot", 1)],
+                                 "restaurant_id int, category_id string, name string, sort_order int")
     items = spark.createDataFrame(
-        [(10, 1, "Hot", "Tea", Decimal("1"), True, 2), (11, 1, "Hot", "Coffee", Decimal("1"), True, 1),
-         (12, 1, None, "Orphan", Decimal("1"), True, 1), (13, 1, "Cold", "Ice", Decimal("1"), False, 1)],
-        "menu_item_id bigint, restaurant_id int, category string, name string, price decimal(18,4), "
+        [(10, 1, "c1", "Tea", Decimal("1"), True, 2), (11, 1, "c1", "Coffee", Decimal("1"), True, 1),
+         (12, 1, None, "Orphan", Decimal("1"), True, 1), (13, 1, "c2", "Ice", Decimal("1"), False, 1),
+         (14, 1, "c3", "Soup", Decimal("1"), True, 1), (15, 1, "c4", "Foreign", Decimal("1"), True, 1)],
+        "menu_item_id bigint, restaurant_id int, category_id string, name string, price decimal(18,4), "
         "is_available boolean, sort_order int")
-    tree = {r.category: [x.name for x in r.items] for r in reads.menu_tree(cats, items).collect()}
-    assert tree == {"Hot": ["Coffee", "Tea"], "Cold": []}
+    tree = {(r.restaurant_id, r.category_id, r.category): [x.name for x in r["items"]]
+            for r in reads.menu_tree(cats, items).collect()}
+    # two categories of one name stay apart, another tenant's category takes no item
+    assert tree == {(1, "c1", "Hot"): ["Coffee", "Tea"], (1, "c2", "Cold"): [], (1, "c3", "Hot"): ["Soup"],
+                    (2, "c4", "Hot"): []}
 
 
 def test_event_time_rules_ignore_the_session_zone(spark):
@@ -268,3 +276,14 @@ def test_debounce_of_a_long_burst_is_one_pass(spark):
                                          "cast(timestamp_seconds(id) as timestamp_ntz) as ts")
     got = calls.ring_debounce(log, 15).where("accepted")
     assert got.count() == -(-50_000 // 15)
+
+
+def test_debounce_of_a_dense_and_endless_burst(spark):
+    """200,000 rings of one table, 1 s apart and then 500 within each second: one path, chunks of bounded rows."""
+    log = spark.range(200_000).selectExpr(
+        "id as seq", "1L as table_id", "'ring' as kind",
+        "cast(timestamp_millis(if(id < 100000, id * 1000, 100000000 + (id - 100000) * 2)) as timestamp_ntz) as ts")
+    got = calls.ring_debounce(log, 15).where("accepted").agg(F.count("seq").alias("n"), F.max("seq").alias("last")).first()
+    ms = [i * 1000 if i < 100_000 else 100_000_000 + (i - 100_000) * 2 for i in range(200_000)]
+    want = [i for i, ok in enumerate(replay_debounce(ms, 15_000)) if ok]
+    assert (got.n, got["last"]) == (len(want), want[-1])

@@ -61,17 +61,17 @@ def test_order_state_reads_the_orders_in_work_and_not_the_log(spark, store):
     opts = {"ttl_epochs": 2, "buckets": 2, "compact_every": 2}
     log, _ = jobs.order_snapshots(store, 2, 2)
     sizes = []
-    for epoch in range(12):
+    for epoch in range(9):
         jobs.order_state_batch(store, order_events(spark, epoch * 20, 20), epoch, **opts)
         sizes.append(log.bytes())
     assert max(sizes[5:]) < 1.6 * sizes[4]          # flat, while the log grows by as much each batch
     got = jobs.current_order_state(store, 2, 2)
-    want = orders.order_state(order_events(spark, 0, 240))
+    want = orders.order_state(order_events(spark, 0, 180))
     assert rows(got.select(*want.columns), "order_id") == rows(want, "order_id")
     # an event after its order was archived, and one that never had a create, end in the late table
     late = order_events(spark, 3, 1, 7, ("add",)).unionByName(order_events(spark, 9_999, 1, 1, ("add",)))
-    jobs.order_state_batch(store, late, 12, **opts)
-    for epoch in range(13, 18):
+    jobs.order_state_batch(store, late, 9, **opts)
+    for epoch in range(10, 14):
         jobs.order_state_batch(store, order_events(spark, epoch * 20, 20), epoch, **opts)
     orphans = store.read("order_events_archive").select("order_id", "seq").distinct()
     assert rows(orphans, "order_id") == [(3, 7), (9_999, 1)]
@@ -90,7 +90,7 @@ def test_sales_follow_updates_across_and_within_batches(spark, store):
     tenants = spark.createDataFrame([(i, "n") for i in range(4)], "restaurant_id int, name string")
     schema = jobs.ORDER_ROWS + ", source string"
     newest = {}
-    for epoch in range(9):
+    for epoch in range(6):
         batch = []
         for _ in range(25):
             o = rnd.randrange(40)
@@ -151,14 +151,14 @@ def test_alerts_and_debounce_equal_batch_and_late_events_go_aside(spark, store,
 
 def test_idle_state_times_out(spark, store):
     """Tables without open rings and old locks leave the state; what comes later is as with them."""
-    for epoch in range(20):
+    for epoch in range(11):
         t = 100_000 * epoch
         b = [(10 * epoch, epoch, "ring", t), (10 * epoch + 1, epoch, "ack", t + 1)]
         jobs.calls_batch(store, ring_log(spark, b), epoch, buckets=1)
         jobs.debounce_batch(store, ring_log(spark, b), epoch, buckets=1)
-    assert jobs.calls_snapshot(store, 1).rows().count() < 12
-    assert jobs.debounce_snapshot(store, 1).rows().count() < 12
-    assert store.read("debounce").where("accepted").count() == 20
+    assert jobs.calls_snapshot(store, 1).rows().count() < 7
+    assert jobs.debounce_snapshot(store, 1).rows().count() < 7
+    assert store.read("debounce").where("accepted").count() == 11
 
 
 def test_carts_follow_clicks_and_a_toggle_reads_the_carts_that_hold_it(spark, store):
