@@ -49,7 +49,7 @@ def op3(spark, sf_dir):
     return pii.span_digests(Tables(spark, sf_dir).documents)
 
 
-@query("op4_exact_topk")
+@query("op4_exact_topk", topk.oracle())
 def op4(spark, sf_dir):
     return topk.top_inner_products(Tables(spark, sf_dir).embeddings)
 
