@@ -6,9 +6,12 @@ others the host decides.  Hosts are linked by absolute links in the pages
 Trust is a personalised PageRank that starts from hosts with allowed
 pages and follows links; distrust starts from hosts with blocked pages
 and goes against the links (who points at a blocked host is distrusted).
-Start weights are the hosts' shares of all allowed, or blocked, pages.  A
-host is blocked when distrust holds more than ``MAX_DISTRUST`` of the sum
-of both; a host that neither reaches is allowed.
+Start weights are the hosts' counts of allowed, or blocked, pages, so both
+ranks are on one scale and a host that no link connects changes nothing.
+Rounds go on until no host's rank moves by more than ``TOLERANCE`` of
+itself between two checkpoints (and no new host was reached).  A host is
+blocked when distrust holds more than ``MAX_DISTRUST`` of the sum of both,
+by more than the tolerance; a host that neither reaches is allowed.
 
 Only DataFrame operations: hosts and links are aggregated first, so a
 page-rich host is one row, and both ranks go through one join and one sum
@@ -33,8 +36,9 @@ from tavolo.llm.common import kept
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DAMPING = 0.85
-ITERATIONS = 8
-CUT_EVERY = 4
+TOLERANCE = 1e-3
+CUT_EVERY = 4           # rounds between checkpoints
+SQL_ROUNDS = 60         # rounds of the SQL, enough for the tolerance at this damping
 MAX_DISTRUST = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s{0,8}=\s{0,8}["']?(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"'\s<>]+)"""
@@ -77,24 +81,30 @@ def host_links(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.sum("n").alias("n")))
 
 
-def spread(links: DataFrame, seeds: DataFrame, iterations: int, damping: float) -> DataFrame:
-    """``kind, host, score``: personalised PageRank of each kind of seed.
+def spread(links: DataFrame, seeds: DataFrame, damping: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """``kind, host, score``: personalised PageRank of each kind of seed, to the tolerance.
 
-    ``links (kind, src, dst, share)``: what part of src's score goes to dst;
-    ``seeds (kind, host, weight)``.
+    ``links (of, src, dst, share)``: what part of src's score goes to dst;
+    ``seeds (kind, host, weight)``.  A round's ranks only grow, by at most
+    the damping of the last growth, so a small growth bounds what is left.
     """
     base = seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("score"))
-    rank = seeds.select("kind", "host", F.col("weight").alias("score"))
-    for i in range(iterations):
-        moved = rank.join(links, (rank.kind == links.of) & (rank.host == links.src)).select(
-            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % CUT_EVERY == 0:
-            rank = kept(rank)
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules=RULES, iterations: int = ITERATIONS, damping: float = DAMPING,
+    # starting from the base alone, every round adds the walks that are one link longer
+    rank = last = kept(base)
+    while True:
+        for _ in range(CUT_EVERY):
+            moved = rank.join(links, (rank.kind == links.of) & (rank.host == links.src)).select(
+                "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        rank = kept(rank)
+        before = last.select("kind", "host", F.col("score").alias("was"))
+        if rank.join(before, ["kind", "host"], "left").where(
+                F.col("was").isNull() | (F.col("score") > F.col("was") * (1 + tolerance))).isEmpty():
+            return rank
+        last = rank
+
+
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE,
                max_distrust: float = MAX_DISTRUST, id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html") -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page."""
@@ -105,28 +115,27 @@ def judge_urls(pages: DataFrame, rules=RULES, iterations: int = ITERATIONS, damp
                        "ruled": first_rule(rules, lambda r: r[0], F.col("host"), F.col("path"))})
     counts = kept(p.where("host <> ''").groupBy("host").agg(
         F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")))
-    total = counts.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    weigh = [counts.where(F.col(k) > 0).select(F.lit(k).alias("kind"), "host", (F.col(k) / F.lit(float(total[k]))).alias("weight"))
-             for k in ("allow", "block") if total[k]]
+    seeds = reduce(DataFrame.unionByName, [
+        counts.where(F.col(k) > 0).select(F.lit(k).alias("kind"), "host", F.col(k).cast("double").alias("weight"))
+        for k in ("allow", "block")])
     links = kept(host_links(p))
     turned = links.select(F.lit("allow").alias("of"), "src", "dst", "n").unionByName(
         links.select(F.lit("block").alias("of"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     sums = turned.groupBy("of", "src").agg(F.sum("n").alias("all"))
     shares = kept(turned.join(sums, ["of", "src"]).select("of", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
     page = p.select("page_id", "host", "path", "rule", "ruled")
-    if not weigh:
-        return page.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    scores = spread(shares, reduce(DataFrame.unionByName, weigh), iterations, damping)
+    scores = spread(shares, seeds, damping, tolerance)
     bad = (scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("score")).otherwise(0.0)).alias("trust"),
                                       F.sum(F.when(F.col("kind") == "block", F.col("score")).otherwise(0.0)).alias("distrust"))
-           .where(F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust")))
+           .where(F.col("distrust") > max_distrust * (1 + tolerance) * (F.col("trust") + F.col("distrust")))
            .select(F.col("host").alias("bad_host")))
     return page.join(kept(bad), F.col("host") == F.col("bad_host"), "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
 
-def oracle(rules=RULES, iterations: int = ITERATIONS, damping: float = DAMPING, max_distrust: float = MAX_DISTRUST) -> str:
+def oracle(rules=RULES, rounds: int = SQL_ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE,
+           max_distrust: float = MAX_DISTRUST) -> str:
     """The same as DuckDB SQL."""
     def case(value):
         out = " ".join(
@@ -147,17 +156,17 @@ up2 as (select * from up where dst <> src and strpos(dst, '.') > 0),
 l as (select src, dst, sum(n) n from (select src, dst, 1.0::double n from a where src <> dst union all select src, dst, 1.0 from up2
   union all select dst, src, 1.0 from up2) group by all),
 t as (select 'allow' kind, src, dst, n from l union all select 'block', dst, src, n from l),
-s as (select kind, src, dst, n / sum(n) over (partition by kind, src) share from t),
-w as (select ruled kind, host, count(*)::double / sum(count(*)) over (partition by ruled) weight from p
+s as materialized (select kind, src, dst, n / sum(n) over (partition by kind, src) share from t),
+w as materialized (select ruled kind, host, count(*)::double weight from p
   where host <> '' and ruled is not null group by ruled, host),
-r0 as (select kind, host, weight score from w)"""]
-    for i in range(iterations):
-        parts.append(f"""r{i + 1} as (select kind, host, sum(score) score from (
+r0 as (select kind, host, weight * {1 - damping} score from w)"""]
+    for i in range(rounds):
+        parts.append(f"""r{i + 1} as materialized (select kind, host, sum(score) score from (
   select r.kind, s.dst host, r.score * s.share * {damping} score from r{i} r join s on s.kind = r.kind and s.src = r.host
   union all select kind, host, weight * {1 - damping} from w) group by kind, host)""")
     parts.append(f"""b as (select host from (select host, sum(case when kind = 'allow' then score else 0 end) trust,
-  sum(case when kind = 'block' then score else 0 end) distrust from r{iterations} group by host)
-  where distrust > {max_distrust} * (trust + distrust))""")
+  sum(case when kind = 'block' then score else 0 end) distrust from r{rounds} group by host)
+  where distrust > {max_distrust * (1 + tolerance)} * (trust + distrust))""")
     return "with " + ",\n".join(parts) + """
 select page_id, p.host, path, "rule", coalesce(ruled, case when b.host is not null then 'block' else 'allow' end) verdict
 from p left join b on p.host = b.host"""
