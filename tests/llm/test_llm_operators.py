@@ -313,7 +313,7 @@ def brute_removal(texts, length):
 
 @pytest.mark.parametrize("length", [10, 60])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, length):
-    monkeypatch.setattr(suffix, "SLICE_SEGMENTS", 3)  # many slices an anchor
+    monkeypatch.setattr(suffix, "SLICE_CONTENTS", 3)  # keys are split down to single windows
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(3)]
     some = list(ODD)
@@ -321,18 +321,24 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, length):
         a, b = rng.randrange(200), rng.choice(base)
         some.append("".join(rng.choice("abcd ") for _ in range(rng.randrange(60))) + b[a:a + rng.randrange(160)]
                     + "".join(rng.choice("abcd ") for _ in range(rng.randrange(60))))
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.remove_repeats(documents(spark, some), length).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix.remove_repeats(documents(spark, some), length).collect()}
     assert [got[i] for i in range(len(some))] == brute_removal(some, length)
 
 
 def test_index_family_levels_grow_geometrically():
-    family = suffix.IndexFamily()
-    for i in range(50):
-        family.add(np.arange(i * 10, i * 10 + 10, dtype=np.uint64))
+    rng = np.random.default_rng(2)
+    family, seen, length = suffix.IndexFamily(6), collections.Counter(), 6
+    raws = [rng.integers(97, 100, 60).astype(np.uint8) for _ in range(50)]
+    for i, raw in enumerate(raws):
+        start = np.arange(55)
+        family.add(raw, start, start % 2)       # windows under two keys match inside a key alone
+        seen.update((k % 2, raw[k:k + length].tobytes()) for k in start)
     sizes = [len(p) for p, _ in family.levels]
-    assert len(sizes) < 8 and sizes == sorted(sizes, reverse=True) and not family.matched.any()
-    family.add(np.array([7, 7, 900], dtype=np.uint64))
-    assert family.matched[7] and family.matched[500] and family.matched[501] and not family.matched[502]
+    assert len(sizes) < 8 and sizes == sorted(sizes, reverse=True)
+    want = [seen[k % 2, raw[k:k + length].tobytes()] > 1 for raw in raws for k in range(55)]
+    assert family.matched.tolist() == want
+    family.forget(54 * 50)
+    assert len(family.raw) <= 60 and len(family.start) == len(family.matched) == 50
 
 
 def test_packing_is_gapless_and_tight(spark, docs, odd, none, texts, monkeypatch):
