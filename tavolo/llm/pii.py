@@ -3,21 +3,25 @@
 Four base kinds are exact rules (a pattern and a check).  Two generators
 with high recall propose further, overlapping spans: runs of digits with
 separators (``number``) and long runs of letters and digits (``secret``).
-Each candidate has small, binned features of its format and its
-surroundings.  Gradient-boosted depth-two trees are trained on a weak
-label: a number is positive when it overlaps a span that a base check
-confirmed, a secret when a credential word is assigned right before it;
-what the label looks at is no feature.  Candidates of all documents are
-aggregated to one row per feature vector (a bounded number of rows, the
-product of the bins), so boosting on the driver uses all data at a fixed
-size.  The threshold of a kind is the least score from which the weak
-label holds in ``PRECISION`` of the candidates, however few they are (a
-prior of any weight with mean ``PRECISION`` leaves this comparison as it
-is); an unlabelled candidate among them takes 19 labelled ones.  It
-judges candidates by their shape alone.  A secret with a credential word
-right before it is a bin of its own, in which the label always holds: it
-is added whatever its score, however many candidates of the same shape
-stand elsewhere without such a word.
+Each candidate has small, binned features of its format and of its
+context: credential or contact words before it, an assignment, quotes.
+
+Gradient-boosted depth-two trees are trained on a weak label that no
+feature holds: a secret is positive when it looks random (its characters
+change between digits, lower and upper case in ``RANDOM`` of the places),
+a number when its digits pass Luhn's check whatever stands between them.
+Candidates of all documents are aggregated to one row per feature vector
+(a bounded number of rows, the product of the bins), so boosting on the
+driver uses all data at a fixed size.
+
+Thresholds are calibrated per context.  ``PRIOR`` states how much a
+positive label is worth there: what looks random right behind an assigned
+credential word is a secret, elsewhere it is mostly a checksum or an
+identifier.  The threshold of a context is the least score from which the
+label's share, times the prior, reaches ``PRECISION`` among the candidates
+of that context, however few they are; a context whose prior is below it
+accepts nothing.  So neither hashes elsewhere nor the size of the table
+decide on a secret, but its format does: an assigned word is none.
 Candidates so accepted that overlap no base span are added; base spans stay.
 
 Everything else is column expressions on the document's row: positions
@@ -53,13 +57,19 @@ PATTERN = {
     "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
 }
 CREDENTIAL = r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|passwd|password|pwd|bearer)[\x20\"'*#%&$!]{0,6}[:=][\x20\"']{0,3}$"
+CREDENTIAL_WORD = r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|passwd|password|pwd|bearer)"
 CONTACT = r"(?i)\b(?:tel|phone|call|mobile|fax|card|visa|account|iban|contact|mail)\b"
 BLOCK = 256             # pieces whose lengths are summed together
 PRECISION = 0.95
+RANDOM = 0.15           # share of places at which a random run changes between digits, lower and upper case
+# worth of a positive label by context: secrets without, near and assigned to a credential word; numbers without
+# and with a contact word (Luhn's check alone lets one number in ten pass, so the label's share speaks for itself)
+PRIOR = {"secret": (0.01, 0.5, 1.0), "number": (1.0, 1.0)}
 ROUNDS, RATE = 12, 0.5
 CONTEXT = 24            # characters looked at on either side
 BINS = {"number": {"digits": 6, "spaces": 3, "signs": 3, "plus": 2, "before": 4, "after": 4, "contact": 2},
-        "secret": {"digits": 6, "letters": 4, "cases": 3, "length": 5, "before": 4, "after": 4}}
+        "secret": {"digits": 6, "letters": 4, "cases": 3, "length": 5, "before": 4, "after": 4, "credential": 3}}
+CONTEXT_FEATURE = {"number": "contact", "secret": "credential"}
 SPAN = "struct<kind:string,start:int,stop:int,found:string,before:string,after:string>"
 
 
@@ -135,11 +145,15 @@ FEATURES = {
     "length": "case when length(m.found) < 20 then 0 when length(m.found) < 32 then 1 when length(m.found) < 41 then 2 "
               "when length(m.found) < 65 then 3 else 4 end",
 }
-CREDENTIAL_BEFORE = "m.before rlike '" + CREDENTIAL.replace("\\", "\\\\").replace("'", "\\'") + "'"
-LABEL = {"number": "int(m.over)",
-         "secret": "int(" + CREDENTIAL_BEFORE + ")"}
-# the context in which a candidate of a kind needs no threshold
-ALWAYS = {"secret": "(" + CREDENTIAL_BEFORE + ")"}
+def _like(pattern: str) -> str:
+    return "m.before rlike '" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+FEATURES["credential"] = f"case when {_like(CREDENTIAL)} then 2 when {_like(CREDENTIAL_WORD)} then 1 else 0 end"
+# zero-width places at which a run changes its kind of character
+CHANGE = ("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
+LABEL = {"number": f"int(length({DIGITS}) between 12 and 19 and {LUHN})",
+         "secret": f"int(regexp_count(m.found, '{CHANGE}') >= {RANDOM} * length(m.found))"}
 
 
 def counts_by_features(found: DataFrame, kind: str) -> list[tuple[tuple[int, ...], int, int]]:
@@ -200,14 +214,29 @@ def boost(rows, bins) -> tuple[list, float]:
         tree = _tree(rows, gradient, hessian, bins)
         trees.append(tree)
         score = [s + RATE * _apply(tree, r[0]) for s, r in zip(score, rows)]
+    return trees, threshold(list(zip(score, rows)))
+
+
+def threshold(scored, precision: float = PRECISION) -> float:
+    """The least score from which the label holds in ``precision`` of the candidates (inf: from none)."""
     best, n, y = math.inf, 0, 0
-    ranked = sorted(zip(score, rows), key=lambda t: -t[0])
+    ranked = sorted(scored, key=lambda t: -t[0])
     for (s, r), after in zip(ranked, [t[0] for t in ranked[1:]] + [-math.inf]):
         n, y = n + r[1], y + r[2]
         # equal scores pass a threshold together
-        if after < s - 2e-9 and y >= PRECISION * n:
+        if after < s - 2e-9 and y >= precision * n:
             best = s
-    return trees, best - 1e-9 if best < math.inf else best
+    return best - 1e-9 if best < math.inf else best
+
+
+def calibrate(kind: str, rows, trees) -> list[float]:
+    """The threshold of each context of a kind."""
+    at = list(BINS[kind]).index(CONTEXT_FEATURE[kind])
+    out = []
+    for context, prior in enumerate(PRIOR[kind]):
+        own = [(sum(RATE * _apply(t, r[0]) for t in trees), r) for r in rows if r[0][at] == context]
+        out.append(threshold(own, PRECISION / prior) if prior >= PRECISION else math.inf)
+    return out
 
 
 def _sql(tree, names) -> str:
@@ -217,12 +246,15 @@ def _sql(tree, names) -> str:
 
 
 def _score_sql(kind: str, model) -> str:
-    """SQL: whether a candidate ``m`` of the kind reaches the threshold."""
-    trees, threshold = model
-    if threshold == math.inf:
+    """SQL: whether a candidate ``m`` of the kind reaches its context's threshold."""
+    trees, limits = model
+    if all(t == math.inf for t in limits):
         return "false"
     names = list(BINS[kind])
-    return "(" + " + ".join(f"{RATE}D * {_sql(t, names)}" for t in trees) + f") >= {threshold!r}D"
+    least = " ".join(f"when {c} then {t!r}D" for c, t in enumerate(limits) if t < math.inf)
+    # a context without a threshold compares with NULL and accepts nothing
+    return ("coalesce((" + " + ".join(f"{RATE}D * {_sql(t, names)}" for t in trees)
+            + f") >= case ({FEATURES[CONTEXT_FEATURE[kind]]}) {least} end, false)")
 
 
 def train(found: DataFrame) -> dict:
@@ -230,7 +262,8 @@ def train(found: DataFrame) -> dict:
     out = {}
     for k in ADDED:
         rows = counts_by_features(found, k)
-        out[k] = boost(rows, list(BINS[k].values())) if rows else ([], math.inf)
+        trees = boost(rows, list(BINS[k].values()))[0] if rows else []
+        out[k] = trees, calibrate(k, rows, trees)
     return out
 
 
@@ -244,7 +277,7 @@ def detect(docs: DataFrame, models: dict | None = None) -> DataFrame:
         # candidates alone are kept: documents without any are not
         models = train(kept(found.where("size(more) > 0").select("more")))
     add = "filter(more, m -> not m.over and case m.kind " + " ".join(
-        f"when '{k}' then {ALWAYS.get(k, 'false')} or {_score_sql(k, models[k])}" for k in ADDED) + " end)"
+        f"when '{k}' then {_score_sql(k, models[k])}" for k in ADDED) + " end)"
     order = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     lean = f"m -> struct(m.start as start, array_position({order}, m.kind) as rank, m.stop as stop, m.kind as kind)"
     return (found.withColumn("added", F.expr(add))

@@ -189,6 +189,32 @@ def test_a_text_has_the_same_secrets_in_tables_of_any_size(spark):
     assert pii.boost([((0, 0), 3, 3), ((0, 1), 1, 0)], [1, 1])[1] == float("inf")  # equal scores pass together
 
 
+def test_the_trees_decide_on_assigned_runs(spark):
+    """Assigned words are no secrets, assigned random runs are: without the trees both or neither would be added."""
+    rng = random.Random(12)
+    words = ["installation_guide_page_2", "internationalization-of-the-menu7", "configurationdirectory0"]
+    some = [f"the token: {w}, see" for w in words * 20]
+    some += [f"the token: {''.join(rng.choice('0123456789abcdef') for _ in range(40))}, see" for _ in range(5)]
+    frame = documents(spark, some)
+    got = {r.doc_id: r.spans for r in pii.span_digests(frame).collect()}
+    assert all(got[i] == "" for i in range(60)) and all(got[i] == "secret:11:51" for i in range(60, 65))
+    found = pii.find_spans(frame.select("doc_id", "text"))
+    models = pii.train(found)
+    models["secret"] = ([], models["secret"][1])
+    none = {r.doc_id: r.n for r in pii.detect(frame.select("doc_id", "text"), {
+        "number": models["number"], "secret": ([("leaf", 0.0)], models["secret"][1])}).selectExpr(
+        "doc_id", "size(spans) as n").collect()}
+    assert sum(none.values()) != 5
+
+
+def test_cards_with_other_separators_are_added(spark):
+    some = ["card 4111.1111.1111.1111 here", "card 5500.0000.0000.0004 here", "code 1234.5678.1234.5678 x"]
+    some += [f"code 12{i:02d}.5678.1234.5671 x" for i in range(10, 40) if not luhn(f"12{i:02d}567812345671")]
+    got = {r.doc_id: r.spans for r in pii.span_digests(documents(spark, some)).collect()}
+    assert got[0] == "number:5:24" and got[1] == "number:5:24"
+    assert all("number" not in got[i] for i in range(2, len(some)))
+
+
 def test_long_runs_are_candidates_too(spark):
     rng = random.Random(10)
     runs = ["".join(rng.choice("abcdefXYZ_-") for _ in range(a)) + "7" + "".join(rng.choice("abcXYZ019") for _ in range(b))
