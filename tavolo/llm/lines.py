@@ -55,22 +55,29 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def cut_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source",
               text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with the text's boilerplate lines removed, and two columns more:
-    ``__n_lines`` and ``__n_cut``."""
+    ``__n_lines`` and ``__n_cut`` (with further underscores before them if ``docs`` has such columns)."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{site_col}`").cast("string").alias("site"),
                          F.col(f"`{text_col}`").cast("string").alias("text"))
     found = boilerplate(narrow, min_sites)
     hits = (_lines(narrow).drop("site").join(found, "line")
             .where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "pos") != F.col("first")))
-            .groupBy("doc_id").agg(F.collect_set("pos").alias("__cut")).withColumnRenamed("doc_id", "__doc"))
-    joined = docs.join(hits, F.col(f"`{id_col}`") == F.col("__doc"), "left").drop("__doc")
-    split = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__cut"))
-    left = F.concat_ws("\n", F.transform(places, lambda i: F.get("__all", i)))
-    return (joined.withColumn("__all", split)
-            .withColumns({text_col: F.when(F.col("__cut").isNull(), F.col(f"`{text_col}`")).otherwise(left),
-                          "__n_lines": F.when(F.col("__all").isNull(), 0).otherwise(F.size("__all")).cast("long"),
-                          "__n_cut": F.coalesce(F.size(F.coalesce("__cut", F.array().cast("array<int>"))), F.lit(0)).cast("long")})
-            .drop("__all", "__cut"))
+            .groupBy("doc_id").agg(F.collect_set("pos").alias("cut")))
+    # the columns of docs travel in one struct, so no name of theirs meets one used here
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.col(f"`{id_col}`").alias("doc_id"), F.split(F.col(f"`{text_col}`").cast("string"), "\n").alias("all"))
+    joined = whole.join(hits, "doc_id", "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("cut"))
+    left = F.concat_ws("\n", F.transform(places, lambda i: F.get("all", i)))
+    text = F.when(F.col("cut").isNull(), F.col("row").getField(text_col)).otherwise(left)
+    counts = {"__n_lines": F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long"),
+              "__n_cut": F.coalesce(F.size(F.coalesce("cut", F.array().cast("array<int>"))), F.lit(0)).cast("long")}
+    taken = {c.lower() for c in docs.columns}
+    out = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    for name, value in counts.items():
+        while name in taken:
+            name = "_" + name
+        out.append(value.alias(name))
+    return joined.select(*out)
 
 
 ORACLE = f"""

@@ -251,6 +251,17 @@ def test_topk_equals_numpy(spark):
     assert topk.top_inner_products(df.where("false")).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(i, f"own text {i} here\nAll rights reserved.", f"s{i}", i, 7, 8, [1], "x", "y") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __doc int, __n_lines int, __n_cut int, "
+                                     "__cut array<int>, `all` string, line string")
+    got = lines.cut_lines(df)
+    assert got.columns == [*df.columns, "___n_lines", "___n_cut"]
+    out = {r.doc_id: tuple(r) for r in got.collect()}
+    assert out[0][1].endswith("reserved.") and out[5][1] == "own text 5 here"
+    assert out[5][3:] == (5, 7, 8, [1], "x", "y", 2, 1)
+
+
 def test_line_dedup_edges(spark):
     line = "All rights reserved."
     rows = [(i, f"own text {i} here\n {line}\r", f"site{i}", "z") for i in range(12)]
