@@ -409,8 +409,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _counted(rows: DataFrame) -> DataFrame:
     """``rows (key, content, own, ...)`` with ``copies`` of their content and, for one copy of each, its key's ``kinds``."""
-    contents = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min("own").alias("one"),
-                                           F.min("key").alias("key"))
+    contents = kept(rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min("own").alias("one"),
+                                                F.min("key").alias("key")))
     kinds = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = kept(contents.join(kinds, "key", "left").where("copies > 1 or kinds > 1")
                   .select("content", "copies", "one", F.coalesce("kinds", F.lit(1)).alias("kinds")))
