@@ -62,25 +62,29 @@ def acknowledge_fold(ring_log: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> Da
                     F.col("nxt.at").alias("acknowledged_at")))
 
 
-def active_calls(calls: DataFrame, tables: DataFrame, urgent_above: int = URGENT_ABOVE) -> DataFrame:
-    """Tables with open calls: label, count, first call, urgent (> 5), oldest first.
-
-    The position is a running count per tenant (``with_position``), so a
-    tenant with a huge share of the tables is split like any hot key.
-    """
+def _open_calls(calls: DataFrame, tables: DataFrame, urgent_above: int) -> DataFrame:
+    """Tables with open calls: label, count, first call, urgent."""
     agg = (calls.where(~F.col("acknowledged"))
            .groupBy("restaurant_id", "table_id")
            .agg(F.count(F.lit(1)).alias("call_count"), F.min("created_at").alias("first_called_at")))
     labels = tables.select("table_id", F.col("label").alias("table_label"))
-    return with_position(
-        agg.join(labels, "table_id", "left")
-        .select("restaurant_id", "table_id", "table_label", "call_count", "first_called_at",
-                (F.col("call_count") > urgent_above).alias("urgent")),
-        "restaurant_id", "first_called_at", "table_id")
+    return agg.join(labels, "table_id", "left").select(
+        "restaurant_id", "table_id", "table_label", "call_count", "first_called_at",
+        (F.col("call_count") > urgent_above).alias("urgent"))
+
+
+def active_calls(calls: DataFrame, tables: DataFrame, urgent_above: int = URGENT_ABOVE) -> DataFrame:
+    """Tables with open calls, oldest first per tenant; urgent above 5.
+
+    The position is a distributed rank (``with_position``), so a tenant
+    with a huge share of the tables is split like any hot key.
+    """
+    return with_position(_open_calls(calls, tables, urgent_above), "restaurant_id", "first_called_at", "table_id")
 
 
 def urgent_escalations(calls: DataFrame, tables: DataFrame, urgent_above: int = URGENT_ABOVE) -> DataFrame:
-    return active_calls(calls, tables, urgent_above).where(F.col("urgent")).drop("position")
+    """The urgent ones of the open calls (no position is computed)."""
+    return _open_calls(calls, tables, urgent_above).where(F.col("urgent"))
 
 
 def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
@@ -97,9 +101,10 @@ def newly_ringing(ring_log: DataFrame, poll_seconds: int = 3600, chunk_size: int
     us = ntz_micros(F.col("ts"))
     ev = with_open_counts(ring_log, chunk_size).withColumn(
         "poll_at", ntz_from_micros((F.floor(us / step) + 1) * step))
-    per_poll = (ev.groupBy("table_id", "poll_at")
-                .agg(F.max_by("open_count", F.struct("ts", "seq")).alias("call_count"))
-                .withColumn("__poll_us", ntz_micros(F.col("poll_at"))))
+    # one row a table and poll, computed once for the hot-key count and the scan below
+    per_poll = cut_lineage(ev.groupBy("table_id", "poll_at")
+                           .agg(F.max_by("open_count", F.struct("ts", "seq")).alias("call_count"))
+                           .withColumn("__poll_us", ntz_micros(F.col("poll_at"))))
     # the previous poll's count (never NULL) = the last count before this poll
     prev = prefix_by_key(per_poll, ["table_id"], "__poll_us",
                          [Prefix("prev_count", "last", F.col("call_count"), inclusive=False)],
