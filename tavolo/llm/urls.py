@@ -26,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,6 +39,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DAMPING = 0.85
 TOLERANCE = 1e-3
 CUT_EVERY = 4           # rounds between checkpoints
+TASK_LINKS = 200_000    # links of a task
 SQL_ROUNDS = 60         # rounds of the SQL, enough for the tolerance at this damping
 MAX_DISTRUST = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,15 +90,18 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float, tolerance: float
     ``seeds (kind, host, weight)``.  A round's ranks only grow, by at most
     the damping of the last growth, so a small growth bounds what is left.
     """
-    base = seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("score"))
+    # tasks by the size of the graph: one that fits in a task makes its rounds there, without a shuffle
+    tasks = max(1, math.ceil(links.count() / TASK_LINKS))
+    links = kept(links.coalesce(tasks))
+    base = kept(seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("score")).coalesce(tasks))
     # starting from the base alone, every round adds the walks that are one link longer
-    rank = last = kept(base)
+    rank = last = base
     while True:
         for _ in range(CUT_EVERY):
             moved = rank.join(links, (rank.kind == links.of) & (rank.host == links.src)).select(
                 "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-            rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        rank = kept(rank)
+            rank = moved.unionByName(base).coalesce(tasks).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        rank = kept(rank.coalesce(tasks))
         before = last.select("kind", "host", F.col("score").alias("was"))
         if rank.join(before, ["kind", "host"], "left").where(
                 F.col("was").isNull() | (F.col("score") > F.col("was") * (1 + tolerance))).isEmpty():
@@ -122,7 +127,7 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, toleranc
     turned = links.select(F.lit("allow").alias("of"), "src", "dst", "n").unionByName(
         links.select(F.lit("block").alias("of"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     sums = turned.groupBy("of", "src").agg(F.sum("n").alias("all"))
-    shares = kept(turned.join(sums, ["of", "src"]).select("of", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
+    shares = turned.join(sums, ["of", "src"]).select("of", "src", "dst", (F.col("n") / F.col("all")).alias("share"))
     page = p.select("page_id", "host", "path", "rule", "ruled")
     scores = spread(shares, seeds, damping, tolerance)
     bad = (scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("score")).otherwise(0.0)).alias("trust"),
