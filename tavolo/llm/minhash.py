@@ -246,3 +246,24 @@ def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
          .withColumn("part", F.coalesce("component", "rep")).drop("component"))
     keys = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     return m.join(keys, "key", "left_semi")
+
+
+def oracle() -> str:
+    """DuckDB SQL of the same rows by counting the shingles that pairs share."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive w as materialized (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[ \\t-\\r]+'),
+                             lambda x: x <> '') as w from documents),
+s as materialized (
+  select doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as sh from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (
+  select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared)),
+e as materialized (select x, y from l union all select y, x from l),
+r(node, root) as (select doc_id, doc_id from documents union select r.node, e.y from r join e on e.x = r.root),
+c as (select node, min(root) as component_id from r group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, c.component_id = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id join c on c.node = d.doc_id"""

@@ -39,7 +39,7 @@ def op1(spark, sf_dir):
     return bpe.encode_digests(Tables(spark, sf_dir).documents, vocabulary())
 
 
-@query("op2_minhash_near_dedup")
+@query("op2_minhash_near_dedup", minhash.oracle())
 def op2(spark, sf_dir):
     return minhash.near_duplicates(Tables(spark, sf_dir).documents)
 
