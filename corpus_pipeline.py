@@ -5,6 +5,13 @@ written as Parquet and read again as the next stage's ``docs``.  All
 stages but the last return the columns of ``documents``; the last returns
 the packed pieces.  ``run`` applies them to ``documents``; its tables lie
 in the folder that ``spark.checkpoint.dir`` names.
+
+Defined cases: a null or empty text is scored like any other and, where
+the classifier accepts it, packed as the empty document; a null id takes
+part in every stage and is no one's near-duplicate by its id; repeated rows
+are near-duplicates of one another, and rows of one id go or stay together;
+columns other than those of ``documents`` are dropped by the first stage;
+empty tables give no pieces.
 """
 
 from __future__ import annotations

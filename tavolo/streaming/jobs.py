@@ -80,7 +80,8 @@ def order_state_batch(store: EpochStore, batch: DataFrame, epoch: int, tax_rate=
     def done(rows: DataFrame) -> DataFrame:
         return rows.withColumn("expired", ~F.col("status").isin(*ACTIVE_STATUSES) & old)
 
-    due = state.due(epoch)
+    # both are compacted together, so an order's events and its state leave in the same batch
+    due = sorted({*log.due(epoch), *state.due(epoch)})
     before = state.rows(epoch, due).join(now.select("order_id"), "order_id", "left_anti").unionByName(
         now.where(state.bucket().isin(due or [-1])))
     verdict = done(before).select("order_id", F.col("expired").alias("__archived"))
@@ -91,8 +92,8 @@ def order_state_batch(store: EpochStore, batch: DataFrame, epoch: int, tax_rate=
         return flagged.withColumn("expired", F.coalesce("__archived", old)).withColumn(
             "orphan", F.col("__archived").isNull())
 
-    log.merge(new, epoch, expire=without_order, archive="orphan")
-    state.merge(now, epoch, expire=done, archive="expired")
+    log.merge(new, epoch, expire=without_order, archive="orphan", due=due)
+    state.merge(now, epoch, expire=done, archive="expired", due=due)
 
 
 def current_order_state(store: EpochStore, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY) -> DataFrame:

@@ -203,21 +203,22 @@ class KeyedSnapshot:
     def rows_with_archive(self) -> DataFrame:
         """Current rows and archived ones (a key that came back is current)."""
         rows = self.rows()
-        if not self.store.exists(f"{self.name}_archive"):
-            return rows
-        old = self.store.latest(f"{self.name}_archive", self.keys).select(*self.columns)
+        old = self._newest(self.store.read(f"{self.name}_archive", self.schema)).select(*self.columns)
         return rows.unionByName(old.join(rows.select(*self.keys), self.keys, "left_anti"))
 
     def merge(self, rows: DataFrame, epoch: int, meta: dict | None = None,
-              expire: Callable[[DataFrame], DataFrame] | None = None, archive: str | None = None) -> None:
+              expire: Callable[[DataFrame], DataFrame] | None = None, archive: str | None = None,
+              due: list[int] | None = None) -> None:
         """Commit the micro-batch ``epoch``: ``rows`` are the new rows of the keys it changes.
 
         A row with a true ``gone`` column deletes its key.  ``expire`` adds a
         boolean ``expired`` to the rows of buckets that are compacted, and
         ``archive`` names the flag of those that go to the archive table.
+        ``due`` are the buckets to compact (default: those with enough files);
+        snapshots whose rows expire together are compacted together.
         """
         base = self.before(epoch)
-        due = self.due(epoch)
+        due = self.due(epoch) if due is None else due
         new = rows.select(*self.columns).withColumn("epoch", F.lit(int(epoch)).cast("long"))
         if due:
             old = self._rows(base, due).select(*new.columns)
@@ -235,7 +236,7 @@ class KeyedSnapshot:
                    if self.files.exists(f"{self.store.path(self.name)}/bucket={b}/epoch={int(epoch)}")}
         buckets = {b: list(e) for b, e in base.buckets.items()}
         for b in due:
-            buckets.pop(b)
+            buckets.pop(b, None)
         for b in written:
             buckets.setdefault(b, []).append(int(epoch))
         self._commit(Manifest(int(epoch), buckets, base.meta | (meta or {})), base)

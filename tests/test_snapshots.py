@@ -77,6 +77,18 @@ def test_order_state_reads_the_orders_in_work_and_not_the_log(spark, store):
     assert rows(orphans, "order_id") == [(3, 7), (9_999, 1)]
 
 
+def test_an_order_in_work_keeps_its_events_beside_pending_ones(spark, store):
+    """Buckets that pending events touch more often than orders do lose no event of an active order."""
+    opts = {"ttl_epochs": 2, "buckets": 1, "compact_every": 2}
+    jobs.order_state_batch(store, order_events(spark, 0, 3, 0, ("create",)), 0, **opts)
+    for epoch in range(1, 6):
+        jobs.order_state_batch(store, order_events(spark, 500 + epoch, 1, 1, ("add",)), epoch, **opts)
+    jobs.order_state_batch(store, order_events(spark, 0, 3, 5, ("add",)), 6, **opts)
+    want = orders.order_state(order_events(spark, 0, 3, 0, ("create",)).unionByName(order_events(spark, 0, 3, 5, ("add",))))
+    got = jobs.current_order_state(store, 1, 2)
+    assert rows(got.select(*want.columns), "order_id") == rows(want, "order_id")
+
+
 def test_order_state_of_a_retried_and_a_repeated_batch(spark, store):
     a, b = order_events(spark, 0, 5), order_events(spark, 0, 5, 2, ("status", "add"))
     for epoch, batch in ((0, a), (1, b), (1, b), (2, a)):       # epoch 1 twice; batch a delivered again as epoch 2
