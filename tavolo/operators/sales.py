@@ -80,8 +80,8 @@ def recent_orders(orders, tables, order_items, feedback, since,
     """Newest k closed orders per tenant with label, items and feedback.
 
     Rank first (WindowGroupLimit keeps k rows per tenant before the
-    shuffle), checkpoint the small ranked set, then join it to labels,
-    lines and feedback.  The ranked ids (k per tenant) are counted and broadcast into the line
+    shuffle), then join the small ranked set to labels, lines and feedback.
+    The ranked ids are checkpointed once for both scans; they (k per tenant) are counted and broadcast into the line
     and feedback scans, so those are filtered where they are read instead
     of shuffled whole.
     """
@@ -89,14 +89,14 @@ def recent_orders(orders, tables, order_items, feedback, since,
     ranked = (closed_since(orders, since)
               .select("order_id", "restaurant_id", "table_id", "source", "total", "created_at")
               .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    return _with_details(cut_lineage(ranked), tables, order_items, feedback).select(
+    return _with_details(ranked, cut_lineage(ranked.select("order_id")), tables, order_items, feedback).select(
         "restaurant_id", "rank", "order_id", "source", "total", "created_at", "table_label", "items", "rating",
         "comment", "stars")
 
 
-def _with_details(ranked: DataFrame, tables, order_items, feedback) -> DataFrame:
-    """Label, lines and feedback of ranked orders (computed once by the caller)."""
-    ids = checked_broadcast(ranked.select("order_id"))
+def _with_details(ranked: DataFrame, ids: DataFrame, tables, order_items, feedback) -> DataFrame:
+    """Label, lines and feedback of ranked orders; ``ids`` are theirs, computed already."""
+    ids = checked_broadcast(ids)
     lines = order_lines(order_items.join(ids, "order_id", "left_semi").select(
         "order_id", *[c for c in ("line_no", "menu_item_id", "name_snapshot", "price_snapshot", "qty")
                       if c in order_items.columns]),
@@ -177,7 +177,8 @@ def period_panels(orders, order_items, restaurants, as_of, tables=None, feedback
 
     newest = Window.partitionBy("restaurant_id").orderBy(F.col("created_at").desc(), F.col("order_id").desc())
     ranked = closed.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= k_orders)
-    recent = _with_details(cut_lineage(ranked), tables, order_items, feedback)
+    ranked = cut_lineage(ranked)
+    recent = _with_details(ranked, ranked.select("order_id"), tables, order_items, feedback)
     return PeriodPanels(summary, split, top, spread(recent).drop("tag", "table_id"))
 
 

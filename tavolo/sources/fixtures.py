@@ -320,25 +320,23 @@ class Shop:
         requests carry a fault: ``order_id % 211`` is its number.
         """
         fault = F.col("order_id") % 211
-        flat = self.requests_flat.join(self.orders.select("order_id", "table_id", "source"), "order_id")
-        # the fault goes into one line of the request
+        head = ("restaurant_id", "table_id", "source", "phone", "opt_in", "created_at")
+        flat = self.orders_with_phone.select("order_id", *head).join(self.order_items, "order_id", "left")
         line = F.struct("line_no", "menu_item_id", "name_snapshot", "price_snapshot", "qty")
         lists = flat.groupBy("order_id").agg(
-            *[F.first(c).alias(c) for c in ("restaurant_id", "table_id", "source", "phone", "opt_in", "created_at")],
+            *[F.first(c).alias(c) for c in head],
             F.sort_array(F.collect_list(F.when(F.col("menu_item_id").isNotNull(), line))).alias("lines"))
 
         def one(x, i):
-            cols = {"menu_item_id": x["menu_item_id"], "name_snapshot": x["name_snapshot"],
-                    "price_snapshot": x["price_snapshot"], "qty": x["qty"]}
-            first_ = i == 0
+            here = i == 0       # a line fault goes into the first line of the request
             return F.struct(
-                F.when(first_ & (fault == 9), F.lit("x")).when(first_ & (fault == 10), F.lit("999999999"))
-                 .otherwise(cols["menu_item_id"].cast("string")).alias("menu_item_id"),
-                F.when(~(first_ & (fault == 6)), cols["name_snapshot"]).alias("name"),
-                F.when(first_ & (fault == 4), F.lit("abc")).when(first_ & (fault == 5), F.lit("1.00001"))
-                 .when(~(first_ & (fault == 7)), cols["price_snapshot"].cast("string")).alias("price"),
-                F.when(first_ & (fault == 3), F.lit("2.0"))
-                 .when(~(first_ & (fault == 8)), cols["qty"].cast("string")).alias("qty"))
+                F.when(here & (fault == 9), F.lit("x")).when(here & (fault == 10), F.lit("999999999"))
+                 .otherwise(x["menu_item_id"].cast("string")).alias("menu_item_id"),
+                F.when(~(here & (fault == 6)), x["name_snapshot"]).alias("name"),
+                F.when(here & (fault == 4), F.lit("abc")).when(here & (fault == 5), F.lit("1.00001"))
+                 .when(~(here & (fault == 7)), x["price_snapshot"].cast("string")).alias("price"),
+                F.when(here & (fault == 3), F.lit("2.0"))
+                 .when(~(here & (fault == 8)), x["qty"].cast("string")).alias("qty"))
 
         items = F.when(fault == 1, F.lit('{"menu_item_id": 1}')).when(fault == 2, F.lit('[{"menu_item_id":')) \
             .otherwise(F.to_json(F.transform("lines", one)))
