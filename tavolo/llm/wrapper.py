@@ -360,7 +360,8 @@ def oracle() -> str:
     text = """regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''),
       '</?(h1|p|br)>', ' ', 'g'), '<[^>]*>', '', 'g')"""
     for name, sign in refs:
-        text = f"replace({text}, '&{name};', '{sign}')"
+        # these references also stand without their semicolon (a cut-off title); the ampersand's own goes last
+        text = f"regexp_replace({text}, '&{name};?', '{sign}', 'g')"
     return f"""
 select page_id, url, text, length(text)::bigint as n_chars from (
   select page_id, url, trim(regexp_replace({text}, '[\\s\u00a0\u0085]+', ' ', 'g')) as text from pages)"""
